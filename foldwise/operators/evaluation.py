@@ -15,6 +15,7 @@ from foldwise.functions.scalars import count_if, finite, group_status, known, op
 from foldwise.operators.classification import eligible, label_coding, ranking_metrics, recoded_label
 from foldwise.operators.regression import moments, pearson, spearman
 from foldwise.operators.ranking import average_ranks
+from foldwise.session import cut_lineage
 
 SUBSETS = ("all_test", "no_scaffold", "scaffold_bearing")
 POINT = ("Benchmark", "Dataset", "Target", "Model", "Fold")
@@ -102,64 +103,66 @@ def evaluate_regression(
     )
 
 
+def materialize_points(points: DataFrame) -> DataFrame:
+    """Write the evaluation table once; every report below reads it several times.
+
+    It has one row per dataset, target, model, fold and subset - metadata next to
+    the predictions it summarises - so plain windows over a series are enough.
+    """
+    return cut_lineage(points.coalesce(1))
+
+
 def mark_primary_fold(points: DataFrame) -> DataFrame:
     """Flag the fold with the largest empty-group test count; names break ties as text."""
-    candidates = points.where(F.col("NoScaffold_Test_N") > 0)
-    picked = candidates.groupBy("Benchmark", "Dataset").agg(
-        F.min_by("Fold", F.struct(-F.col("NoScaffold_Test_N"), F.col("Fold"))).alias("_primary")
-    )
-    out = points.join(picked, ["Benchmark", "Dataset"], "left")
-    is_primary = F.coalesce(F.col("Fold") == F.col("_primary"), F.lit(False))
-    return (
-        out.withColumn("Is_NoScaffold_Fold", is_primary)
-        .withColumn("Is_Primary_NoScaffold_Subset", (F.col("Subset") == "no_scaffold") & F.col("Is_NoScaffold_Fold"))
-        .drop("_primary")
+    per_dataset = Window.partitionBy("Benchmark", "Dataset")
+    candidate = F.when(F.col("NoScaffold_Test_N") > 0, F.struct(-F.col("NoScaffold_Test_N"), F.col("Fold")))
+    primary = F.min(candidate).over(per_dataset)["Fold"]
+    return points.withColumn("Is_NoScaffold_Fold", F.coalesce(F.col("Fold") == primary, F.lit(False))).withColumn(
+        "Is_Primary_NoScaffold_Subset", (F.col("Subset") == "no_scaffold") & F.col("Is_NoScaffold_Fold")
     )
 
 
-def _ordinary(points: DataFrame) -> DataFrame:
-    return points.where((F.col("Subset") == "all_test") & ~F.col("Is_NoScaffold_Fold"))
-
-
 def within_fold(points: DataFrame, value: str) -> DataFrame:
     """One row per point with the value of each subset as a column."""
     return points.groupBy(*POINT).pivot("Subset", list(SUBSETS)).agg(F.first(value, ignorenulls=True))
 
 
-def classification_references(points: DataFrame) -> DataFrame:
-    """Add the ordinary-fold reference, the change against it and the within-fold change."""
+def _with_references(points: DataFrame, medians: dict[str, str]) -> DataFrame:
+    """Medians over the ordinary folds of each series, and how many folds they rest on."""
     marked = mark_primary_fold(points).withColumn("Reference_Type", F.lit("ordinary_folds_excluding_no_scaffold_fold"))
-    reference = _ordinary(marked).groupBy(*SERIES).agg(
-        F.median(known("normPR")).alias("Ordinary_Median_normPR"),
-        F.countDistinct("Fold").alias("Ordinary_Reference_N_Folds"),
-    )
-    inside = within_fold(marked, "normPR").select(
-        *POINT, (F.col("no_scaffold") - F.col("scaffold_bearing")).alias("NoMinusScaffoldBearing_normPR")
+    series = Window.partitionBy(*SERIES)
+    ordinary = (F.col("Subset") == "all_test") & ~F.col("Is_NoScaffold_Fold")
+    folds = F.size(F.collect_set(F.when(ordinary, F.col("Fold"))).over(series)).cast("long")
+    return marked.select(
+        "*",
+        *[F.median(F.when(ordinary, known(v))).over(series).alias(f"Ordinary_Median_{n}") for v, n in medians.items()],
+        F.when(folds > 0, folds).alias("Ordinary_Reference_N_Folds"),
     )
+
+
+def _of_subset(value: str, subset: str) -> Column:
+    """The value of one subset, seen from every row of its point."""
+    return F.first(F.when(F.col("Subset") == subset, F.col(value)), ignorenulls=True).over(Window.partitionBy(*POINT))
+
+
+def classification_references(points: DataFrame) -> DataFrame:
+    """Add the ordinary-fold reference, the change against it and the within-fold change."""
+    inside = _of_subset("normPR", "no_scaffold") - _of_subset("normPR", "scaffold_bearing")
     return (
-        marked.join(reference, list(SERIES), "left")
+        _with_references(points, {"normPR": "normPR"})
         .withColumn("Delta_normPR_vs_Ordinary", F.col("normPR") - F.col("Ordinary_Median_normPR"))
-        .join(inside, list(POINT), "left")
+        .withColumn("NoMinusScaffoldBearing_normPR", inside)
     )
 
 
 def regression_references(points: DataFrame) -> DataFrame:
-    marked = mark_primary_fold(points).withColumn("Reference_Type", F.lit("ordinary_folds_excluding_no_scaffold_fold"))
-    reference = _ordinary(marked).groupBy(*SERIES).agg(
-        F.median(known("relMAE")).alias("Ordinary_Median_relMAE"),
-        F.median(known("MAE")).alias("Ordinary_Median_MAE"),
-        F.median(known("Target_Scale")).alias("Ordinary_Median_TargetScale"),
-        F.countDistinct("Fold").alias("Ordinary_Reference_N_Folds"),
-    )
-    inside = within_fold(marked, "relMAE").select(
-        *POINT, open_ratio(F.col("no_scaffold"), F.col("scaffold_bearing")).alias("NoVsScaffoldBearing_relMAE_Ratio")
-    )
+    inside = open_ratio(_of_subset("relMAE", "no_scaffold"), _of_subset("relMAE", "scaffold_bearing"))
+    out = _with_references(points, {"relMAE": "relMAE", "MAE": "MAE", "Target_Scale": "TargetScale"})
     return (
-        marked.join(reference, list(SERIES), "left")
-        .withColumn("relMAE_Inflation", open_ratio(F.col("relMAE"), F.col("Ordinary_Median_relMAE")))
+        out.withColumn("relMAE_Inflation", open_ratio(F.col("relMAE"), F.col("Ordinary_Median_relMAE")))
         .withColumn("MAE_Ratio", open_ratio(F.col("MAE"), F.col("Ordinary_Median_MAE")))
         .withColumn("TargetScale_Ratio", open_ratio(F.col("Target_Scale"), F.col("Ordinary_Median_TargetScale")))
-        .join(inside, list(POINT), "left")
+        .withColumn("NoVsScaffoldBearing_relMAE_Ratio", inside)
     )
 
 

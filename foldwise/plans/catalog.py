@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.plans import metric_queries, summary_queries  # noqa: F401
+from foldwise.plans import evaluation_queries, metric_queries, summary_queries  # noqa: F401
 from foldwise.plans.registry import QUERIES, SQL
 
 

@@ -108,9 +108,9 @@ CLASSIFIED = LINES + """, cls AS (
 def regressed(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as test rows of two regression targets and two models."""
     lines = _lines(spark, folder, "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    price, quantity = F.col("l_extendedprice") / 1013.0, F.col("l_quantity")
     targets = {"price": price, "net": price * (1 - F.col("l_discount"))}
-    models = {"linear": quantity * 1500.0, "damped": 20000.0 + quantity * 700.0 + F.col("l_tax") * 1000.0}
+    models = {"linear": quantity * 1.5, "damped": 20.0 + quantity * 0.75 + F.col("l_tax")}
     keys = ["Benchmark", "Dataset", "Fold", "is_empty"]
     target = lines.withColumn("_t", _options("Target", "y", targets)).withColumn("_m", _options("Model", "pred", models))
     return target.select(*keys, "_t.*", "_m.*")
@@ -118,6 +118,7 @@ def regressed(spark: SparkSession, folder: str) -> DataFrame:
 
 REGRESSED = LINES + """, reg AS (
   SELECT "Benchmark", "Dataset", "Fold", is_empty, t."Target", t.y, m."Model", m.pred FROM lines,
-    LATERAL (VALUES ('price', l_extendedprice), ('net', l_extendedprice * (1 - l_discount))) t("Target", y),
-    LATERAL (VALUES ('linear', l_quantity * 1500.0::DOUBLE),
-                    ('damped', 20000.0::DOUBLE + l_quantity * 700.0::DOUBLE + l_tax * 1000.0::DOUBLE)) m("Model", pred))"""
+    LATERAL (VALUES ('price', l_extendedprice / 1013.0::DOUBLE),
+      ('net', l_extendedprice / 1013.0::DOUBLE * (1 - l_discount))) t("Target", y),
+    LATERAL (VALUES ('linear', l_quantity * 1.5::DOUBLE),
+                    ('damped', 20.0::DOUBLE + l_quantity * 0.75::DOUBLE + l_tax)) m("Model", pred))"""
