@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.plans import evaluation_queries, metric_queries, summary_queries  # noqa: F401
+from foldwise.plans import (  # noqa: F401
+    evaluation_queries,
+    metric_queries,
+    similarity_queries,
+    split_queries,
+    summary_queries,
+)
 from foldwise.plans.registry import QUERIES, SQL
 
 
