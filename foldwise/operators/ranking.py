@@ -114,3 +114,15 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "
         .groupBy(*keys)
         .agg(((F.min(value) + F.max(value)) / 2.0).alias(name))
     )
+
+
+def ordinal_by(
+    df: DataFrame, keys: Sequence[str], major: str, minor: str, descending: bool = False, name: str = "ordinal"
+) -> DataFrame:
+    """Zero-based position by (major, minor); ties of ``major`` are ordered by the unique ``minor``."""
+    keys = list(keys)
+    counts = df.groupBy(*keys, major).agg(F.count(F.lit(1)).alias("_c"))
+    run = running_totals(counts, keys, major, {"_upto": "_c"}, descending, sample_of=df)
+    starts = run.select(*keys, major, (F.col("_upto") - F.col("_c")).alias("_start"))
+    inside = ordinal_within(df, [*keys, major], minor, "_inside")
+    return inside.join(starts, [*keys, major]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
