@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foldwise.session import balance_factor
+from foldwise.session import balance_factor, cut_lineage
 
 
 def with_bucket(df: DataFrame, value: str, sample_of: DataFrame | None = None, name: str = "_bucket") -> DataFrame:
@@ -119,8 +119,12 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "
 def ordinal_by(
     df: DataFrame, keys: Sequence[str], major: str, minor: str, descending: bool = False, name: str = "ordinal"
 ) -> DataFrame:
-    """Zero-based position by (major, minor); ties of ``major`` are ordered by the unique ``minor``."""
+    """Zero-based position by (major, minor); ties of ``major`` are ordered by the unique ``minor``.
+
+    The table is read several times, so it is materialised first.
+    """
     keys = list(keys)
+    df = cut_lineage(df)
     counts = df.groupBy(*keys, major).agg(F.count(F.lit(1)).alias("_c"))
     run = running_totals(counts, keys, major, {"_upto": "_c"}, descending, sample_of=df)
     starts = run.select(*keys, major, (F.col("_upto") - F.col("_c")).alias("_start"))

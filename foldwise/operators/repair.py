@@ -245,7 +245,7 @@ def coupled_assignment(clusters: DataFrame, targets: DataFrame, keys: Sequence[s
     spark = clusters.sparkSession
     order = ordinal_by(clusters, keys, "const_to_sb_train", "cluster_no", descending=True, name="_by_const")
     order = ordinal_by(order, keys, "cluster_size", "_by_const", descending=True, name="pos").drop("_by_const")
-    order = running_totals(order, keys, "pos", {"_upto": "cluster_size"})
+    order = running_totals(cut_lineage(order), keys, "pos", {"_upto": "cluster_size"})
     order = order.join(targets, keys).withColumn("remaining", F.col("n_empty") - F.col("_upto"))
     order = cut_lineage(order.drop("_upto"))
     last = order.agg(F.max("pos")).first()[0]
@@ -312,7 +312,7 @@ def repair_split(
     shaped = empty.where(F.col("words").isNotNull()).join(targets.select(*keys, "limit"), keys)
     clustered = cut_lineage(microclusters(shaped, keys, order, "limit").drop("limit"))
     valid = clustered.groupBy(*keys, "cluster_no", "cluster_size").agg(F.lit(False).alias("is_invalid_fp_group"))
-    unparsed = ordinal_within(empty.where(F.col("words").isNull()), keys, order, "_i")
+    unparsed = cut_lineage(ordinal_within(empty.where(F.col("words").isNull()), keys, order, "_i"))
     shift = valid.groupBy(*keys).agg(F.max("cluster_no").alias("_last"))
     lone = unparsed.join(shift, keys, "left").withColumn(
         "cluster_no", F.coalesce("_last", F.lit(0)) + F.col("_i") + 1
@@ -321,9 +321,9 @@ def repair_split(
         *keys, "cluster_no", F.lit(1).cast("long").alias("cluster_size"), F.lit(True).alias("is_invalid_fp_group")
     )
     clusters = valid.unionByName(lone_clusters)
-    samples = hash_sample(clustered, [*keys, "cluster_no"], order, condition.sample_cap, seed)
+    samples = cut_lineage(hash_sample(clustered, [*keys, "cluster_no"], order, condition.sample_cap, seed))
     bearing = members.where(~F.col(is_empty) & (F.col(split) == "train") & F.col("words").isNotNull())
-    train = hash_sample(bearing.select(*keys, order, "words"), keys, order, condition.sample_cap, seed)
+    train = cut_lineage(hash_sample(bearing.select(*keys, order, "words"), keys, order, condition.sample_cap, seed))
     costed = train_similarity(clusters, samples, train, keys)
     packed = samples.groupBy(*keys, "cluster_no").agg(F.sort_array(F.collect_list("words")).alias("sample"))
     ready = costed.join(packed, [*keys, "cluster_no"], "left").withColumn(
