@@ -9,6 +9,7 @@ import time
 from foldwise.plans import catalog
 from foldwise.session import local_session
 
+ONLY = os.environ.get("BENCH_ONLY", "").split()
 HEADLINE = (
     "group_empty_summary",
     "support_sink_audit",
@@ -35,7 +36,7 @@ def main() -> None:
     queries = catalog.queries()
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
-    for name in HEADLINE:
+    for name in ONLY or HEADLINE:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

@@ -1,0 +1,167 @@
+"""Molecule strings: native emptiness test, and group key / fingerprint columns.
+
+With RDKit installed its canonical strings, scaffolds and Morgan bits are used.
+Without it a short reader of molecule strings gives the same kinds of columns:
+group keys that are equal for equal ring frameworks, and hashed circular
+environments.  Their text and bit positions are their own, not RDKit's.
+"""
+
+from __future__ import annotations
+
+import re
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from foldwise.functions.scalars import EMPTY_GROUP, FAILED_GROUP, INVALID_GROUP, is_empty_group, is_invalid_group
+
+try:
+    from rdkit import Chem
+    from rdkit.Chem import AllChem
+    from rdkit.Chem.Scaffolds import MurckoScaffold
+except ImportError:  # optional
+    Chem = None
+
+TOKEN = re.compile(r"\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]|\*|[-=#$:/\\.~]|%\d\d|\d|[()]")
+BRACKET = re.compile(r"\[(\d*)([A-Z][a-z]?|[a-z][a-z]?|\*)(@{0,2})(H\d*)?(\+\d*|-\d*|\++|-+)?(:\d+)?\]")
+# Bond symbols with their order; aromatic and plain bonds count as 1.
+ORDERS = {"-": 1, "=": 2, "#": 3, "$": 4, ":": 1, "/": 1, "\\": 1, "~": 1}
+
+
+def acyclic(text: Column | str) -> Column:
+    """A valid molecule string has no ring iff no ring-closure digit stands outside brackets."""
+    text = F.col(text) if isinstance(text, str) else text
+    return ~F.regexp_like(F.regexp_replace(text, r"\[[^\]]*\]", ""), F.lit("[0-9%]"))
+
+
+def read_graph(text: str):
+    """Atom labels and {atom: {neighbour: bond order}}, or None for an invalid string."""
+    tokens = TOKEN.findall(text)
+    if not tokens or "".join(tokens) != text:
+        return None
+    atoms, bonds, stack, rings = [], {}, [], {}
+    last, order = None, 0
+    for token in tokens:
+        if token == "(":
+            stack.append(last)
+        elif token == ")":
+            if not stack:
+                return None
+            last = stack.pop()
+        elif token == ".":
+            last = None
+        elif token in ORDERS:
+            order = ORDERS[token]
+        elif token[0].isdigit() or token[0] == "%":
+            if last is None:
+                return None
+            if token in rings:
+                other, seen = rings.pop(token)
+                if other == last:
+                    return None
+                bonds[last][other] = bonds[other][last] = max(order, seen, 1)
+            else:
+                rings[token] = (last, order)
+            order = 0
+        else:
+            if token[0] == "[" and not (match := BRACKET.fullmatch(token)):
+                return None
+            label = token if token[0] != "[" else "".join(filter(None, (match[1], match[2], match[5])))
+            atoms.append(label)
+            here = len(atoms) - 1
+            bonds[here] = {}
+            if last is not None:
+                bonds[here][last] = bonds[last][here] = max(order, 1)
+            last, order = here, 0
+    return None if rings or stack or order else (atoms, bonds)
+
+
+def framework(bonds: dict) -> set:
+    """Atoms of rings and linkers, with the atoms double-bonded to them."""
+    core, degree = set(bonds), {a: len(n) for a, n in bonds.items()}
+    leaves = [a for a in core if degree[a] < 2]
+    while leaves:
+        atom = leaves.pop()
+        core.discard(atom)
+        for other in bonds[atom]:
+            degree[other] -= 1
+            if other in core and degree[other] == 1:
+                leaves.append(other)
+    return core | {b for a in core for b, order in bonds[a].items() if order == 2}
+
+
+def _digest(*parts) -> str:
+    return md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def environments(atoms: list, bonds: dict, kept: set, rounds: int) -> list[dict]:
+    """Per round, a hash of every kept atom's neighbourhood of that radius."""
+    near = {a: {b: o for b, o in bonds[a].items() if b in kept} for a in kept}
+    layers = [{a: _digest(atoms[a], len(near[a]), sum(near[a].values())) for a in kept}]
+    for _ in range(rounds):
+        seen = layers[-1]
+        layers.append({a: _digest(seen[a], *sorted(f"{o}{seen[b]}" for b, o in near[a].items())) for a in kept})
+    return layers
+
+
+def _own(text: str, n_bits: int, radius: int):
+    graph = read_graph(text)
+    if graph is None:
+        return None, INVALID_GROUP, None
+    atoms, bonds = graph
+    core = framework(bonds)
+    group = EMPTY_GROUP
+    if core:
+        group = "ring_" + _digest(*sorted(environments(atoms, bonds, core, len(core))[-1].values()))[:16]
+    bits = {int(h[:8], 16) % n_bits for layer in environments(atoms, bonds, set(bonds), radius) for h in layer.values()}
+    return text, group, bits
+
+
+def _rdkit(text: str, n_bits: int, radius: int, chirality: bool):
+    mol = Chem.MolFromSmiles(text)
+    if mol is None:
+        return None, INVALID_GROUP, None
+    try:
+        core = MurckoScaffold.GetScaffoldForMol(mol)
+        group = Chem.MolToSmiles(core) if core is not None and core.GetNumAtoms() else EMPTY_GROUP
+    except Exception:  # noqa: BLE001 - any chemistry failure is the "failed" group
+        group = FAILED_GROUP
+    bits = AllChem.GetMorganFingerprintAsBitVect(mol, radius, nBits=n_bits, useChirality=chirality).GetOnBits()
+    return Chem.MolToSmiles(Chem.RemoveHs(mol)), group, set(bits)
+
+
+def molecule(text: Column | str, n_bits: int = 2048, radius: int = 2, chirality: bool = True) -> Column:
+    """Struct of canonical text, group key and packed fingerprint, read once per string."""
+
+    @F.pandas_udf("canonical string, group_key string, words array<bigint>")
+    def read(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value in values:
+            value = "nan" if value is None else str(value)
+            canonical, group, bits = _rdkit(value, n_bits, radius, chirality) if Chem else _own(value, n_bits, radius)
+            words = None
+            if bits is not None:
+                mask = np.zeros(n_bits, dtype=np.uint8)
+                mask[list(bits)] = 1
+                words = np.packbits(mask, bitorder="little").view(np.int64).tolist()
+            rows.append((canonical, group, words))
+        return pd.DataFrame(rows, columns=["canonical", "group_key", "words"])
+
+    return read(text)
+
+
+def annotate(df: DataFrame, text: str = "molecules", variant: str = "library", **options) -> DataFrame:
+    """Add canonical, group_key, words and is_empty.
+
+    ``library`` and ``splitter`` drop invalid strings; ``repair`` drops unreadable
+    ones but counts failed groups as empty; ``evaluation`` keeps every row.
+    """
+    source = df if variant == "evaluation" else df.where(F.col(text).isNotNull())
+    out = source.withColumn("_m", molecule(F.col(text).cast("string"), **options)).select("*", "_m.*").drop("_m")
+    if variant != "evaluation":
+        out = out.where(F.col("canonical").isNotNull())
+    if variant in ("library", "splitter"):
+        out = out.where(~is_invalid_group("group_key"))
+    return out.withColumn("is_empty", is_empty_group("group_key", variant))

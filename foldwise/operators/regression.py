@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.scalars import finite
 from foldwise.operators.ranking import average_ranks
+from foldwise.session import cut_lineage
 
 
 def pair_counts(df: DataFrame, keys: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:
@@ -32,6 +33,7 @@ def pearson(x: str, y: str) -> Column:
 def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "y", y: str = "pred", name: str = "Spearman_rho") -> DataFrame:
     """Pearson correlation of tie-averaged ranks, from merged pairs with a count ``n``."""
     keys = list(keys)
+    pairs = cut_lineage(pairs)  # read by both rankings and by the final join
     rank_x = average_ranks(pairs.select(*keys, x, "n"), keys, x, "_rx").drop("n")
     rank_y = average_ranks(pairs.select(*keys, y, "n"), keys, y, "_ry").drop("n")
     ranked = pairs.join(rank_x, [*keys, x]).join(rank_y, [*keys, y])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foldwise.plans import (  # noqa: F401
     evaluation_queries,
     metric_queries,
+    model_queries,
     repair_queries,
     similarity_queries,
     split_queries,

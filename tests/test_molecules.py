@@ -1,0 +1,51 @@
+import pytest
+from pyspark.sql import functions as F
+
+from foldwise.functions import bits, smiles
+from foldwise.operators import splits, summaries
+
+ACYCLIC = ["CCO", "CC(=O)O", "CCN(CC)CC", "C=CC#N"]
+CYCLIC = ["c1ccccc1", "CCc1ccccc1", "C1CCCCC1", "O=C1CCCN1"]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = [(m, i % 2) for i, m in enumerate(ACYCLIC + CYCLIC + ["not_a_smiles", "C1CC", None])]
+    return spark.createDataFrame(rows, "molecules string, y int")
+
+
+def test_annotate_variants(table):
+    kept = smiles.annotate(table).collect()
+    assert {r["molecules"] for r in kept if r["is_empty"]} == set(ACYCLIC)
+    assert {r["molecules"] for r in kept if not r["is_empty"]} == set(CYCLIC)
+    every = {r["molecules"]: r for r in smiles.annotate(table, variant="evaluation").collect()}
+    assert len(every) == 11 and every["not_a_smiles"]["group_key"] == "Invalid_SMILES"
+    assert every["not_a_smiles"]["is_empty"] and every[None]["is_empty"]
+
+
+def test_equal_frameworks_share_a_group(table):
+    key = {r["molecules"]: r["group_key"] for r in smiles.annotate(table).collect()}
+    assert key["c1ccccc1"] == key["CCc1ccccc1"] != key["C1CCCCC1"]
+    assert key["O=C1CCCN1"] != key["C1CCCCC1"]
+
+
+def test_same_molecule_written_differently(spark):
+    pairs = spark.createDataFrame([("CCc1ccncc1", "n1ccc(CC)cc1"), ("OCC", "CCO")], "a string, b string")
+    both = pairs.select(smiles.molecule("a").alias("x"), smiles.molecule("b").alias("y"))
+    for r in both.select(bits.tanimoto("x.words", "y.words").alias("t"), (F.col("x.group_key") == F.col("y.group_key")).alias("g")).collect():
+        assert r["t"] == 1.0 and r["g"]
+
+
+def test_native_ring_rule_agrees(table):
+    checked = smiles.annotate(table).select((smiles.acyclic("molecules") == F.col("is_empty")).alias("ok"))
+    assert all(r["ok"] for r in checked.collect())
+
+
+def test_molecule_folds(table):
+    annotated = smiles.annotate(table).withColumn("dataset", F.lit("demo"))
+    folded = splits.assign_group_folds(annotated, ["dataset"], folds=3)
+    rows = folded.collect()
+    assert len({r["fold"] for r in rows if r["is_empty"]}) == 1
+    assert {r["fold"] for r in rows} == {0, 1, 2}
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, splits.assign_group_folds(annotated, ["dataset"], folds=3).collect()))
+    assert summaries.empty_group_fold(folded, ["dataset"]).first()["n_no_scaffold"] == 4
