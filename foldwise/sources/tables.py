@@ -45,8 +45,12 @@ def read_optional(spark: SparkSession, path: str, schema: str, required: bool =
 
 
 def with_path_parts(df: DataFrame, depth: Sequence[str] = ("Benchmark", "TaskGroup", "File")) -> DataFrame:
-    """Add the trailing path components of each row's file as columns."""
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    """Add the trailing path components of each row's file as columns.
+
+    Spark reports percent-encoded paths; a plus sign in a name is not a blank.
+    """
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    parts = F.split(path, "/")
     n = len(depth)
     return df.select("*", *[F.element_at(parts, i - n).alias(c) for i, c in enumerate(depth)])
 
