@@ -15,6 +15,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+SQL_NAMES = {"string": "VARCHAR", "int": "INTEGER"}
+
 
 def connect(folder: str):
     con = duckdb.connect()
@@ -53,8 +55,11 @@ def compare(spark, folder, con, name, fn, sql):
     cur = con.execute(sql)
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     sql_took = time.time() - start
+    theirs = {d[0]: str(d[1]).upper() for d in cur.description}
+    types = [f"{n} {t}/{theirs.get(n)}" for n, t in df.dtypes if SQL_NAMES.get(t, t.upper()) != theirs.get(n)]
     if got == want:
-        return f"ok {len(got[1])} (sql {sql_took:.1f}s)", took
+        note = f" types: {', '.join(types)}" if types else ""
+        return f"ok {len(got[1])} (sql {sql_took:.1f}s){note}", took
     detail = [f"columns {got[0]} / {want[0]}"] if got[0] != want[0] else []
     if len(got[1]) != len(want[1]):
         detail.append(f"count {len(got[1])} / {len(want[1])}")
