@@ -109,7 +109,7 @@ def materialize_points(points: DataFrame) -> DataFrame:
     It has one row per dataset, target, model, fold and subset - metadata next to
     the predictions it summarises - so plain windows over a series are enough.
     """
-    return cut_lineage(points.coalesce(1))
+    return cut_lineage(points)
 
 
 def mark_primary_fold(points: DataFrame) -> DataFrame:
@@ -407,3 +407,63 @@ def reference_comparison(points: DataFrame, values: Sequence[str], keys: Sequenc
         *keys, F.col("N").alias("NoScaffold_N"), *[F.col(v).alias(f"NoScaffold_{v}") for v in values]
     )
     return medians.join(primary, list(keys), "left")
+
+
+def comparison_effects(compared: DataFrame, errors: Sequence[str], associations: Sequence[str]) -> DataFrame:
+    """Ratio of error metrics and drop of association metrics, primary fold against ordinary folds."""
+    ratios = [
+        open_ratio(F.col(f"NoScaffold_{m}"), F.col(f"Ordinary_{m}")).alias(f"{m}_Ratio") for m in errors
+    ]
+    drops = [(F.col(f"Ordinary_{m}") - F.col(f"NoScaffold_{m}")).alias(f"{m}_Drop") for m in associations]
+    return compared.select("*", *ratios, *drops)
+
+
+# Report names of the structural medians and the effect sizes that are counted.
+STRUCTURE_MEDIANS = {
+    "median_no_pairwise": "No_PairwiseMean",
+    "median_hasmixed_pairwise": "HasMixed_PairwiseMean",
+    "median_true_scaffold_pairwise": "TrueScaffoldClass_PairwiseMean",
+    "median_no_gini": "No_CohesionGini",
+    "median_hasmixed_gini": "HasMixed_CohesionGini",
+    "median_true_scaffold_gini": "TrueScaffoldClass_CohesionGini",
+    "median_same_scaffold_nn": "SameScaffold_NNMean",
+    "median_cross_scaffold_nn": "CrossScaffold_NNMean",
+    "median_no_to_scaffold_nn": "NoToScaffold_NNMean",
+}
+
+
+def summary_values(structure: DataFrame, regression: DataFrame, classification: DataFrame, n: int = 5) -> DataFrame:
+    """One row of report figures from the per-dataset tables.
+
+    ``regression`` and ``classification`` are label-shift tables with a ``Label``.
+    The top lists come from top-k sorts, so only n rows reach the list aggregate.
+    """
+
+    def listed(shift: DataFrame, first: str, second: str, name: str) -> DataFrame:
+        top = top_list(shift, first, second, "Label", n)
+        entries = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "Label")))
+        return top.agg(F.transform(entries, lambda e: e["Label"]).alias(name))
+
+    g, rate = F.col("Abs_StandardizedMeanDiff"), F.col("Abs_PositiveRate_Diff")
+    parts = [
+        structure.agg(
+            F.count(F.lit(1)).alias("n_datasets_total"),
+            *[F.median(known(c)).alias(k) for k, c in STRUCTURE_MEDIANS.items()],
+        ),
+        regression.agg(
+            F.count(F.lit(1)).alias("n_regression_targets"),
+            count_if(g >= 0.5).alias("n_regression_abs_g_ge_0p5"),
+            count_if(g >= 0.8).alias("n_regression_abs_g_ge_0p8"),
+        ),
+        classification.agg(
+            F.count(F.lit(1)).alias("n_classification_targets"),
+            count_if(rate >= 0.10).alias("n_classification_prevdiff_ge_0p10"),
+            count_if(rate >= 0.20).alias("n_classification_prevdiff_ge_0p20"),
+        ),
+        listed(regression, "Abs_StandardizedMeanDiff", "KS_Statistic", "top_regression_shift_targets"),
+        listed(classification, "Abs_PositiveRate_Diff", "Bernoulli_JSD", "top_classification_shift_targets"),
+    ]
+    out = parts[0].withColumn("_row", F.lit(1))
+    for part in parts[1:]:  # every part is a single row
+        out = out.join(part.withColumn("_row", F.lit(1)), "_row")
+    return out.drop("_row")

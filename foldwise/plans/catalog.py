@@ -11,6 +11,7 @@ from foldwise.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     repair_queries,
+    report_queries,
     similarity_queries,
     split_queries,
     summary_queries,
