@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import exact_dedup
+from foldwise.llm import chat, exact_dedup, mixing
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -19,3 +19,44 @@ from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 )
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, folder, "documents")).drop("n_chunks")
+
+
+ADDED_CONVERSATION = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+
+
+@query(
+    "op3_chat_prefix_targets",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized AS (
+        SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+               sum(length(regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'))
+                   + CASE WHEN regexp_full_match(role, '[a-z]+') THEN length(role) ELSE 1 + 2 * strlen(role) END + 12 + 1 + 11) OVER w AS upto
+        FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(upto) FILTER (role = 'assistant' OR k = n)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR k = n) AS n_examples
+    FROM sized GROUP BY conv_id
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    given = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.training_examples(given.unionByName(spark.sql(ADDED_CONVERSATION))))
+
+
+@query(
+    "op9_mixture_raking",
+    f"""
+    WITH docs AS ({mixing.cells_sql("documents")}),
+    {mixing.raked_sql("docs")},
+    aimed AS (SELECT *, CASE WHEN _tokens > 0 THEN _ratio * {mixing.RATE} ELSE 1 END AS aim FROM docs JOIN ratio USING (_source, _lang, _topic))
+    SELECT doc_id, _source AS source, _lang AS lang, _topic AS topic, _tokens AS n_tokens, round(least(1, aim), 6) AS probability,
+           round(greatest(1, aim), 6) AS weight, _u < least(1, aim) AS kept FROM aimed
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    sample = mixing.mixture_sample(load(spark, folder, "documents"))
+    return sample.withColumns({c: F.round(c, 6) for c in ("probability", "weight")})
