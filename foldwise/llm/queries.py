@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, exact_dedup, mixing
+from foldwise.llm import chat, exact_dedup, mixing, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -60,3 +60,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     sample = mixing.mixture_sample(load(spark, folder, "documents"))
     return sample.withColumns({c: F.round(c, 6) for c in ("probability", "weight")})
+
+
+@query("op5_sentencepiece_codec")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(load(spark, folder, "documents"))
