@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, exact_dedup, mixing, sentencepiece_codec
+from foldwise.llm import chat, exact_dedup, language_crf, mixing, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -65,3 +65,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_sentencepiece_codec")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(load(spark, folder, "documents"))
+
+
+@query("op2_language_crf")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_crf.detect_languages(load(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_words", F.size("stretches").cast("long").alias("n_stretches"))
