@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, exact_dedup, language_crf, mixing, sentencepiece_codec
+from foldwise.llm import chat, embedding_caps, exact_dedup, language_crf, mixing, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -71,3 +71,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = language_crf.detect_languages(load(spark, folder, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "n_words", F.size("stretches").cast("long").alias("n_stretches"))
+
+
+@query(
+    "op10_embedding_caps",
+    f"""
+    WITH RECURSIVE unit AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    pairs AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= {embedding_caps.COSINE}),
+    reached(a, b) AS (SELECT vec_id, vec_id FROM unit UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b),
+    least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM unit JOIN least ON a = vec_id
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_caps.embedding_classes(load(spark, folder, "embeddings"))
