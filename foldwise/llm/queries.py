@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, embedding_caps, exact_dedup, language_crf, mixing, sentencepiece_codec
+from foldwise.llm import chat, embedding_caps, exact_dedup, language_crf, lm_trie, mixing, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -86,3 +86,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_caps.embedding_classes(load(spark, folder, "embeddings"))
+
+
+@query("op8_lm_trie")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_trie.score_documents(load(spark, folder, "documents"))
