@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, embedding_caps, exact_dedup, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
+from foldwise.llm import chat, embedding_caps, exact_dedup, kneser_ney, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -99,3 +99,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.transform("base", lambda span: span["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii_weak.BASE]
     return found.select("doc_id", *counts, F.sha2(F.col("base_text").cast("binary"), 256).alias("base_sha256"), F.col("spans_text").alias("spans"))
+
+
+@query("op4_kneser_ney_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = load(spark, folder, "labels").where("quality = 1 AND toxic = 0")
+    return kneser_ney.quality_verdicts(load(spark, folder, "documents"), trusted)
