@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, embedding_caps, exact_dedup, kneser_ney, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
+from foldwise.llm import chat, embedding_caps, exact_dedup, jaccard_pivots, kneser_ney, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -105,3 +105,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     trusted = load(spark, folder, "labels").where("quality = 1 AND toxic = 0")
     return kneser_ney.quality_verdicts(load(spark, folder, "documents"), trusted)
+
+
+@query("op1_jaccard_pivots")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_pivots.near_duplicate_classes(load(spark, folder, "documents"))
