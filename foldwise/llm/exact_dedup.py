@@ -132,5 +132,5 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """
     key = lambda doc_id, sha: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
     staying = exact_groups(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_copy_key")).distinct()
-    keyed = docs.withColumn("_copy_key", key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    return keyed.join(staying, "_copy_key", "left_semi").dropDuplicates(["_copy_key"]).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("_copy_key"))
+    return keyed.join(staying, "_copy_key", "left_semi").dropDuplicates(["_copy_key"]).select("row.*")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foldwise.llm.common import byte_slices, fold_of
 
@@ -30,6 +30,8 @@ EPOCHS, BATCH, STEP, DECAY = 3, 64, 0.15, 1e-7
 BLOCK = 64  # words per block of the forward and backward passes
 KNOWN_WORDS = 300_000
 UNKNOWN = "und"
+ADDED = ("lang_pred", "score", "n_words", "shares", "stretches")
+ADDED_TYPES = ("lang_pred string", "score double", "n_words long", "shares map<string,double>", "stretches array<struct<lang:string,words:long>>")
 
 
 def split_words(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -277,8 +279,9 @@ def fit_on(docs: DataFrame) -> Field | None:
     return fit_field(training_sample(docs, fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
 
 
-def detect_languages(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, shares, stretches.
+def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, shares, stretches; with `carry`
+    row (all columns of docs), lang_pred and score.
 
     shares: mean probability of each learned language over the words.  lang_pred has the largest share
     (the first in the alphabet of equal ones), score is that share.  stretches: (lang, words) of runs of
@@ -286,7 +289,9 @@ def detect_languages(docs: DataFrame, field: Field | None = None) -> DataFrame:
     no words.  Without a labelled row to learn from everything is 'und'.
     """
     field = field if field is not None else fit_on(docs)
-    keep = docs.select("doc_id", "text", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
+    held = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
+    keep = docs.select("text", F.struct("*").alias("row")) if carry else docs.select("doc_id", "text", held)
+    passed = ["row"] if carry else ["doc_id", "held_out"]
     shared = docs.sparkSession.sparkContext.broadcast(field)  # 2 ** BITS rows of one weight per language
     stretch = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
@@ -311,13 +316,10 @@ def detect_languages(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     scores.append(min(1.0, float(mean[top])))
                     shares.append(dict(zip(known.labels, mean.tolist())))
                     runs.append([{"lang": known.labels[int(own[a])], "words": b - a} for a, b in zip(cuts, cuts[1:])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()),
-                        pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.float64())), pa.array(runs, stretch),
-                    ],
-                    ["doc_id", "held_out", "lang_pred", "score", "n_words", "shares", "stretches"],
-                )
-
-    schema = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, shares map<string,double>, stretches array<struct<lang:string,words:long>>"
+                new = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                if not carry:
+                    new += [pa.array(counts, pa.int64()), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.float64())), pa.array(runs, stretch)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *new], [*passed, *ADDED[: len(new)]])
+
+    schema = T.StructType([keep.schema[c] for c in passed] + T.StructType.fromDDL(", ".join(ADDED_TYPES[: 2 if carry else 5])).fields)
     return keep.mapInArrow(run, schema)

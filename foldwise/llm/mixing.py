@@ -42,9 +42,9 @@ def uniform(doc_id: Column, seed: int = 0) -> Column:
 
 
 def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic (null is a value of its own) and _tokens."""
-    named = {"_topic": topic if topic is not None else topic_of(F.col("text")), "_tokens": token_count(F.col("text"))}
-    return docs.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit(MISSING)) for d in DIMENSIONS[:2]} | named)
+    """(row, _source, _lang, _topic, _tokens): row holds all columns of docs; null is a value of its own."""
+    dimensions = [F.coalesce(F.col(d).cast("string"), F.lit(MISSING)).alias(f"_{d}") for d in DIMENSIONS[:2]]
+    return docs.select(F.struct("*").alias("row"), *dimensions, (topic if topic is not None else topic_of(F.col("text"))).alias("_topic"), token_count(F.col("text")).alias("_tokens"))
 
 
 def raked_cells(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponent: float = EXPONENT, rounds: int = ROUNDS) -> DataFrame:
@@ -75,7 +75,7 @@ def raked_cells(cells: DataFrame, targets: dict[str, DataFrame] | None = None, e
 
 
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, rate: float = RATE, seed: int = 0) -> DataFrame:
-    """docs with topic columns and n_tokens, probability, weight, kept.
+    """(row, _source, _lang, _topic, _tokens, _probability, _weight, _kept) per row of docs.
 
     A cell whose weight is w times its tokens has probability min(1, rate * w).  Where that
     is cut at 1, kept documents carry weight rate * w (else 1), so that the expected weighted tokens of
@@ -90,7 +90,7 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, top
         ratio = F.broadcast(ratio)
     aim = F.when(F.col("_tokens") > 0, F.col("_ratio") * F.lit(float(rate))).otherwise(1.0)
     return celled.join(ratio, keys).withColumns(
-        {"_probability": F.least(F.lit(1.0), aim), "_weight": F.greatest(F.lit(1.0), aim), "_kept": uniform(F.col("doc_id"), seed) < F.least(F.lit(1.0), aim)}
+        {"_probability": F.least(F.lit(1.0), aim), "_weight": F.greatest(F.lit(1.0), aim), "_kept": uniform(F.col("row.doc_id"), seed) < F.least(F.lit(1.0), aim)}
     )
 
 
@@ -98,7 +98,7 @@ def mixture_sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, weight, kept."""
     rows = calibrated(docs, targets, topic, rate, seed)
     return rows.select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        "row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.col("_probability").alias("probability"), F.col("_weight").alias("weight"), F.col("_kept").alias("kept"),
     )
 
