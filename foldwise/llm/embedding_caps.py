@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
 Filter directions are words of a random product code: a rotated vector is cut into blocks,
-each block has a small code of random unit vectors, and a direction is one code word per
-block.  A vector is listed under every direction it exceeds in inner product, which is decoded from the
+each block has a code of random unit vectors, and a direction is one code word per
+block.  Several rotations have codes of their own, since directions of one code are not independent.  A vector is listed under every direction it exceeds in inner product, which is decoded from the
 block scores without trying all directions.  Vectors that meet under a direction are compared
 exactly.  Cap height and code size follow from the number of vectors, so that unrelated
 vectors per direction and directions per vector stay about constant.
@@ -21,8 +21,9 @@ from foldwise.llm.common import kept_table
 from foldwise.llm.graph import components
 
 COSINE = 0.9
-BLOCKS = 4
-EXPECTED_MEETINGS = 12.0  # directions shared by two vectors at the threshold, on average
+MOST_WORDS = 4096  # per block: few blocks with long codes keep the directions almost independent
+ROTATIONS = 8
+EXPECTED_MEETINGS = 16.0  # directions shared by two vectors at the threshold, on average
 UNRELATED = 32.0  # vectors of random direction per filter
 PART = 1024  # rows of one side of a comparison
 SEED = 20
@@ -50,6 +51,7 @@ class CapCode:
 
     dim: int
     height: float
+    blocks: int
     words: int
 
     @classmethod
@@ -57,33 +59,40 @@ class CapCode:
         space = max(8, dim)
         heights = np.linspace(0.2, 0.9, 281)
         height = float(heights[int(np.argmin(np.abs(np.log(np.maximum(_tail(heights, space), 1e-300)) - np.log(UNRELATED / max(rows, 1)))))])
-        count = EXPECTED_MEETINGS / max(_shared(height, space, cosine) * float(_tail(np.array(height), space)), 1e-15)
-        return cls(dim, height, max(2, int(np.ceil(count ** (1 / BLOCKS)))))
+        count = EXPECTED_MEETINGS / ROTATIONS / max(_shared(height, space, cosine) * float(_tail(np.array(height), space)), 1e-15)
+        blocks = next(b for b in range(2, 9) if count <= MOST_WORDS**b)
+        return cls(dim, height, blocks, max(2, int(np.ceil(count ** (1 / blocks)))))
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The rotation and the code of every block."""
+    def table(self, rotation: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """A rotation and the code of every block."""
         space = max(8, self.dim)
-        rng = np.random.default_rng(SEED)
+        rng = np.random.default_rng([SEED, rotation])
         turn = np.linalg.qr(rng.normal(size=(space, space)))[0]
-        codes = [rng.normal(size=(self.words, len(part))) for part in np.array_split(np.arange(space), BLOCKS)]
-        return turn, [c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(BLOCKS) for c in codes]
+        codes = [rng.normal(size=(self.words, len(part))) for part in np.array_split(np.arange(space), self.blocks)]
+        return turn, [c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.blocks) for c in codes]
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each row all filters whose inner product reaches the height."""
-        turn, codes = self.tables()
-        space = max(8, self.dim)
-        turned = np.pad(unit, ((0, 0), (0, space - self.dim))) @ turn
+        """For each row all filters, of all rotations, whose inner product reaches the height."""
+        each = [self._decode(unit, *self.table(r)) for r in range(ROTATIONS)]
+        return [np.concatenate([x + r * self.words**self.blocks for r, x in enumerate(row)]) for row in zip(*each)]
+
+    def _decode(self, unit: np.ndarray, turn: np.ndarray, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """Code words are chosen block by block; what the blocks to come can still add at most prunes
+        the beginnings that cannot reach the height."""
+        turned = np.pad(unit, ((0, 0), (0, len(turn) - self.dim))) @ turn
         cuts = np.cumsum([c.shape[1] for c in codes])[:-1]
         scores = [part @ c.T for part, c in zip(np.split(turned, cuts, axis=1), codes)]
-        left = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(unit), -1)
-        right = (scores[2][:, :, None] + scores[3][:, None, :]).reshape(len(unit), -1)
-        most_left, most_right = left.max(axis=1), right.max(axis=1)
+        most = [s.max(axis=1) for s in scores]
         found = []
         for i in range(len(unit)):
-            a = np.flatnonzero(left[i] >= self.height - most_right[i])
-            b = np.flatnonzero(right[i] >= self.height - most_left[i])
-            x, y = np.nonzero(left[i][a][:, None] + right[i][b][None, :] >= self.height)
-            found.append(a[x] * np.int64(right.shape[1]) + b[y])
+            number, reached = np.zeros(1, np.int64), np.zeros(1)
+            for b, block in enumerate(scores):
+                need = self.height - sum(m[i] for m in most[b + 1 :])
+                words = np.flatnonzero(block[i] >= need - reached.max(initial=-2.0))
+                sums = reached[:, None] + block[i][words][None, :]
+                x, y = np.nonzero(sums >= need)
+                number, reached = number[x] * self.words + words[y], sums[x, y]
+            found.append(number)
         return found
 
 
