@@ -150,16 +150,21 @@ class NgramTrie:
         levels = [EliasFano(*places["levels"][n], *(view(f"{n}.{part}") for part in cls.PARTS)) for n in ("words", "pointers", "below")]
         return cls(*levels, {n: view(n) for n in ("codes", "table", "alone_codes", "alone_table")})
 
-    def score(self, word: np.ndarray, before: np.ndarray, otherwise: float) -> np.ndarray:
+    def score(self, word: np.ndarray, before: np.ndarray, otherwise: float, at_once: int = 1 << 16) -> np.ndarray:
         """Value of each (word, word before): that of the pair, else the word's value alone, else `otherwise`."""
-        row = self.words.find(word)
         out = np.full(len(word), otherwise)
+        for start in range(0, len(word), at_once):
+            part = slice(start, start + at_once)
+            self._score(word[part], before[part], out[part])
+        return out
+
+    def _score(self, word: np.ndarray, before: np.ndarray, out: np.ndarray) -> None:
+        row = self.words.find(word)
         known = np.flatnonzero(row >= 0)
-        out[known] = self.arrays["alone_table"][self.arrays["alone_codes"][row[known]]]
         context = row[known]
+        out[known] = self.arrays["alone_table"][self.arrays["alone_codes"][context]]
         stop = self.pointers.get(context).astype(np.int64)
         start = np.where(context > 0, self.pointers.get(np.maximum(context - 1, 0)).astype(np.int64), 0)
         pair = self.below.find(context.astype(np.uint64) << np.uint64(32) | before[known].astype(np.uint64), start, stop)
         seen = pair >= 0
         out[known[seen]] = self.arrays["table"][self.arrays["codes"][pair[seen]]]
-        return out

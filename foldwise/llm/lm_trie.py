@@ -5,7 +5,7 @@ p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1).
 The numerator needs what is known of w, the denominator what is known of v, so the logarithm of a text
 is a sum of terms that belong to one word each.  Every word occurrence, with the word before it,
 is sent once to the shard of its word; the shard counts the training occurrences, builds its trie, maps it
-from a file and adds up the terms of all documents.  Only sums per document leave a shard.
+from a file and adds up the terms of all documents.  Only sums per document leave a shard, packed by slice of the input.
 Words with a large share of all tokens are split over shards by the word before, their own
 counts being known from the table of word counts.
 """
@@ -30,8 +30,8 @@ from foldwise.llm.elias_fano import NgramTrie
 FOLDS, HELD_OUT = 7, 2
 MU = 64.0
 SHARD_TOKENS = 2_000_000
-SLICE = 8 << 20  # bytes of text per slice; rows are counted by 16 bits inside it
-SLICE_ROWS = 60_000
+SLICE = 8 << 20  # bytes of text per slice; rows are counted inside it
+SLICE_ROWS = 1 << 15  # leaves one bit of a 16-bit row number for the fold
 LARGE_WORDS = 1 << 18  # most words that are split, hence most rows that are broadcast
 BEGIN, END = 0, 1  # identifiers of the text's begin and end
 U64 = np.uint64
@@ -109,7 +109,7 @@ class Routing:
         return spread(own.astype(U64), salt, self.shards)
 
 
-CHUNK = "shard int, slice long, ids binary, held binary, lengths binary, train binary, words binary, sizes binary, rows binary, before binary"
+CHUNK = "shard int, slice long, ids binary, null binary, lengths binary, words binary, sizes binary, rows binary, before binary"
 
 
 def chunks(docs: DataFrame, routing) -> DataFrame:
@@ -127,14 +127,14 @@ def chunks(docs: DataFrame, routing) -> DataFrame:
             before = np.empty(len(tokens), np.uint32)
             before[1:] = short[tokens[:-1]]
             before[np.concatenate([[0], np.cumsum(counts)[:-1]])] = BEGIN
-            rows = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(counts), dtype=np.uint16) | train.astype(np.uint16) << 15, counts)
             shard = route.shard(names, tokens, before)
             order = np.argsort(shard * len(names) + tokens, kind="stable")
             shard, tokens, rows, before = shard[order], tokens[order], rows[order], before[order]
-            train = np.packbits(batch.column("train").to_numpy(zero_copy_only=False)).tobytes()
             home = number % route.shards
             cuts = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]])
-            out = {name: [] for name in ("shard", "slice", "ids", "held", "lengths", "train", "words", "sizes", "rows", "before")}
+            out = {name: [] for name in ("shard", "slice", "ids", "null", "lengths", "words", "sizes", "rows", "before")}
             places = list(zip(shard[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
             for own, a, b in places if any(p[0] == home for p in places) else [*places, (home, 0, 0)]:
                 first = np.flatnonzero(np.diff(tokens[a:b], prepend=-1))
@@ -143,9 +143,8 @@ def chunks(docs: DataFrame, routing) -> DataFrame:
                 out["shard"].append(own)
                 out["slice"].append(number)
                 out["ids"].append(ids.fill_null(0).to_numpy().tobytes() if known else None)
-                out["held"].append(ids.is_null().to_numpy(zero_copy_only=False).tobytes() if known else None)
+                out["null"].append(ids.is_null().to_numpy(zero_copy_only=False).tobytes() if known else None)
                 out["lengths"].append(counts.tobytes() if known else None)
-                out["train"].append(train)
                 out["words"].append(names[tokens[a:b][first]].tobytes())
                 out["sizes"].append(np.diff(first, append=b - a).astype(np.uint32).tobytes())
                 out["rows"].append(rows[a:b].tobytes())
@@ -157,14 +156,13 @@ def chunks(docs: DataFrame, routing) -> DataFrame:
 
 
 def score_shard(frame: pd.DataFrame, routing: Routing, tokens: int, vocabulary: int) -> pd.DataFrame:
-    """Sums of one shard per document: count its training occurrences, build the trie, query it."""
+    """Sums of one shard, one row per slice: count its training occurrences, build the trie, query it."""
     unpack = lambda name, kind: [np.frombuffer(x, kind) for x in frame[name]]
     words, sizes, rows, before = (unpack(n, k) for n, k in (("words", U64), ("sizes", np.uint32), ("rows", np.uint16), ("before", np.uint32)))
-    docs = np.array([int(r.max()) + 1 if len(r) else 0 for r in rows])
-    docs = np.maximum(docs, [len(x) // 8 if x is not None else 0 for x in frame["ids"]])
-    base_of = np.concatenate([[0], np.cumsum(docs)])
-    owner = np.concatenate([r.astype(np.int64) + b for r, b in zip(rows, base_of)])
-    train = np.concatenate([np.unpackbits(t)[r].astype(bool) for t, r in zip(unpack("train", np.uint8), rows)])
+    sent = np.array([len(r) for r in rows])
+    rows = np.concatenate(rows)
+    train, rows = rows >> 15 > 0, (rows & 0x7FFF).astype(np.int64)
+    touched, owner = np.unique(np.repeat(np.arange(len(sent)), sent) << 15 | rows, return_inverse=True)
     before = np.concatenate(before)
     names, inverse = np.unique(np.concatenate(words), return_inverse=True)
     word = np.repeat(inverse, np.concatenate(sizes)).astype(np.int64)
@@ -195,28 +193,27 @@ def score_shard(frame: pd.DataFrame, routing: Routing, tokens: int, vocabulary:
 
     inner = names != END  # the end is no context
     context = np.where(inner, -np.log10(count + MU), 0.0)
-    total = int(base_of[-1])
-    add = lambda per: np.bincount(owner, per, total)
-    out = pd.DataFrame(
-        {
-            "slice": np.repeat(frame["slice"].to_numpy(), docs),
-            "row": np.arange(total) - np.repeat(base_of[:-1], docs),
-            "n_known": add((count > 0)[word]).astype(np.int64),
-            "base": add(np.log10(count + 1.0)[word]),
-            "score": add(value[place] + context[word]),
-        }
-    )
-    ids, null, lengths = np.zeros(total, np.int64), np.ones(total, bool), np.zeros(total, np.int64)
-    for i, (a, b) in enumerate(zip(frame["ids"], frame["held"])):
-        if a is not None:
-            n = len(a) // 8
-            ids[base_of[i] : base_of[i] + n] = np.frombuffer(a, np.int64)
-            null[base_of[i] : base_of[i] + n] = np.frombuffer(b, bool)
-            lengths[base_of[i] : base_of[i] + n] = np.frombuffer(frame["lengths"].iloc[i], np.int64)
-    out["doc_id"], out["n_tokens"] = pd.array(ids, "Int64"), lengths
-    out.loc[null, "doc_id"] = pd.NA
-    touched = (lengths > 0) | (np.bincount(owner, minlength=total) > 0)
-    return out[touched]
+    add = lambda per: np.bincount(owner, per, len(touched))
+    known, base, score = add((count > 0)[word]).astype(np.int32), add(np.log10(count + 1.0)[word]), add(value[place] + context[word])
+    cuts = np.searchsorted(touched >> 15, np.arange(len(sent) + 1))
+    packed = lambda array: [array[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+    sums = {"rows": packed((touched & 0x7FFF).astype(np.uint16)), "n_known": packed(known), "base": packed(base), "score": packed(score)}
+    return pd.DataFrame({name: frame[name].to_numpy() for name in ("slice", "ids", "null", "lengths")} | sums)
+
+
+SUMS = "slice long, ids binary, null binary, lengths binary, rows binary, n_known binary, base binary, score binary"
+
+
+def finish_slice(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per document of a slice, from what its shards say."""
+    home = frame[frame["ids"].notna()].iloc[0]
+    ids, lengths = np.frombuffer(home["ids"], np.int64), np.frombuffer(home["lengths"], np.int64)
+    rows = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["rows"]])
+    add = lambda name, kind: np.bincount(rows, np.concatenate([np.frombuffer(x, kind) for x in frame[name]]), len(ids))
+    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": lengths})
+    out.loc[np.frombuffer(home["null"], bool), "doc_id"] = pd.NA
+    out["n_known"], out["base"], out["score"] = add("n_known", np.int32).astype(np.int64), add("base", np.float64), add("score", np.float64)
+    return out
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -238,13 +235,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     routing = context.broadcast(Routing(shards, large))
     parts = chunks(named, routing)
-    summed = parts.groupBy("shard").applyInPandas(
-        lambda frame: score_shard(frame, routing.value, tokens, vocabulary),
-        "slice long, row long, n_known long, base double, score double, doc_id long, n_tokens long",
-    )
-    whole = summed.groupBy("slice", "row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score")
-    )
+    summed = parts.groupBy("shard").applyInPandas(lambda frame: score_shard(frame, routing.value, tokens, vocabulary), SUMS)
+    whole = summed.groupBy("slice").applyInPandas(finish_slice, "doc_id long, n_tokens long, n_known long, base double, score double")
     return whole.select(
         "doc_id",
         (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
