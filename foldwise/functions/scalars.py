@@ -149,7 +149,18 @@ def shuffle_key(identifier: Column | str, seed: int | str) -> Column:
 
 
 def entity_id(dataset: Column | str, ordinal: Column | str, width: int = 8) -> Column:
-    return F.concat(_col(dataset), F.lit("_"), F.lpad(_col(ordinal).cast("string"), width, "0"))
+    return F.concat(_col(dataset), F.lit("_"), zero_filled(ordinal, width))
+
+
+def zero_filled(number: Column | str, width: int) -> Column:
+    """A number as text of at least ``width`` digits; longer ones keep all their digits."""
+    text = _col(number).cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def acyclic(text: Column | str) -> Column:
+    """A valid molecule string has no ring iff no ring-closure digit stands outside brackets."""
+    return ~F.regexp_like(F.regexp_replace(_col(text), r"\[[^\]]*\]", ""), F.lit("[0-9%]"))
 
 
 def part_name(part: Column | str) -> Column:

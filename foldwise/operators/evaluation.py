@@ -43,11 +43,12 @@ def fold_sizes(test: DataFrame, keys: Sequence[str] = ("Benchmark", "Dataset", "
 def evaluate_classification(
     df: DataFrame, keys: Sequence[str] = POINT, y: str = "y", score: str = "score", is_empty: str = "is_empty"
 ) -> DataFrame:
-    """Counts, AP, ROC AUC and normPR per point and subset; ineligible subsets are left out."""
+    """Counts, AP, ROC AUC and normPR per point and subset, all over the rows with a label and a finite
+    score; ineligible subsets are left out."""
     keys = list(keys)
     subset = [*keys, "Subset"]
     merged = df.groupBy(
-        *keys, F.col(is_empty).alias("_empty"), to_number(y).alias("_y"), known(F.col(score).cast("double")).alias("score")
+        *keys, F.col(is_empty).alias("_empty"), to_number(y).alias("_y"), finite(score).alias("score")
     ).agg(F.count(F.lit(1)).alias("_rows"))
     fanned = with_subsets(merged, "_empty")
     labelled = fanned.join(label_coding(fanned, subset, "_y"), subset)
@@ -62,7 +63,7 @@ def evaluate_classification(
         F.sum("neg").alias("N_Negative"),
     ).where(eligible(F.col("N_Positive"), F.col("N_Negative")))
     sample = df.select(finite(score).alias("score"))
-    ranked = ranking_metrics(scored.where(finite("score").isNotNull()), subset, sample)
+    ranked = ranking_metrics(scored, subset, sample)
     return counts.join(ranked, subset, "left").select(
         *subset,
         "N",
@@ -78,11 +79,12 @@ def evaluate_classification(
 def evaluate_regression(
     df: DataFrame, keys: Sequence[str] = POINT, y: str = "y", pred: str = "pred", is_empty: str = "is_empty"
 ) -> DataFrame:
-    """Error, association and spread metrics per point and subset with at least five rows."""
+    """Error, association and spread metrics per point and subset with at least five rows,
+    all over the same finite pairs."""
     keys = list(keys)
     subset = [*keys, "Subset"]
     pairs = df.select(
-        *keys, F.col(is_empty).alias("_empty"), to_number(y).alias("y"), to_number(pred).alias("pred")
+        *keys, F.col(is_empty).alias("_empty"), finite(to_number(y)).alias("y"), finite(to_number(pred)).alias("pred")
     ).where(F.col("y").isNotNull() & F.col("pred").isNotNull())
     fanned = with_subsets(pairs, "_empty")
     basic = moments(fanned, subset, "y", "pred", constant_r2="score").where(F.col("n") >= MIN_TEST_ROWS)

@@ -7,27 +7,23 @@ do not.
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from foldwise.functions.bits import WORD
+from foldwise.functions.bits import WORD, on_bits
 
 # Booster settings.
 STEP, DEPTH, SHARE, ROUNDS, SEED = 0.05, 3, 0.9, 80, 42
 
 
-def bit_vector(words: str):
-    """Packed words as a dense 0/1 ML vector."""
-    places = F.sequence(F.lit(0), F.size(words) * WORD - 1)
-    bit = F.transform(
-        places,
-        lambda b: F.get(F.col(words), F.floor(b / WORD).cast("int"))
-        .bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(b, F.lit(WORD)).cast("int")))
-        .cast("boolean")
-        .cast("double"),
-    )
-    return array_to_vector(bit)
+def bit_vectors(df: DataFrame, words: str = "words", name: str = "features") -> DataFrame:
+    """Packed words as sparse 0/1 ML vectors of the positions that are set."""
+    size = df.agg(F.max(F.size(words))).first()[0] or 1
+    places = [str(b) for b in range(size * WORD)]
+    coder = CountVectorizerModel.from_vocabulary(places, inputCol="_on", outputCol=name)
+    return coder.setBinary(True).transform(df.withColumn("_on", F.transform(on_bits(words), lambda b: b.cast("string")))).drop("_on")
 
 
 def featurize(df: DataFrame, target: str, task: str, words: str = "words") -> DataFrame:
@@ -36,7 +32,7 @@ def featurize(df: DataFrame, target: str, task: str, words: str = "words") -> Da
     usable = df.withColumn("y_true", y).where(F.col("y_true").isNotNull() & F.col(words).isNotNull())
     if task == "classification":
         usable = usable.withColumn("y_true", F.col("y_true").cast("int").cast("double")).where(F.col("y_true").isin(0.0, 1.0))
-    return usable.withColumn("features", bit_vector(words))
+    return bit_vectors(usable, words)
 
 
 def predict_regression(train: DataFrame, test: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:

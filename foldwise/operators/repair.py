@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.bits import tanimoto
-from foldwise.functions.scalars import SPLITS, max_cluster_size, split_ratio, target_counts
+from foldwise.functions.scalars import SPLITS, max_cluster_size, split_ratio, target_counts, zero_filled
 from foldwise.operators.clusters import by_key, microclusters, words_matrix
 from foldwise.operators.ranking import ordinal_by, ordinal_within, running_totals
 from foldwise.operators.similarity import hash_sample, similarity_matrix
@@ -330,7 +330,7 @@ def repair_split(
         "sample", F.coalesce("sample", F.array().cast("array<array<bigint>>"))
     )
     choices = cut_lineage(coupled_assignment(ready, targets, keys, condition))
-    label = F.concat(F.lit("ESA_"), F.lpad(F.col("cluster_no").cast("string"), 5, "0"))
+    label = F.concat(F.lit("ESA_"), zero_filled("cluster_no", 5))
     summary = choices.select(
         *keys, label.alias("cluster_id"), F.col("choice").alias("split"), "cluster_size", "const_to_sb_train", "is_invalid_fp_group"
     )

@@ -26,6 +26,7 @@ BLOCK_ROWS = 1024
 # Smallest group whose similarity structure is reported, pair sample size.
 MIN_MEMBERS = 5
 MAX_SAMPLED_PAIRS = 60000
+STRIDES = (1_000_000_007, 998_244_353)  # primes: pairs drawn one after the other lie far apart
 
 
 def merge_copies(
@@ -363,33 +364,32 @@ def similar_nodes(nodes: DataFrame, keys: Sequence[str], threshold: float, block
 def sampled_pair_mean(
     members: DataFrame, keys: Sequence[str], identifier: str, pairs: int = MAX_SAMPLED_PAIRS, seed: int = 20250328
 ) -> DataFrame:
-    """Mean similarity over a fixed number of distinct hashed pairs.
+    """Mean similarity over a fixed number of distinct pairs, or all pairs if there are fewer.
 
-    The estimator for groups too large for all pairs: pair positions come from a
-    seeded hash, members are numbered without sorting a group in one task.
+    The estimator for groups too large for all pairs.  Pairs are numbered from 0, and draw t takes
+    the pair (start + t * STRIDE) modulo their number.  The stride is prime and, whenever it divides that
+    number, the next one is taken, so every draw is a new pair.
     """
     keys = list(keys)
     numbered = ordinal_within(members.where(F.col("words").isNotNull()), keys, identifier, "_ord")
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
-    want = F.least(F.lit(pairs), F.floor(F.col("_n") * (F.col("_n") - 1) / 2)).cast("bigint")
-
-    def position(tag: str) -> Column:
-        digest = shuffle_key(F.concat_ws(":", F.lit(tag), F.col("_t"), *keys), seed)
-        return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.col("_n")
-
+    total = F.expr("_n * (_n - 1) div 2")
+    start = F.pmod(F.conv(F.substring(shuffle_key(F.concat_ws(":", *keys), seed), 1, 12), 16, 10).cast("bigint"), F.col("_all"))
+    stride = F.when(F.col("_all") % STRIDES[0] != 0, STRIDES[0]).otherwise(STRIDES[1])
     drawn = (
-        sizes.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("bigint"), want * 2 + 64)))
-        .select(*keys, "_n", "_t", want.alias("_want"), position("i").alias("_i"), position("j").alias("_j"))
-        .where(F.col("_i") != F.col("_j"))
-        .select(*keys, "_t", "_want", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
-        .groupBy(*keys, "_want", "_i", "_j")
-        .agg(F.min("_t").alias("_t"))
+        sizes.withColumn("_all", total)
+        .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(pairs).cast("bigint"), F.col("_all")) - 1)))
+        .withColumn("_p", F.pmod(start + F.col("_t") * stride, F.col("_all")))
+        .withColumn("_j", F.floor((1 + F.sqrt(1 + 8 * F.col("_p").cast("double"))) / 2).cast("bigint"))
+        # the square root may be off by one for large numbers
+        .withColumn("_j", F.expr("CASE WHEN _j * (_j - 1) div 2 > _p THEN _j - 1 WHEN (_j + 1) * _j div 2 <= _p THEN _j + 1 ELSE _j END"))
+        .withColumn("_i", F.expr("_p - _j * (_j - 1) div 2"))
     )
-    chosen = ordinal_within(drawn, keys, "_t", "_k").where(F.col("_k") < F.col("_want"))
     left = numbered.select(*keys, F.col("_ord").alias("_i"), F.col("words").alias("_a"))
     right = numbered.select(*keys, F.col("_ord").alias("_j"), F.col("words").alias("_b"))
     return (
-        chosen.join(left, [*keys, "_i"])
+        drawn.select(*keys, "_i", "_j")
+        .join(left, [*keys, "_i"])
         .join(right, [*keys, "_j"])
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("pairs"), F.avg(tanimoto("_a", "_b")).alias("pairwise_mean"))

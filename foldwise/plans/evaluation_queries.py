@@ -397,14 +397,17 @@ def positional_join(spark, folder):
     "match_split_rows",
     f"""WITH {ENTITIES}, f AS (SELECT group_key AS molecules, doc_id AS row_id,
         row_number() OVER (PARTITION BY group_key ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY group_key) AS have
-        FROM ent WHERE split <> 'test'),
+        FROM ent),
       s AS (SELECT group_key AS molecules, split, row_number() OVER (PARTITION BY group_key
-        ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, doc_id) - 1 AS want FROM ent)
+        ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, doc_id, again) - 1 AS want
+        FROM ent, (VALUES (0), (1)) twice(again))
       SELECT DISTINCT molecules, s.split, f.row_id FROM s JOIN f USING (molecules)
       WHERE f.i = CASE WHEN s.want < f.have THEN s.want ELSE 0 END""",
 )
 def match_split_rows(spark, folder):
     ents = entities(spark, folder)
-    full = ents.where(F.col("split") != "test").select(F.col("group_key").alias("molecules"), F.col("doc_id").alias("row_id"))
-    split = ents.select(F.col("group_key").alias("molecules"), "split", F.col("doc_id").alias("row_order"))
+    full = ents.select(F.col("group_key").alias("molecules"), F.col("doc_id").alias("row_id"))
+    # every row twice, so that keys run out of duplicates
+    order = F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1))
+    split = ents.select(F.col("group_key").alias("molecules"), "split", order.alias("row_order"))
     return A.match_split_rows(full, split, ["molecules"])

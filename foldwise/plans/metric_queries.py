@@ -12,6 +12,7 @@ from foldwise.plans.registry import query
 from foldwise.plans.roles import CLASSIFIED, LABELLED, LINES, REGRESSED, classified, labelled, regressed, _lines
 from foldwise.sources.tables import load
 
+SERIES = ["Dataset", "Target", "Model"]
 # Documents: label 'quality' and 'toxic' against a tying score, whole set and by status.
 _SCORED = f"""WITH {LABELLED}, pts AS (
     SELECT t.target, s.subset, t.y, score FROM lab, LATERAL (VALUES ('quality', quality), ('toxic', toxic)) t(target, y),
@@ -59,18 +60,20 @@ def norm_pr(spark, folder):
     return _ranking(spark, folder).select("target", "subset", "normPR")
 
 
-_CONFUSION = """cm AS (SELECT "Dataset", "Model", count(*) AS n, sum(y) AS p,
+# labels of -1 and 1 count as 0 and 1
+_CONFUSION = """coded AS (SELECT * REPLACE (CASE WHEN y = -1 THEN 0 ELSE y END AS y) FROM cls),
+  cm AS (SELECT "Dataset", "Target", "Model", count(*) AS n, sum(y) AS p,
     count(*) FILTER (y = 1 AND score >= 0.5)::DOUBLE AS tp, count(*) FILTER (y = 0 AND score >= 0.5)::DOUBLE AS fp,
     count(*) FILTER (y = 1 AND score < 0.5)::DOUBLE AS fn, count(*) FILTER (y = 0 AND score < 0.5)::DOUBLE AS tn
-    FROM cls WHERE "Target" = 'returned' GROUP BY ALL),
-  th AS (SELECT "Dataset", "Model", n, p / n AS positive_rate, (tp + tn) / n AS accuracy,
+    FROM coded GROUP BY ALL),
+  th AS (SELECT "Dataset", "Target", "Model", n, p / n AS positive_rate, (tp + tn) / n AS accuracy,
     coalesce((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0))
       AS balanced_accuracy, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1,
     (tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0) AS mcc FROM cm)"""
 
 
-def _returned(spark, folder):
-    return classified(spark, folder).where(F.col("Target") == "returned")
+def _coded(spark, folder):
+    return C.binary_labels(classified(spark, folder), SERIES, "y").drop("y").withColumnRenamed("label", "y")
 
 
 @query(
@@ -79,27 +82,26 @@ def _returned(spark, folder):
     "positive_rate accuracy balanced_accuracy f1 mcc",
 )
 def threshold_metrics(spark, folder):
-    return C.threshold_metrics(C.score_counts(_returned(spark, folder), ["Dataset", "Model"]), ["Dataset", "Model"])
+    return C.threshold_metrics(C.score_counts(_coded(spark, folder), SERIES), SERIES)
 
 
-_RANKED = """thr AS (SELECT "Dataset", "Model", score, sum(y) AS pos, count(*) AS c FROM cls
-    WHERE "Target" = 'returned' GROUP BY ALL),
+_RANKED = """thr AS (SELECT "Dataset", "Target", "Model", score, sum(y) AS pos, count(*) AS c FROM coded GROUP BY ALL),
   cum AS (SELECT *, sum(pos) OVER w AS hits, sum(c) OVER w AS upto FROM thr
-    WINDOW w AS (PARTITION BY "Dataset", "Model" ORDER BY score DESC)),
-  tot AS (SELECT "Dataset", "Model", sum(pos) AS p, sum(c) - sum(pos) AS m, sum(pos * (hits / upto)) AS aps,
+    WINDOW w AS (PARTITION BY "Dataset", "Target", "Model" ORDER BY score DESC)),
+  tot AS (SELECT "Dataset", "Target", "Model", sum(pos) AS p, sum(c) - sum(pos) AS m, sum(pos * (hits / upto)) AS aps,
     sum(pos * ((c + 1) / 2.0::DOUBLE - upto)) AS ranks FROM cum GROUP BY ALL),
-  rk AS (SELECT "Dataset", "Model", aps / p AS average_precision,
+  rk AS (SELECT "Dataset", "Target", "Model", aps / p AS average_precision,
     (ranks + p * (p + m) - p * (p + 1) / 2.0::DOUBLE) / (p * m) AS roc_auc,
     (aps / p - p / (p + m)) / (1 - p / (p + m)) AS "normPR" FROM tot)"""
 
 
 @query(
     "classification_summary",
-    f'WITH {CLASSIFIED}, {_CONFUSION}, {_RANKED} SELECT * FROM th JOIN rk USING ("Dataset", "Model")',
+    f'WITH {CLASSIFIED}, {_CONFUSION}, {_RANKED} SELECT * FROM th JOIN rk USING ("Dataset", "Target", "Model")',
     "positive_rate accuracy balanced_accuracy f1 mcc average_precision roc_auc normPR",
 )
 def classification_summary(spark, folder):
-    return C.classification_summary(_returned(spark, folder), ["Dataset", "Model"])
+    return C.classification_summary(_coded(spark, folder), SERIES)
 
 
 @query(
@@ -131,13 +133,12 @@ def binary_label_recode(spark, folder):
 
 @query(
     "eligible_binary_gate",
-    f"""WITH {CLASSIFIED} SELECT "Dataset", "Fold", "Target", count(*) FILTER (y = 1) AS n_positive,
-      count(*) FILTER (y <> 1) AS n_negative FROM cls WHERE is_empty AND "Model" = 'volume' GROUP BY ALL
+    f"""WITH {CLASSIFIED} SELECT "Dataset", "Fold", "Target", "Model", is_empty, count(*) FILTER (y = 1) AS n_positive,
+      count(*) FILTER (y <> 1) AS n_negative FROM cls GROUP BY ALL
       HAVING count(*) FILTER (y = 1) >= 10 AND count(*) FILTER (y <> 1) >= 10""",
 )
 def eligible_binary_gate(spark, folder):
-    rows = classified(spark, folder).where(F.col("is_empty") & (F.col("Model") == "volume"))
-    counts = rows.groupBy("Dataset", "Fold", "Target").agg(
+    counts = classified(spark, folder).groupBy("Dataset", "Fold", "Target", "Model", "is_empty").agg(
         F.sum((F.col("y") == 1).cast("long")).alias("n_positive"), F.sum((F.col("y") != 1).cast("long")).alias("n_negative")
     )
     return counts.where(C.eligible(F.col("n_positive"), F.col("n_negative")))
@@ -153,16 +154,12 @@ def subset_fanout(spark, folder):
     return with_subsets(_lines(spark, folder)).groupBy("Dataset", "Subset").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _price(spark, folder):
-    return regressed(spark, folder).where(F.col("Target") == "price")
-
-
-_KEY = '"Dataset", "Model"'
+_KEY = '"Dataset", "Target", "Model"'
 _MOMENTS = f"""mo AS (SELECT {_KEY}, count(*) AS n, avg(abs(y - pred)) AS "MAE", sqrt(avg((y - pred) * (y - pred))) AS "RMSE",
     1 - avg((y - pred) * (y - pred)) / nullif(var_pop(y), 0) AS "R2", corr(y, pred) AS "Pearson_r",
     avg(abs(y)) AS target_scale_mean_abs, avg(abs(y - pred)) / nullif(avg(abs(y)), 0) AS "relMAE",
     stddev_samp(pred) AS "Prediction_SD", stddev_samp(y) AS "Target_SD"
-    FROM reg WHERE "Target" = 'price' GROUP BY ALL)"""
+    FROM reg GROUP BY ALL)"""
 
 
 def _register_moment(name: str, *columns: str):
@@ -170,7 +167,7 @@ def _register_moment(name: str, *columns: str):
 
     @query(name, f"WITH {REGRESSED}, {_MOMENTS} SELECT {_KEY}, {picked} FROM mo", " ".join(c for c in columns if c != "n"))
     def run(spark, folder):
-        return R.moments(_price(spark, folder), ["Dataset", "Model"]).select("Dataset", "Model", *columns)
+        return R.moments(regressed(spark, folder), SERIES).select(*SERIES, *columns)
 
     return run
 
@@ -184,14 +181,13 @@ target_sd = _register_moment("target_sd", "Prediction_SD", "Target_SD")
 _RANKS = f"""rk AS (SELECT {_KEY},
     rank() OVER (PARTITION BY {_KEY} ORDER BY y) + (count(*) OVER (PARTITION BY {_KEY}, y) - 1) / 2.0::DOUBLE AS ry,
     rank() OVER (PARTITION BY {_KEY} ORDER BY pred) + (count(*) OVER (PARTITION BY {_KEY}, pred) - 1) / 2.0::DOUBLE AS rp
-    FROM reg WHERE "Target" = 'price'),
+    FROM reg),
   sp AS (SELECT {_KEY}, corr(ry, rp) AS "Spearman_rho" FROM rk GROUP BY ALL)"""
 
 
 @query("spearman", f"WITH {REGRESSED}, {_RANKS} SELECT * FROM sp", "Spearman_rho")
 def spearman(spark, folder):
-    keys = ["Dataset", "Model"]
-    return R.spearman(R.pair_counts(_price(spark, folder), keys), keys)
+    return R.spearman(R.pair_counts(regressed(spark, folder), SERIES), SERIES)
 
 
 @query(
@@ -200,7 +196,7 @@ def spearman(spark, folder):
     "MAE RMSE R2 Pearson_r target_scale_mean_abs relMAE Prediction_SD Target_SD Spearman_rho",
 )
 def regression_summary(spark, folder):
-    return R.regression_summary(_price(spark, folder), ["Dataset", "Model"])
+    return R.regression_summary(regressed(spark, folder), SERIES)
 
 
 @query(

@@ -11,8 +11,6 @@ from foldwise.plans.registry import query
 from foldwise.plans.similarity_queries import vectors
 from foldwise.sources.tables import load
 
-ROUNDS = 8  # short boosting keeps the check quick; the rows are all of them
-
 
 def _sides(spark, folder, target, task):
     labels = load(spark, folder, "embeddings").select("vec_id", "label")
@@ -24,10 +22,10 @@ def _sides(spark, folder, target, task):
 @query("gbt_classification")
 def gbt_classification(spark, folder):
     train, test = _sides(spark, folder, (F.col("label") < 5).cast("int"), "classification")
-    return classification_summary(M.predict_classification(train, test, ROUNDS), ["dataset"], "y_true", "y_score")
+    return classification_summary(M.predict_classification(train, test), ["dataset"], "y_true", "y_score")
 
 
 @query("gbt_regression")
 def gbt_regression(spark, folder):
     train, test = _sides(spark, folder, F.col("label").cast("double"), "regression")
-    return regression_summary(M.predict_regression(train, test, ROUNDS), ["dataset"], "y_true", "y_pred")
+    return regression_summary(M.predict_regression(train, test), ["dataset"], "y_true", "y_pred")

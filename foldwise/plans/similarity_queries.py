@@ -226,12 +226,12 @@ def hash_sample_cap(spark, folder):
     "sampled_pairwise_mean",
     f"""WITH {VECTORS}, o AS (SELECT dataset, word, row_number() OVER (PARTITION BY dataset ORDER BY vec_id) - 1 AS k,
         count(*) OVER (PARTITION BY dataset) AS n FROM vec),
-      z AS (SELECT DISTINCT dataset, n, least(2000, n * (n - 1) // 2) AS want FROM o),
-      t AS (SELECT dataset, want, t, ('0x' || substr(md5('20250328:i:' || t || ':' || dataset), 1, 12))::BIGINT % n AS i,
-        ('0x' || substr(md5('20250328:j:' || t || ':' || dataset), 1, 12))::BIGINT % n AS j
-        FROM z, LATERAL (SELECT unnest(range(want * 2 + 65)) AS t)),
-      u AS (SELECT dataset, want, least(i, j) AS i, greatest(i, j) AS j, min(t) AS t FROM t WHERE i <> j GROUP BY ALL),
-      c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY t) <= want)
+      pr AS (SELECT dataset, b.k * (b.k - 1) // 2 + a.k AS p, a.k AS i, b.k AS j, a.n * (a.n - 1) // 2 AS total
+        FROM o a JOIN o b USING (dataset) WHERE a.k < b.k),
+      z AS (SELECT DISTINCT dataset, total, ('0x' || substr(md5('20250328:' || dataset), 1, 12))::BIGINT % total AS start,
+        CASE WHEN total % 1000000007 <> 0 THEN 1000000007 ELSE 998244353 END AS stride FROM pr),
+      t AS (SELECT dataset, (start + t * stride) % total AS p FROM z, LATERAL (SELECT unnest(range(least(2000, total))) AS t)),
+      c AS (SELECT dataset, i, j FROM t JOIN pr USING (dataset, p))
       SELECT c.dataset, count(*) AS pairs, avg({SIM}) AS pairwise_mean FROM c
         JOIN o a ON a.dataset = c.dataset AND a.k = c.i JOIN o b ON b.dataset = c.dataset AND b.k = c.j GROUP BY 1""",
     "pairwise_mean",

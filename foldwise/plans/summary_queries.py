@@ -247,7 +247,7 @@ def largest_remainder_counts(spark, folder):
 @query(
     "scalar_identifiers",
     """SELECT event_id, ('0x' || substr(sha256('20250328:' || event_type || ':' || user_id), 1, 8))::BIGINT AS seed,
-      event_type || '_' || lpad(event_id::VARCHAR, 8, '0') AS row_id, 'part_' || (user_id % 5 + 1) AS part_name,
+      event_type || '_' || printf('%08d', event_id) AS row_id, 'part_' || (user_id % 5 + 1) AS part_name,
       'fold_' || (user_id % 7 + 1) AS fold_name,
       replace(replace(lower(trim(' ' || event_type || '-Set A ')), ' ', '_'), '-', '_') AS normalized,
       right(props, 6) AS tail, md5('7:' || event_id) AS shuffle_key FROM events""",

@@ -27,21 +27,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint used between the rounds of an iterative operator.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``; a private
-    temporary folder is set only when nothing is configured (local runs).
+    temporary folder is set only in local mode when nothing is configured.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def balance_factor(spark: SparkSession, limit: int = 1024) -> int:
+def balance_factor(spark: SparkSession) -> int:
     """Number of value buckets used by the two-level running totals.
 
     A power of two that follows ``spark.sql.shuffle.partitions``, so that the
     largest bucket shrinks as the cluster (and the data) grows.
     """
-    wanted = max(2, min(limit, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    wanted = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return 1 << (wanted - 1).bit_length()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
+import io
 import json
-from collections.abc import Mapping, Sequence
-from pathlib import Path
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_splits(df: DataFrame, path: str, partitions: Sequence[str], columns: Sequence[str], fmt: str = "csv") -> None:
@@ -35,43 +37,63 @@ def union_rows(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-REPORT_LIMIT = 100_000
-
-
-def _report_rows(df: DataFrame, limit: int) -> list[dict]:
-    """Rows of a report table for a driver-side file; refuses to pull a data-sized table."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows: write this table with write_table")
-    return [r.asDict(recursive=True) for r in rows]
-
-
-def write_report_csv(df: DataFrame, path: str, limit: int = REPORT_LIMIT) -> None:
-    """A small summary as one CSV file with a byte-order mark, as spreadsheets expect."""
-    rows = _report_rows(df, limit)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="", encoding="utf-8-sig") as handle:
-        writer = csv.DictWriter(handle, df.columns)
-        writer.writeheader()
-        writer.writerows(rows)
-
-
-def write_report_json(df: DataFrame, path: str, limit: int = REPORT_LIMIT) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(_report_rows(df, limit), indent=2, default=str), encoding="utf-8")
-
-
-def write_metadata(values: Mapping, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(dict(values), indent=2, default=str), encoding="utf-8")
-
-
-def write_sheets(tables: Mapping[str, DataFrame], folder: str, limit: int = REPORT_LIMIT) -> None:
-    """A multi-sheet report as one CSV per sheet; an empty sheet says so."""
+@contextmanager
+def _text_file(spark: SparkSession, path: str, bom: bool = False):
+    """A function that appends text to one new file on any file system that Spark can write to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        if bom:
+            stream.write(bytearray(codecs.BOM_UTF8))
+        yield lambda text: stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def _chunks(df: DataFrame, rows: int = 5000) -> Iterator[list[dict]]:
+    """Rows of any number of them, one partition at a time."""
+    held = []
+    for row in df.toLocalIterator():
+        held.append(row.asDict(recursive=True))
+        if len(held) == rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def write_report_csv(df: DataFrame, path: str) -> None:
+    """A summary as one CSV file with a byte-order mark, as spreadsheets expect."""
+    with _text_file(df.sparkSession, path, bom=True) as append:
+        text = io.StringIO()
+        csv.DictWriter(text, df.columns).writeheader()
+        append(text.getvalue())
+        for rows in _chunks(df):
+            text = io.StringIO()
+            csv.DictWriter(text, df.columns).writerows(rows)
+            append(text.getvalue())
+
+
+def write_report_json(df: DataFrame, path: str) -> None:
+    with _text_file(df.sparkSession, path) as append:
+        before = "["
+        for rows in _chunks(df):
+            append("".join(f"{before if i == 0 else ','}\n{json.dumps(row, indent=2, default=str)}" for i, row in enumerate(rows)))
+            before = ","
+        append("\n]" if before == "," else "[]")
+
+
+def write_metadata(spark: SparkSession, values: Mapping, path: str) -> None:
+    with _text_file(spark, path) as append:
+        append(json.dumps(dict(values), indent=2, default=str))
+
+
+def write_sheets(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """A multi-sheet report as one CSV per sheet, under its whole name; an empty sheet says so."""
     for name, table in tables.items():
-        path = Path(folder) / f"{name[:31]}.csv"
+        path = f"{folder}/{name}.csv"
         if table.isEmpty():
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_text("message\nNo data available\n", encoding="utf-8-sig")
+            with _text_file(table.sparkSession, path, bom=True) as append:
+                append("message\nNo data available\n")
         else:
-            write_report_csv(table, str(path), limit)
+            write_report_csv(table, path)

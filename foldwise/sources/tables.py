@@ -88,9 +88,8 @@ def file_catalog(spark: SparkSession, glob: str) -> DataFrame:
 
 def split_dirs(listing: DataFrame) -> DataFrame:
     """Directories that hold both a test and a train file."""
-    names = listing.groupBy("dir").agg(F.collect_set("name").alias("names"))
-    both = F.array_contains("names", "test.csv") & F.array_contains("names", "train.csv")
-    return names.where(both).select("dir").orderBy("dir")
+    has = [F.bool_or(F.col("name") == f"{split}.csv").alias(split) for split in ("test", "train")]
+    return listing.groupBy("dir").agg(*has).where("test and train").select("dir").orderBy("dir")
 
 
 def sample_catalog(catalog: DataFrame, key: str, n: int | None, seed: int = 20250328) -> DataFrame:

@@ -139,3 +139,33 @@ def test_scalars(spark):
         scalars.pretty_name(F.lit("a_b")).alias("name"),
     ).first()
     assert row["jsd"] == pytest.approx(math.log(2)) and row["inf"] == INF and row["none"] is None and row["name"] == "a b"
+
+
+def test_infinities_leave_all_metrics_alike(spark):
+    from foldwise.operators import evaluation
+
+    rows = [(float(i), float(i) + (i % 3), False) for i in range(8)]
+    wild = rows + [(float("inf"), 1.0, False), (2.0, float("-inf"), True)]
+    plain, marked = (
+        spark.createDataFrame(r, "y double, pred double, is_empty boolean").selectExpr("*", *(f"'x' AS {k}" for k in evaluation.POINT)) for r in (rows, wild)
+    )
+    one, two = (evaluation.evaluate_regression(t).where("Subset = 'all_test'").first() for t in (plain, marked))
+    assert one == two and one["N"] == 8
+    scored = [t.withColumn("y", (t.y > 3).cast("double")).withColumnRenamed("pred", "score") for t in (plain, marked.where("not (y = 'Infinity')"))]
+    counts = [evaluation.evaluate_classification(t).collect() for t in scored]
+    assert counts[0] == counts[1]
+
+
+def test_identifiers_keep_all_digits(spark):
+    from foldwise.functions.scalars import entity_id
+
+    ids = spark.createDataFrame([(100_000_001,), (100_000_012,), (7,)], "n bigint").select(entity_id(F.lit("d"), "n").alias("i")).collect()
+    assert [r["i"] for r in ids] == ["d_100000001", "d_100000012", "d_00000007"]
+
+
+def test_all_pairs_of_a_small_group_are_drawn(spark):
+    from foldwise.operators.similarity import sampled_pair_mean
+
+    members = spark.range(100).selectExpr("'d' AS dataset", "id", "array(id * 2654435761) AS words")
+    assert sampled_pair_mean(members, ["dataset"], "id").first()["pairs"] == 4950
+    assert sampled_pair_mean(members, ["dataset"], "id", pairs=700).first()["pairs"] == 700

@@ -73,7 +73,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 2
     sinks.write_report_json(df, f"{tmp_path}/r.json")
     assert len(json.loads((tmp_path / "r.json").read_text())) == 2
-    with pytest.raises(ValueError):
-        sinks.write_report_csv(df, f"{tmp_path}/r.csv", limit=1)
+    sinks.write_report_csv(spark.range(12_000), f"{tmp_path}/r.csv")
+    assert len((tmp_path / "r.csv").read_text(encoding="utf-8-sig").splitlines()) == 12_001
+    long = "a" * 31
+    sinks.write_sheets({f"{long}1": df, f"{long}2": df.limit(1)}, f"{tmp_path}/long")
+    assert len((tmp_path / "long" / f"{long}1.csv").read_text().splitlines()) == 3
+    assert len((tmp_path / "long" / f"{long}2.csv").read_text().splitlines()) == 2
     sinks.write_sheets({"full": df, "none": df.limit(0)}, f"{tmp_path}/book")
     assert "No data" in (tmp_path / "book" / "none.csv").read_text(encoding="utf-8-sig")
