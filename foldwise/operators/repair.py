@@ -5,24 +5,22 @@ clusters are assigned, largest first, to train, valid, test or drop.  Each choic
 depends on all earlier ones, but only through sums of similarities per split and
 through the split sizes.  So clusters are decided in batches: a parallel job sums
 the similarities of a batch to everything assigned before it, and a small loop
-decides the batch.  The outcome equals that of one long loop.
+decides the batch.  The outcome equals that of one long loop.  All similarities are sums
+over all members: nothing is sampled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldwise.functions.bits import tanimoto
 from foldwise.functions.scalars import SPLITS, max_cluster_size, split_ratio, target_counts, zero_filled
-from foldwise.operators.clusters import by_key, microclusters, words_matrix
+from foldwise.operators.clusters import microclusters
 from foldwise.operators.ranking import ordinal_by, ordinal_within, running_totals
-from foldwise.operators.similarity import hash_sample, similarity_matrix
+from foldwise.operators.similarity import group_similarity
 from foldwise.session import cut_lineage
 
 
@@ -39,7 +37,6 @@ class RepairCondition:
     lower_valid: float
     lower_test: float
     drop_budget: float
-    sample_cap: int = 16
 
 
 # The two published repair conditions.
@@ -51,7 +48,7 @@ CONDITIONS = {
     )
 }
 BATCH = 256
-# Similarity sums travel as whole billionths, so they do not depend on the order of addition.
+# The choices add up whole billionths, as integers of any size, so the order of addition does not matter.
 UNIT = 1_000_000_000
 
 
@@ -77,66 +74,14 @@ def assignment_targets(members: DataFrame, keys: Sequence[str], condition: Repai
     )
 
 
-def train_similarity(clusters: DataFrame, samples: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sampled mean similarity to bearing train members, scaled by cluster and sample size.
-
-    Both sides hold at most ``sample_cap`` members per cluster or dataset, so the
-    join multiplies rows by that constant only.
-    """
+def train_similarity(clusters: DataFrame, members: DataFrame, train: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Clusters with the sum of their members' similarities to all bearing train members."""
     keys = list(keys)
-    reference = train.select(*keys, F.col("words").alias("_t"))
-    scored = samples.join(reference, keys).groupBy(*keys, "cluster_no").agg(
-        F.avg(tanimoto("words", "_t")).alias("_mean")
-    )
-    sampled = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sampled"))
-    out = clusters.join(scored, [*keys, "cluster_no"], "left").join(sampled, keys, "left")
-    const = F.round(F.coalesce(F.col("_mean") * F.col("cluster_size") * F.col("_sampled"), F.lit(0.0)), 9)
-    return out.withColumn("const_to_sb_train", const).drop("_mean", "_sampled")
-
-
-def _cluster_sims(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Scaled mean similarity of every cluster of a to every cluster of b, in whole units."""
-
-    def stacked(frame: pd.DataFrame):
-        counts = np.array([len(s) for s in frame["sample"]])
-        owner = np.repeat(np.arange(len(frame)), counts)
-        words = [w for s in frame["sample"] for w in s]
-        return (np.stack([np.asarray(w, np.int64) for w in words]).view(np.uint64) if words else None), owner, counts
-
-    (wa, oa, na), (wb, ob, nb) = stacked(a), stacked(b)
-    out = np.zeros((len(a), len(b)))
-    if wa is None or wb is None:
-        return out.astype(np.int64)
-    sim = similarity_matrix(wa, wb)
-    rows = np.zeros((len(a), len(wb)))
-    np.add.at(rows, oa, sim)
-    cols = np.zeros((len(b), len(a)))
-    np.add.at(cols, ob, rows.T)
-    mean = cols.T / np.maximum(na[:, None] * nb[None, :], 1)
-    scaled = mean * a["cluster_size"].to_numpy()[:, None] * b["cluster_size"].to_numpy()[None, :]
-    return np.rint(scaled * UNIT).astype(np.int64)
-
-
-def _sum_to_assigned(shared, keys: Sequence[str]):
-    """Per part of the assigned clusters: similarity of each batch cluster to each split."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, mine in by_key(frame, keys).items():
-                if key not in shared.value:
-                    continue
-                batch = shared.value[key]
-                sims = _cluster_sims(batch, mine)
-                for split in SPLITS:
-                    chosen = (mine["choice"] == split).to_numpy()
-                    if chosen.any():
-                        out = pd.DataFrame({"pos": batch["pos"].to_numpy(), "sims": sims[:, chosen].sum(1)})
-                        out["choice"] = split
-                        for name, value in zip(keys, key):
-                            out[name] = value
-                        yield out[[*keys, "pos", "choice", "sims"]]
-
-    return run
+    asked = members.select(*keys, order, "words", F.col("cluster_no").alias("grp"))
+    reference = train.select(*keys, order, "words", F.lit(0).cast("bigint").alias("grp"))
+    sums = group_similarity(asked, reference, keys, order).select(*keys, F.col("q_grp").alias("cluster_no"), "total")
+    out = clusters.join(sums, [*keys, "cluster_no"], "left")
+    return out.withColumn("const_to_sb_train", F.coalesce(F.col("total").cast("double"), F.lit(0.0))).drop("total")
 
 
 def _decide(condition: Mapping[str, float], keys: Sequence[str]):
@@ -155,8 +100,9 @@ def _decide(condition: Mapping[str, float], keys: Sequence[str]):
         target, lower = ({s: int(head[f"{p}_{s}"]) for s in SPLITS} for p in ("target", "lower"))
         counts = {s: int(head[f"count_{s}"]) for s in SPLITS}
         dropped, budget, n_empty = int(head["count_drop"]), int(head["drop_budget"]), int(head["n_empty"])
-        near = {s: batch[f"near_{s}"].to_numpy(np.int64).copy() for s in SPLITS}
-        sims = _cluster_sims(batch, batch)
+        near = {s: [int(x * UNIT) for x in batch[f"near_{s}"]] for s in SPLITS}
+        sims = [{} if x is None else {e["r_grp"]: int(e["total"] * UNIT) for e in x} for x in batch["sims"]]
+        first = int(head["pos"])
         choices = []
         for i, size in enumerate(batch["cluster_size"].astype(int)):
             rest = int(batch["remaining"].iloc[i])
@@ -197,7 +143,8 @@ def _decide(condition: Mapping[str, float], keys: Sequence[str]):
                 dropped += size
             else:
                 counts[choice] += size
-                near[choice] += sims[:, i]
+                for other, total in sims[i].items():
+                    near[choice][other - first] += total
         batch["choice"] = choices
         return batch[[*keys, "pos", "choice"]]
 
@@ -239,51 +186,57 @@ def _backfill(assigned: DataFrame, targets: DataFrame, keys: Sequence[str]) -> D
     return assigned.join(moves, [*keys, "pos"], "left").withColumn("choice", F.coalesce("_move", "choice")).drop("_move")
 
 
-def coupled_assignment(clusters: DataFrame, targets: DataFrame, keys: Sequence[str], condition: RepairCondition) -> DataFrame:
-    """Choice per cluster.  ``clusters``: keys, cluster_no, cluster_size, const_to_sb_train, sample."""
+def coupled_assignment(
+    clusters: DataFrame, members: DataFrame, targets: DataFrame, keys: Sequence[str], order: str, condition: RepairCondition
+) -> DataFrame:
+    """Choice per cluster.  ``clusters``: keys, cluster_no, cluster_size, const_to_sb_train;
+    ``members``: keys, cluster_no, the member's ``order`` and words."""
     keys = list(keys)
-    spark = clusters.sparkSession
-    order = ordinal_by(clusters, keys, "const_to_sb_train", "cluster_no", descending=True, name="_by_const")
-    order = ordinal_by(order, keys, "cluster_size", "_by_const", descending=True, name="pos").drop("_by_const")
-    order = running_totals(cut_lineage(order), keys, "pos", {"_upto": "cluster_size"})
-    order = order.join(targets, keys).withColumn("remaining", F.col("n_empty") - F.col("_upto"))
-    order = cut_lineage(order.drop("_upto"))
-    last = order.agg(F.max("pos")).first()[0]
+    ranked = ordinal_by(clusters, keys, "const_to_sb_train", "cluster_no", descending=True, name="_by_const")
+    ranked = ordinal_by(ranked, keys, "cluster_size", "_by_const", descending=True, name="pos").drop("_by_const")
+    ranked = running_totals(cut_lineage(ranked), keys, "pos", {"_upto": "cluster_size"})
+    ranked = ranked.join(targets, keys).withColumn("remaining", F.col("n_empty") - F.col("_upto"))
+    ranked = cut_lineage(ranked.drop("_upto"))
+    placed = cut_lineage(members.join(ranked.select(*keys, "cluster_no", "pos"), [*keys, "cluster_no"]).select(*keys, "pos", order, "words"))
+    last = ranked.agg(F.max("pos")).first()[0]
+    types = dict(ranked.dtypes)
     decided: DataFrame | None = None
     for start in range(0, 0 if last is None else last + 1, BATCH):
-        batch = order.where((F.col("pos") >= start) & (F.col("pos") < start + BATCH))
-        columns = [*keys, "pos", "cluster_size", "sample"]
+        inside = (F.col("pos") >= start) & (F.col("pos") < start + BATCH)
+        batch = ranked.where(inside)
+        own = placed.where(inside).withColumn("grp", F.col("pos")).drop("pos")
+        sims = group_similarity(own, own, keys, order).groupBy(*keys, F.col("q_grp").alias("pos")).agg(
+            F.collect_list(F.struct("r_grp", "total")).alias("sims")  # BATCH entries at most
+        )
+        state = batch.join(sims, [*keys, "pos"], "left")
         if decided is None:
-            state = batch
             for s in (*SPLITS, "drop"):
                 state = state.withColumn(f"count_{s}", F.lit(0).cast("long"))
             for s in SPLITS:
-                state = state.withColumn(f"near_{s}", F.lit(0).cast("long"))
+                state = state.withColumn(f"near_{s}", F.lit(0).cast("decimal(38,9)"))
         else:
-            rows = batch.select(*columns).toPandas()  # BATCH clusters per dataset, sample_cap fingerprints each
-            shared = spark.sparkContext.broadcast(by_key(rows, keys))
-            types = dict(order.dtypes)
-            schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "pos bigint, choice string, sims bigint"])
-            parts = decided.select(*columns, "choice").mapInPandas(_sum_to_assigned(shared, keys), schema)
-            near = parts.groupBy(*keys, "pos").agg(
-                *[F.sum(F.when(F.col("choice") == s, F.col("sims"))).alias(f"near_{s}") for s in SPLITS]
+            code = F.element_at(F.create_map(*[x for i, s in enumerate(SPLITS) for x in (F.lit(s), F.lit(i).cast("bigint"))]), F.col("choice"))
+            before = placed.where(F.col("pos") < start).join(decided.where("choice <> 'drop'").select(*keys, "pos", code.alias("grp")), [*keys, "pos"]).drop("pos")
+            near = group_similarity(own, before, keys, order).groupBy(*keys, F.col("q_grp").alias("pos")).agg(
+                *[F.sum(F.when(F.col("r_grp") == i, F.col("total"))).cast("decimal(38,9)").alias(f"near_{s}") for i, s in enumerate(SPLITS)]
             )
             counts = decided.groupBy(*keys).agg(
                 *[F.sum(F.when(F.col("choice") == s, F.col("cluster_size"))).alias(f"count_{s}") for s in (*SPLITS, "drop")]
             )
-            state = batch.join(counts, keys, "left").join(near, [*keys, "pos"], "left")
-            state = state.na.fill(0, [c for c in state.columns if c.startswith(("near_", "count_"))])
+            state = state.join(counts, keys, "left").join(near, [*keys, "pos"], "left")
+            filled = [c for c in state.columns if c.startswith(("near_", "count_"))]
+            state = state.withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(38,9)" if c.startswith("near_") else "long")) for c in filled})
         flat = state.select(
-            *columns, "const_to_sb_train", "remaining", "n_empty", "drop_budget",
+            *keys, "pos", "cluster_size", "const_to_sb_train", "remaining", "n_empty", "drop_budget", "sims",
             *[F.col(p)[s].alias(f"{p}_{s}") for p in ("target", "lower") for s in SPLITS],
             *[c for c in state.columns if c.startswith(("near_", "count_"))],
         )
-        schema = ", ".join([*(f"{k} {t}" for k, t in order.dtypes if k in keys), "pos bigint, choice string"])
+        schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "pos bigint, choice string"])
         choice = flat.groupBy(*keys).applyInPandas(_decide(asdict(condition), keys), schema)
-        new = batch.join(choice, [*keys, "pos"])
-        decided = cut_lineage(new if decided is None else decided.unionByName(new))
+        new = cut_lineage(batch.join(choice, [*keys, "pos"]))  # earlier rounds stay where they are written
+        decided = new if decided is None else decided.unionByName(new)
     if decided is None:
-        return order.withColumn("choice", F.lit("drop"))
+        return ranked.withColumn("choice", F.lit("drop"))
     return _backfill(decided, targets, keys)
 
 
@@ -292,7 +245,6 @@ def repair_split(
     keys: Sequence[str],
     order: str,
     condition: RepairCondition | str = "D_train_support_priority",
-    seed: int = 42,
     split: str = "split",
     is_empty: str = "is_empty",
 ) -> tuple[DataFrame, DataFrame]:
@@ -321,15 +273,9 @@ def repair_split(
         *keys, "cluster_no", F.lit(1).cast("long").alias("cluster_size"), F.lit(True).alias("is_invalid_fp_group")
     )
     clusters = valid.unionByName(lone_clusters)
-    samples = cut_lineage(hash_sample(clustered, [*keys, "cluster_no"], order, condition.sample_cap, seed))
     bearing = members.where(~F.col(is_empty) & (F.col(split) == "train") & F.col("words").isNotNull())
-    train = cut_lineage(hash_sample(bearing.select(*keys, order, "words"), keys, order, condition.sample_cap, seed))
-    costed = train_similarity(clusters, samples, train, keys)
-    packed = samples.groupBy(*keys, "cluster_no").agg(F.sort_array(F.collect_list("words")).alias("sample"))
-    ready = costed.join(packed, [*keys, "cluster_no"], "left").withColumn(
-        "sample", F.coalesce("sample", F.array().cast("array<array<bigint>>"))
-    )
-    choices = cut_lineage(coupled_assignment(ready, targets, keys, condition))
+    costed = train_similarity(clusters, clustered, bearing, keys, order)
+    choices = cut_lineage(coupled_assignment(costed, clustered, targets, keys, order, condition))
     label = F.concat(F.lit("ESA_"), zero_filled("cluster_no", 5))
     summary = choices.select(
         *keys, label.alias("cluster_id"), F.col("choice").alias("split"), "cluster_size", "const_to_sb_train", "is_invalid_fp_group"

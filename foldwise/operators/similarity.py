@@ -185,6 +185,47 @@ def node_similarity(
     return zipped.groupBy(*keys, "node").agg(*used)
 
 
+def _group_sums(keys: Sequence[str]):
+    """Kernel: sums of all similarities between the groups of two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, r = ({n: _lists(batch, f"{side}_{n}") for n in ("node", "weight", "words", "grp")} for side in "qr")
+            out: dict[str, list] = {n: [] for n in ("q_grp", "r_grp", "total")}
+            for i in range(batch.num_rows):
+                sim = similarity_matrix(_matrix(q["words"](i), len(q["node"](i))), _matrix(r["words"](i), len(r["node"](i))))
+                weighted = sim * q["weight"](i)[:, None] * r["weight"](i)[None, :]
+                mine, row = np.unique(q["grp"](i), return_inverse=True)
+                theirs, column = np.unique(r["grp"](i), return_inverse=True)
+                tall = np.zeros((len(mine), weighted.shape[1]))
+                np.add.at(tall, row, weighted)
+                small = np.zeros((len(theirs), len(mine)))
+                np.add.at(small, column, tall.T)
+                out["q_grp"].append(np.repeat(mine, len(theirs)))
+                out["r_grp"].append(np.tile(theirs, len(mine)))
+                out["total"].append(small.T.ravel())
+            columns = [batch.column(k) for k in keys]
+            columns += [pa.array(out[n], pa.list_(pa.float64() if n == "total" else pa.int64())) for n in out]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *out])
+
+    return run
+
+
+def group_similarity(queries: DataFrame, references: DataFrame, keys: Sequence[str], identifier: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, q_grp, r_grp, total): the sum of the similarities of all pairs of members of two groups.
+
+    Members have ``grp`` (BIGINT) and ``words``.  Sums are DECIMAL(38, 9), so neither the order of
+    addition nor the size of a group changes them.
+    """
+    keys = list(keys)
+    left, right = (merge_copies(m, keys, identifier, extra=["grp"]) for m in (queries, references))
+    types = dict(left.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "q_grp array<bigint>, r_grp array<bigint>, total array<double>"])
+    partial = block_pairs(left, right, keys, ["grp"], None, block_rows).mapInArrow(_group_sums(keys), schema)
+    rows = partial.select(*keys, F.explode(F.arrays_zip("q_grp", "r_grp", "total")).alias("_z")).select(*keys, "_z.*")
+    return rows.groupBy(*keys, "q_grp", "r_grp").agg(F.sum(F.col("total").cast("decimal(27,9)")).cast("decimal(38,9)").alias("total"))
+
+
 def max_similarity(queries: DataFrame, references: DataFrame, keys: Sequence[str], identifier: str, words: str = "words") -> DataFrame:
     """Largest similarity of every query member to the references of its key."""
     keys = list(keys)

@@ -1,6 +1,5 @@
 """Leader clusters, repair and sweep against plain sequential re-derivations."""
 
-import hashlib
 import math
 
 import numpy as np
@@ -122,19 +121,11 @@ def test_capacity_clusters(monkeypatch, members, rows, batch, limit):
         assert {r["node"]: r["leader"] for r in got if r["dataset"] == d} == want
 
 
-def hash_order(identifier, seed):
-    return hashlib.md5(f"{seed}:{identifier}".encode()).hexdigest()
-
-
-def sample(ids, cap=16, seed=42):
-    return sorted(ids, key=lambda i: (hash_order(i, seed), i))[:cap]
-
-
 def mean_sim(words, a, b):
     return float(np.mean([[tanimoto(words[i], words[j]) for j in b] for i in a]))
 
 
-def brute_repair(words, empty, raw, cond, seed=42):
+def brute_repair(words, empty, raw, cond):
     """One long loop over all clusters with the full similarity table."""
     n_all, n = len(raw), len(empty)
     slots = (3, 1, 1) if n_all <= 1000 else (5, 1, 1) if n_all <= 3000 else (8, 1, 1)
@@ -149,9 +140,9 @@ def brute_repair(words, empty, raw, cond, seed=42):
     limit = max(1, math.floor(min(t for t in target if t) * cond.max_cluster_to_smallest_target))
     groups = small_clusters(words, [i for i in empty if words[i] is not None], limit)
     groups += [[i] for i in empty if words[i] is None]
-    train = sample([i for i in raw if i not in empty and raw[i] == "train" and words[i] is not None], cond.sample_cap, seed)
+    train = [i for i in raw if i not in empty and raw[i] == "train" and words[i] is not None]
     known = [words[g[0]] is not None for g in groups]
-    picked = [sample(g, cond.sample_cap, seed) for g in groups]
+    picked = groups
     const = [
         round(mean_sim(words, p, train) * len(g) * len(train), 9) if ok and train else 0.0
         for g, p, ok in zip(groups, picked, known)
