@@ -72,7 +72,20 @@ def microclusters(spark, folder):
     return C.microclusters(members, ["dataset"], "vec_id", "limit").select("dataset", "vec_id", "cluster_no", "cluster_size")
 
 
-@query("capacity_clusters")
+# The same scan with room for nine: the leaders chosen so far travel as a list, one per row seen.
+_CAPACITY = f"""WITH RECURSIVE {VECTORS},
+  o AS (SELECT dataset, vec_id, word, row_number() OVER (PARTITION BY dataset ORDER BY vec_id) AS rn FROM vec),
+  near AS (SELECT a.dataset, b.rn, list(a.vec_id ORDER BY a.vec_id) AS earlier FROM o a JOIN o b
+    ON a.dataset = b.dataset AND a.rn < b.rn WHERE {SIM} >= 0.4::DOUBLE GROUP BY ALL),
+  s(dataset, rn, chosen) AS (SELECT DISTINCT dataset, 0::BIGINT, []::BIGINT[] FROM o
+    UNION ALL SELECT s.dataset, o.rn, list_append(s.chosen, coalesce(list_min(list_filter(coalesce(n.earlier, []),
+      lambda x: len(list_filter(s.chosen, lambda y: y = x)) BETWEEN 1 AND 8)), o.vec_id))
+    FROM s JOIN o ON o.dataset = s.dataset AND o.rn = s.rn + 1 LEFT JOIN near n ON n.dataset = o.dataset AND n.rn = o.rn),
+  e AS (SELECT dataset, chosen FROM s QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY rn DESC) = 1)
+  SELECT o.dataset, o.vec_id AS node, e.chosen[o.rn] AS leader FROM o JOIN e USING (dataset)"""
+
+
+@query("capacity_clusters", _CAPACITY)
 def capacity(spark, folder):
     members = vectors(spark, folder).select("dataset", F.col("vec_id").alias("node"), "words", F.lit(9).cast("long").alias("limit"))
     return capacity_clusters(members, ["dataset"], "limit")
