@@ -66,7 +66,34 @@ def similarity_chunks(spark, folder):
     return C.similarity_chunks(members, ["dataset"], "vec_id", "size").select("dataset", "vec_id", "rank", "chunk")
 
 
-@query("microclusters")
+# Clusters above twelve members are led once more; what is still too large is cut by similarity to its first member.
+_MICRO = f"""{_ASSIGN}, big AS (SELECT dataset, leader, vec_id, word FROM asg JOIN vec USING (dataset, vec_id)
+    QUALIFY count(*) OVER (PARTITION BY dataset, leader) > 12),
+  o2 AS (SELECT *, row_number() OVER (PARTITION BY dataset, leader ORDER BY vec_id) AS rn FROM big),
+  near2 AS (SELECT a.dataset, a.leader, b.rn, list(a.vec_id) AS earlier FROM o2 a JOIN o2 b
+    ON a.dataset = b.dataset AND a.leader = b.leader AND a.rn < b.rn WHERE {SIM} >= 0.4::DOUBLE GROUP BY ALL),
+  s2(dataset, leader, rn, subs) AS (SELECT DISTINCT dataset, leader, 0::BIGINT, []::BIGINT[] FROM o2
+    UNION ALL SELECT s2.dataset, s2.leader, o2.rn, CASE WHEN len(list_intersect(coalesce(n.earlier, []), s2.subs)) > 0 THEN s2.subs
+      ELSE list_append(s2.subs, o2.vec_id) END
+    FROM s2 JOIN o2 ON o2.dataset = s2.dataset AND o2.leader = s2.leader AND o2.rn = s2.rn + 1
+      LEFT JOIN near2 n ON n.dataset = o2.dataset AND n.leader = o2.leader AND n.rn = o2.rn),
+  lead2 AS (SELECT dataset, leader, unnest(subs) AS sub FROM s2
+    QUALIFY row_number() OVER (PARTITION BY dataset, leader ORDER BY rn DESC) = 1),
+  asg2 AS (SELECT a.dataset, a.leader, a.vec_id, l.sub FROM o2 a JOIN lead2 l ON l.dataset = a.dataset AND l.leader = a.leader
+    JOIN vec b ON b.vec_id = l.sub
+    QUALIFY row_number() OVER (PARTITION BY a.dataset, a.leader, a.vec_id ORDER BY {SIM} DESC, l.sub) = 1),
+  sized AS (SELECT *, count(*) OVER w AS n, min(vec_id) OVER w AS first FROM asg2 WINDOW w AS (PARTITION BY dataset, leader, sub)),
+  ranked AS (SELECT z.*, row_number() OVER (PARTITION BY z.dataset, leader, sub ORDER BY {SIM} DESC, z.vec_id) - 1 AS rank
+    FROM sized z JOIN vec a ON a.vec_id = z.vec_id JOIN vec b ON b.vec_id = z.first),
+  placed AS (SELECT dataset, vec_id, leader, -1::BIGINT AS sub, 0::BIGINT AS chunk, vec_id AS pos FROM asg
+      QUALIFY count(*) OVER (PARTITION BY dataset, leader) <= 12
+    UNION ALL SELECT dataset, vec_id, leader, sub, CASE WHEN n > 12 THEN rank // 12 ELSE 0 END, CASE WHEN n > 12 THEN rank ELSE vec_id END FROM ranked),
+  made AS (SELECT dataset, leader, sub, chunk, count(*) AS cluster_size, min_by(vec_id, pos) AS head FROM placed GROUP BY ALL),
+  told AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cluster_size DESC, head) AS cluster_no FROM made)
+  SELECT dataset, vec_id, cluster_no, cluster_size FROM placed JOIN told USING (dataset, leader, sub, chunk)"""
+
+
+@query("microclusters", _MICRO)
 def microclusters(spark, folder):
     members = vectors(spark, folder).select("dataset", "vec_id", "words", F.lit(12).alias("limit"))
     return C.microclusters(members, ["dataset"], "vec_id", "limit").select("dataset", "vec_id", "cluster_no", "cluster_size")
