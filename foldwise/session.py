@@ -23,19 +23,24 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint used between the rounds of an iterative operator.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between steps, which the driver and all executors see.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a private
-    temporary folder is set only in local mode when nothing is configured.
+    The cluster names it in ``spark.checkpoint.dir``; a private temporary folder
+    is set only in local mode when nothing is configured.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.split("[")[0] == "local":
+        if configured is None and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, used between the rounds of an iterative operator."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
