@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.llm import exact_dedup, jaccard_pivots, language_crf, mixing, sentencepiece_codec
+from foldwise.session import shared_folder
 
 LEAST_SCORE = 0.4  # least mean probability of the predicted language
 
@@ -58,11 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each is written to the shared folder and read again."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    place = f"{folder}/corpus-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
