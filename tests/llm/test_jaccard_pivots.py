@@ -2,6 +2,9 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from foldwise.llm import jaccard_pivots as jac
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,3 +81,22 @@ def test_odd_rows(odd, none):
     kept = jac.drop_near_copies(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "10", "11", "3", "4", "5", "6", "8", "9", "9", "None"]
+
+
+def test_shared_counts_do_not_depend_on_batches():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        s = np.sort(rng.integers(0, 6, 30))
+        node = rng.integers(0, 4, 30)
+        want = collections.Counter()
+        for value in set(s.tolist()):
+            inside = node[s == value].tolist()
+            if len(set(inside)) > 1:
+                want.update(inside)
+        cuts = [0, *sorted(rng.integers(0, 31, 4).tolist()), 30]
+        batches = [pa.RecordBatch.from_arrays([pa.array(s[a:b]), pa.array(node[a:b])], ["s", "node"]) for a, b in zip(cuts, cuts[1:])]
+        got = collections.Counter()
+        for out in jac._shared_counts(iter(batches)):
+            for n, c in zip(out.column("node").to_pylist(), out.column("shared").to_pylist()):
+                got[n] += c
+        assert +got == want
