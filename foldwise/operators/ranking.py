@@ -89,9 +89,7 @@ def global_ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFram
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
     """One row per (keys, value): multiplicity ``n`` and the 1-based tie-averaged rank."""
-    merged = df.groupBy(*keys, value).agg(F.sum("n").alias("n")) if "n" in df.columns else (
-        df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    )
+    merged = df.groupBy(*keys, value).agg((F.sum("n") if "n" in df.columns else F.count(F.lit(1))).alias("n"))
     ranked = running_totals(merged, keys, value, {"_upto": "n"}, sample_of=df)
     return ranked.withColumn(name, F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0).drop("_upto")
 

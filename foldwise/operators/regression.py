@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.scalars import finite
-from foldwise.operators.ranking import average_ranks
+from foldwise.operators.ranking import running_totals
 from foldwise.session import cut_lineage
 
 
@@ -33,9 +33,14 @@ def pearson(x: str, y: str) -> Column:
 def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "y", y: str = "pred", name: str = "Spearman_rho") -> DataFrame:
     """Pearson correlation of tie-averaged ranks, from merged pairs with a count ``n``."""
     keys = list(keys)
-    pairs = cut_lineage(pairs)  # read by both rankings and by the final join
-    rank_x = average_ranks(pairs.select(*keys, x, "n"), keys, x, "_rx").drop("n")
-    rank_y = average_ranks(pairs.select(*keys, y, "n"), keys, y, "_ry").drop("n")
+    pairs = cut_lineage(pairs)  # read by the ranking and by the final joins
+    # both variables are ranked in one pass: their values are stacked and told apart by a tag
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), F.col(c).alias("_v")) for i, c in enumerate((x, y))])
+    stacked = pairs.select(*keys, "n", F.explode(sides).alias("_z")).select(*keys, "n", "_z.*")
+    merged = cut_lineage(stacked.groupBy(*keys, "_side", "_v").agg(F.sum("n").alias("n")))
+    run = running_totals(merged, [*keys, "_side"], "_v", {"_upto": "n"})
+    ranks = cut_lineage(run.select(*keys, "_side", "_v", (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("_r")))
+    rank_x, rank_y = (ranks.where(F.col("_side") == i).select(*keys, F.col("_v").alias(c), F.col("_r").alias(r)) for i, (c, r) in enumerate(((x, "_rx"), (y, "_ry"))))
     ranked = pairs.join(rank_x, [*keys, x]).join(rank_y, [*keys, y])
     size = pairs.groupBy(*keys).agg(F.sum("n").alias("_size"))
     centred = ranked.join(size, keys).select(
