@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,16 @@ def kept_table(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the files of shuffles that nothing refers to any more.
+
+    Spark's cleaner does so after the driver's next garbage collection, which may be far off while
+    the driver has little to do and the shuffles are large.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id falls into fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(0)).cast("int")
@@ -62,3 +73,23 @@ def mix64(values: np.ndarray) -> np.ndarray:
     z *= np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
     return z
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal keys; only the last run of a batch is held over."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            values = batch.column(key).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+        held = batch.slice(cuts[-1])
+    if held is not None:
+        yield held

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foldwise.llm.common import kept_table
+from foldwise.llm.common import kept_table, runs
 from foldwise.llm.graph import components
 
 COSINE = 0.9
@@ -143,26 +143,6 @@ def _parted(rows: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*rows.columns, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"))
 
 
-def _segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal keys; only the last run of a batch is held over."""
-    held = None
-    for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for key in keys:
-            values = batch.column(key).to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
-        held = batch.slice(cuts[-1])
-    if held is not None:
-        yield held
-
-
 def _close(run: pa.RecordBatch, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Nodes, and which of them link."""
     unit = unit_rows(run.column("embedding"))
@@ -184,7 +164,7 @@ def near_duplicate_links(vectors: DataFrame, cosine: float = COSINE) -> DataFram
     keys = ["dim", "filter"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _segments(batches, [*keys, "p", "q"]):
+        for group in runs(batches, [*keys, "p", "q"]):
             if group.num_rows < 2:
                 continue
             nodes, close = _close(group, cosine)
@@ -204,7 +184,7 @@ def link_counts(members: DataFrame, vectors: DataFrame, cosine: float = COSINE)
     """(node, others): vectors linked to each member of a component, copies of other nodes included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _segments(batches, ["component", "p", "q"]):
+        for group in runs(batches, ["component", "p", "q"]):
             nodes, close = _close(group, cosine)
             if group.column("p")[0].as_py() != group.column("q")[0].as_py():
                 side = group.column("side").to_numpy(zero_copy_only=False)

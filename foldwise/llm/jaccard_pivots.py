@@ -9,18 +9,19 @@ drawn at random tell them nothing; what the join does is therefore:
    node with a smaller identifier has them) become pivots.  The exact distance of every node to
    every pivot within two radii follows from shared rare shingles.  A node within one
    radius of a pivot is linked to it, and the nearest such pivot is its home.
-3. Windows.  A partner of a node lies within (its distance + one radius) of its home, so boundary nodes up to two
-   radii away are replicated into the region; |d(x, p) - d(y, p)| <= radius and known components
-   leave few pairs to compare.
+3. Windows.  A partner of a node within one radius of its home lies within two radii, so boundary nodes
+   up to two radii away are replicated into the region.  A region whose nodes are of one component is done;
+   in others, blocks of nodes are compared exactly, without listing pairs.
 4. Recursion.  Pairs with one end near a pivot are settled by 2 and 3.  Nodes far from all pivots
    elect pivots among themselves and go round again; in the last round all of them are pivots.
 
-No pair of documents of a group is listed beyond its links to pivots.
+No pair of a group is listed beyond its links to pivots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foldwise.llm.common import byte_slices, kept_table, mix64
+from foldwise.llm.common import byte_slices, drop_finished_shuffles, kept_table, mix64, runs
 from foldwise.llm.graph import components
 
 WORDS = 5
+PART = 256  # nodes of one side of a comparison
 LINK, NEAR = 80, 60  # least similarity, in hundredths, of links and of nodes in a region (two radii)
 MARGIN = 10  # hundredths of a set that the sieve looks at beyond those that partners may lack
 ELECTIONS = 3
@@ -173,13 +175,22 @@ def _prefix(least: int) -> Column:
     return F.slice("shared", 1, F.greatest(F.lit(0), length).cast("int"))
 
 
-def _similar(left: DataFrame, right: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _similar(left: DataFrame, right: DataFrame, sets: DataFrame, least: int, once: bool = False) -> DataFrame:
     """(x, y, common, union) of pairs that share a rare shingle and reach the similarity.
-    left: (s, x, nx), right: (s, y, ny)."""
-    fits = (F.col("nx") * 100 >= F.col("ny") * least) & (F.col("ny") * 100 >= F.col("nx") * least) & (F.col("x") != F.col("y"))
+    left: (s, x, nx, mx), right: (s, y, ny, my); once: of equal sides, each pair in one order."""
+    fits = _possible("x", "y", least) & (F.col("x") < F.col("y") if once else F.col("x") != F.col("y"))
+    if "placesx" in left.columns:
+        fits &= ~F.coalesce(F.arrays_overlap("placesx", "placesy"), F.lit(False))
     return _verified(left.join(right, "s").where(fits).select("x", "y").distinct(), sets, least)
 
 
+def _possible(x: str, y: str, least: int) -> Column:
+    """Whether sets of these sizes n, with m elements that others have too, can be so similar: they have at most
+    the smaller m in common."""
+    nx, ny, most = F.col(f"n{x}"), F.col(f"n{y}"), F.least(f"m{x}", f"m{y}")
+    return most * 100 >= (nx + ny - most) * least
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     one = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
     two = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"))
@@ -187,8 +198,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return sized.select("x", "y", "common", (F.col("nx") + F.col("ny") - F.col("common")).alias("union")).where(F.col("common") * 100 >= F.col("union") * least)
 
 
-def _rows(active: DataFrame, least: int, node: str, size: str) -> DataFrame:
-    return active.select(F.col("node").alias(node), F.col("n").alias(size), F.explode(_prefix(least)).alias("s"))
+def _rows(active: DataFrame, least: int, node: str, *more: str) -> DataFrame:
+    """(node, n and m of the node, s) for the rarest elements, under the given name."""
+    own = [F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.size("shared").cast("long").alias(f"m{node}"), *(F.col(c).alias(f"{c}{node}") for c in more)]
+    return active.select(*own, F.explode(_prefix(least)).alias("s"))
 
 
 def _linked() -> Column:
@@ -199,41 +212,84 @@ def pivot_links(sets: DataFrame) -> DataFrame:
     """(a, b): links between nodes that connect all linked nodes."""
     active, links, regions = sets, [], []
     for _ in range(ELECTIONS):
-        met = _rows(active, NEAR, "node", "n").select("node", F.min("node").over(Window.partitionBy("s")).alias("owner"), F.count("*").over(Window.partitionBy("s")).alias("met"))
+        met = _rows(active, NEAR, "node").select("node", F.min("node").over(Window.partitionBy("s")).alias("owner"), F.count("*").over(Window.partitionBy("s")).alias("met"))
         votes = met.where("met > 1").groupBy("node").agg((F.sum((F.col("owner") == F.col("node")).cast("long")) * 2 >= F.count("*")).alias("pivot"))
         voted = kept_table(active.join(votes, "node"))  # nodes that meet no other node are settled
         pivots = voted.where("pivot")
-        near = kept_table(_similar(_rows(voted, NEAR, "x", "nx"), _rows(pivots, NEAR, "y", "ny"), sets, NEAR))
+        near = kept_table(_similar(_rows(voted, NEAR, "x"), _rows(pivots, NEAR, "y"), sets, NEAR))
         links.append(near.where(_linked()).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        plain = near.join(pivots.select(F.col("node").alias("x")), "x", "left_anti").withColumn("d", 1 - F.col("common") / F.col("union"))
-        regions.append(plain.withColumn("level", F.lit(len(regions))))
+        plain = near.join(pivots.select(F.col("node").alias("x")), "x", "left_anti")
+        regions.append(plain.select("x", "y"))
         covered = plain.where(_linked()).select(F.col("x").alias("node")).unionByName(pivots.select("node")).distinct()
         active = kept_table(voted.drop("pivot").join(covered, "node", "left_anti"))
-    rest = _similar(_rows(active, LINK, "x", "nx"), _rows(active, LINK, "y", "ny"), sets, LINK)
+    every = kept_table(reduce(DataFrame.unionByName, regions))
+    places = every.join(active.select(F.col("node").alias("x")), "x", "left_semi").groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("places"))
+    left = kept_table(active.join(places, "node", "left").withColumn("places", F.coalesce("places", F.expr("array(CAST(NULL AS BIGINT))"))))
+    # nodes of one region are compared there
+    rest = _similar(_rows(left, LINK, "x", "places"), _rows(left, LINK, "y", "places"), sets, LINK, once=True)
     links.append(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    direct = links[0]
-    for more in links[1:]:
-        direct = direct.unionByName(more)
-    direct = kept_table(direct)
-    return direct.unionByName(_boundary_links(regions, direct, sets))
-
-
-def _boundary_links(regions: list[DataFrame], direct: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between a node and a boundary node of its home's region whose components differ so far."""
-    every = regions[0]
-    for more in regions[1:]:
-        every = every.unionByName(more)
+    direct = kept_table(reduce(DataFrame.unionByName, links))
+    return direct.unionByName(_region_links(every, direct, sets))
+
+
+def _region_links(regions: DataFrame, direct: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between nodes of a region whose components differ so far.
+
+    Nodes in the component of their pivot need no comparison among each other; they and the others are cut
+    into parts of PART nodes, and every two parts that hold a pair to compare meet once.
+    """
     component = kept_table(components(direct))
-    named = lambda column: component.select(F.col("node").alias(column), F.col("component").alias(f"c{column}"))
-    placed = every.join(named("x"), "x", "left").join(named("y"), "y", "left").withColumn("cx", F.coalesce("cx", "x")).withColumn("cy", F.coalesce("cy", "y"))
-    boundary = placed.where(~_linked() & (F.col("cx") != F.col("cy"))).select("level", F.col("y").alias("pivot"), F.col("x").alias("b"), F.col("d").alias("db"))
-    homes = placed.where(_linked()).groupBy("level", "x").agg(F.min(F.struct("d", "y")).alias("home"))
-    inside = homes.select("level", F.col("home.y").alias("pivot"), F.col("x").alias("a"), F.col("home.d").alias("da"))
-    keyed = lambda rows, node: rows.join(_rows(sets, LINK, node, f"n{node}"), node)
-    met = keyed(inside.join(boundary.select("level", "pivot").distinct(), ["level", "pivot"], "left_semi"), "a").join(keyed(boundary, "b"), ["level", "pivot", "s"])
-    window = (F.abs(F.col("da") - F.col("db")) <= 1 - LINK / 100 + 1e-9) & (F.col("na") * 100 >= F.col("nb") * LINK) & (F.col("nb") * 100 >= F.col("na") * LINK)
-    pairs = met.where(window).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    return _verified(pairs, sets, LINK).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    named = lambda column, name: component.select(F.col("node").alias(column), F.col("component").alias(name))
+    placed = regions.select("x", "y").join(named("x", "cx"), "x", "left").join(named("y", "cy"), "y", "left")
+    main = F.coalesce("cx", "x") == F.coalesce("cy", "y")
+    members = kept_table(placed.select(F.col("y").alias("pivot"), F.col("x").alias("node"), main.alias("main")))
+    counted = members.groupBy("pivot").agg(F.count(F.when(F.col("main"), 1)).alias("inside"), F.count(F.when(~F.col("main"), 1)).alias("outside")).where("outside > 0")
+    parts = counted.select("pivot", F.ceil(F.col("inside") / PART).cast("int").alias("k"), F.ceil(F.col("outside") / PART).cast("int").alias("l"))
+    digest = F.xxhash64("node")
+    own = F.when(F.col("main"), F.pmod(digest, F.greatest(F.col("k"), F.lit(1)))).otherwise(F.col("k") + F.pmod(digest, F.col("l"))).cast("int")
+    cut = members.join(parts, "pivot").withColumn("own", own)
+    others = F.when(F.col("main"), F.sequence(F.col("k"), F.col("k") + F.col("l") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("l") - 1))
+    met = cut.select("pivot", "node", "own", F.explode(others).alias("other")).select("pivot", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    full = met.join(sets.select("node", "n", "shared"), "node")
+    keys = ["pivot", "p", "q"]
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare_regions, "a long, b long").distinct()
+
+
+def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the linked nodes of each run of rows with equal (pivot, p, q)."""
+    for run in runs(batches, ["pivot", "p", "q"]):
+        if run.num_rows < 2:
+            continue
+        nodes, n = run.column("node").to_numpy(), run.column("n").to_numpy()
+        lists = run.column("shared")
+        common = intersections(lists.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), lists.value_lengths().to_numpy()), len(nodes))
+        close = common * 100 >= (n[:, None] + n[None, :] - common) * LINK
+        label, before = nodes, None
+        while before is None or (label != before).any():
+            before = label
+            label = np.minimum(label, np.where(close, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+        moved = label != nodes
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(label[moved])], ["a", "b"])
+
+
+def intersections(values: np.ndarray, owner: np.ndarray, rows: int, columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, given as (value, owner); a block of values at a time."""
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    several = counts > 1
+    rank = np.cumsum(several) - 1
+    used = several[place]
+    place, owner = rank[place[used]], owner[used]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((rows, rows), np.float32)
+    for start in range(0, int(several.sum()), columns):
+        a, b = np.searchsorted(place, (start, start + columns))
+        block = np.zeros((rows, columns), np.float32)
+        block[owner[a:b], place[a:b] - start] = 1
+        out += block @ block.T
+    np.fill_diagonal(out, 0)
+    return np.rint(out).astype(np.int64)
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -245,7 +301,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """
     members = kept_table(memberships(docs))
     sieved = kept_table(sieved_nodes(docs, members))
+    drop_finished_shuffles(docs.sparkSession)
     sets = kept_table(shared_sets(docs, sieved))
+    drop_finished_shuffles(docs.sparkSession)
     classes = components(pivot_links(sets))
     named = members.join(classes, "node", "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     named = kept_table(named.select("doc_id", "n", "class"))
