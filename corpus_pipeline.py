@@ -36,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample of calibrated probability; see mixing.calibrated."""
-    return mixing.calibrated(docs).where("_kept").select("row.*")
+    """The mixture: rows of cells below their target repeat, of cells above it are drawn; see mixing.mixed."""
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,19 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, top
     )
 
 
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, rate: float = RATE, seed: int = 0) -> DataFrame:
+    """The rows of the mixture, with the columns of docs: the expected tokens of every cell are its raked weight times rate.
+
+    A row whose cell has weight w times its tokens is there floor(rate * w) times, and once more with the
+    probability of the remainder.  So rows of raised cells repeat, and their ids with them.
+    """
+    aim = F.col("_probability") * F.col("_weight")  # one of the two is 1
+    extra = uniform(F.col("row.doc_id"), seed) < aim - F.floor(aim)
+    copies = F.floor(aim).cast("long") + extra.cast("long")
+    rows = calibrated(docs, targets, topic, rate, seed).withColumn("_copies", copies).where(F.col("_copies") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
+
+
 def mixture_sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, rate: float = RATE, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, weight, kept."""
     rows = calibrated(docs, targets, topic, rate, seed)

@@ -29,3 +29,19 @@ def test_odd_rows_and_empty_table(odd, none):
     assert twins[0] == twins[1]
     assert mixing.mixture_sample(none).count() == 0
     assert mixing.calibrated(odd).select("row.*").columns == odd.columns
+
+
+def test_rows_of_the_mixture_meet_the_raked_shares(spark):
+    """A hot source: 1,800 rows of one cell and 20 to 100 of the others, ten words each."""
+    cells = [("a", "en", "plain words", 1800), ("a", "de", "in 1999", 40), ("b", "en", "a | b", 100), ("b", "de", "plain words", 40), ("c", "en", "in 1999", 20)]
+    rows = [(source, lang, text + " x" * (10 - len(text.split()))) for source, lang, text, n in cells for _ in range(n)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string")
+    counted = mixing.with_cells(docs).groupBy("_source", "_lang", "_topic").agg({"_tokens": "sum"}).withColumnRenamed("sum(_tokens)", "tokens")
+    raked = mixing.raked_cells(counted).toPandas()
+    out = mixing.with_cells(mixing.mixed(docs))
+    assert mixing.mixed(docs).columns == docs.columns
+    for d in ("_source", "_lang", "_topic"):
+        got = out.groupBy(d).agg({"_tokens": "sum"}).toPandas().set_index(d)["sum(_tokens)"]
+        want = raked.groupby(d).weight.sum()
+        assert (got / got.sum() - want / want.sum()).abs().max() < 0.02, d
+    assert abs(got.sum() / raked.tokens.sum() - 1) < 0.05

@@ -46,6 +46,17 @@ def test_mixing_stage_keeps_the_calibrated_sample(stages):
     assert ids(stages[4]) == ids(sample.where("kept"))
 
 
+def test_mixing_stage_meets_the_raked_shares(stages):
+    counted = mixing.with_cells(stages[3]).groupBy("_source", "_lang", "_topic").agg({"_tokens": "sum"}).withColumnRenamed("sum(_tokens)", "tokens")
+    raked = mixing.raked_cells(counted).toPandas()
+    out = mixing.with_cells(stages[4])
+    for d in ("_source", "_lang", "_topic"):
+        got = out.groupBy(d).agg({"_tokens": "sum"}).toPandas().set_index(d)["sum(_tokens)"]
+        want = raked.groupby(d).weight.sum()
+        print(d, (got / got.sum()).round(3).to_dict(), (want / want.sum()).round(3).to_dict())
+        assert (got / got.sum() - want / want.sum()).abs().max() < 0.05, d
+
+
 def test_all_remaining_texts_are_encoded(stages):
     assert ids(stages[5]) == ids(stages[4]) and stages[5].where("not parity or not round_trip or n_tokens <> size(token_ids)").count() == 0
 
