@@ -5,7 +5,7 @@ lexicon), prefixes, suffixes and letter n-grams.  Learned transitions tie neighb
 forward-backward gives each word's distribution, so code-switched texts get one
 language per stretch and a text gets the mean over its words.
 
-The field is fitted on a bounded sample of labelled documents; texts of different languages are
+The field is fitted on a sample of labelled documents that is bounded for each language; texts of different languages are
 strung together in training, so that the transitions see switches.
 """
 
@@ -23,7 +23,8 @@ from foldwise.llm.common import byte_slices, fold_of
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 400  # expected sample per language
-SAMPLE_CHARS = 4_000_000  # of all sampled texts; further sampled documents are left out of the fit
+SAMPLE_CHARS = 4_000_000  # of the sampled texts of one language
+SAMPLE_PIECE = SAMPLE_CHARS // SAMPLE_DOCS  # of one text; of a longer one, a run of so many at a place drawn from the id
 BITS = 17  # hashed feature space
 PIECE = 24  # words from one text before training goes on with another
 EPOCHS, BATCH, STEP, DECAY = 3, 64, 0.15, 1e-7
@@ -259,19 +260,25 @@ class Tagger:
 
 def training_sample(docs: DataFrame, train: Column, docs_per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """Labelled (text, lang) rows of the fold: about docs_per_language rows of each language, by a hash of
-    the id, and no more than SAMPLE_CHARS characters altogether."""
+    the id (of the text where the id is null), with at most SAMPLE_PIECE characters of a text and SAMPLE_CHARS of a
+    language.  A row that does not fit is skipped; every language has a row."""
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_language / n))).otherwise(share)
-    chosen = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)
-    running, out = 0, []
-    for row in labelled.where(chosen).select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        running += len(row["text"])
-        if running > SAMPLE_CHARS:
-            break
-        out.append((row["text"], row["lang"]))
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    chosen = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)
+    start = F.pmod(F.xxhash64(key, F.lit(5)), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_PIECE + 1))
+    piece = F.substring("text", (start + 1).cast("int"), F.lit(SAMPLE_PIECE)).alias("piece")
+    running, out = dict.fromkeys(counts, 0), []
+    for row in labelled.where(chosen).select("lang", piece, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "piece", "lang").toLocalIterator():
+        if running[row["lang"]] + len(row["piece"]) <= SAMPLE_CHARS:
+            running[row["lang"]] += len(row["piece"])
+            out.append((row["piece"], row["lang"]))
+    if absent := sorted(set(counts) - {lang for _, lang in out}):
+        least = F.min_by(piece, F.struct(F.xxhash64(key, F.lit(3)).alias("h"), piece)).alias("piece")
+        out += [(r["piece"], r["lang"]) for r in labelled.where(F.col("lang").isin(absent)).groupBy("lang").agg(least).orderBy("lang").collect()]
     return out
 
 

@@ -78,3 +78,23 @@ def test_odd_rows(odd, none, field):
     assert crf.detect_languages(none).count() == 0
     assert {r["lang_pred"] for r in crf.detect_languages(odd.where("lang is null")).collect()} == {"und"}
     assert crf.detect_languages(odd, field, carry=True).select("row.*").columns == odd.columns
+
+
+def test_sample_has_every_language_behind_a_very_long_row(spark):
+    rows = [(i, ("wort satz " if i % 2 else "word line ") * 5, "de" if i % 2 else "en") for i in range(2, 900)] + [(901, "mot rare " * 20, "fr")]
+    ids = spark.createDataFrame([(i,) for i in range(2000, 4000)], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h")
+    first = ids.orderBy("h").first()  # before all other rows in the order of the sample
+    assert first["h"] < spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("min(xxhash64(doc_id)) h").first()["h"]
+    docs = spark.createDataFrame([*rows, (first["doc_id"], "lang word " * 500_000, "en")], "doc_id long, text string, lang string")
+    every = docs["doc_id"].isNotNull()
+    sample = crf.training_sample(docs, every, docs_per_language=1000)
+    assert len(sample) == docs.count() and {lang for _, lang in sample} == {"de", "en", "fr"}
+    assert max(len(text) for text, _ in sample) == crf.SAMPLE_PIECE
+    few = crf.training_sample(docs, every, docs_per_language=0)
+    assert sorted(lang for _, lang in few) == ["de", "en", "fr"]
+
+
+def test_languages_have_budgets_of_their_own(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('some words ', 50000) AS text", "concat('l', id % 4) AS lang")
+    sample = crf.training_sample(docs, docs["doc_id"] >= 0)
+    assert len(sample) == 40
