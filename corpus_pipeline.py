@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foldwise.llm import exact_dedup, jaccard_pivots, language_crf, mixing, sentencepiece_codec
 from foldwise.session import shared_folder
 
-LEAST_SCORE = 0.4  # least mean probability of the predicted language
+LEAST_SCORE = 0.4  # least mean over the words of the probability of each word's own best language
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; a missing lang is filled in, a given one stays.
 
-    Texts without a letter, and texts whose best language has a mean word probability below LEAST_SCORE, go.
+    Texts without a letter, and texts whose words are in doubt (certainty below LEAST_SCORE), go.  A text in
+    several languages stays: each of its words is certain.
     """
     found = language_crf.detect_languages(docs, carry=True)
-    kept = found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE))
     columns = [F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
     return kept.select(*columns)
 

@@ -31,7 +31,7 @@ EPOCHS, BATCH, STEP, DECAY = 3, 64, 0.15, 1e-7
 BLOCK = 64  # words per block of the forward and backward passes
 KNOWN_WORDS = 300_000
 UNKNOWN = "und"
-ADDED = ("lang_pred", "score", "n_words", "shares", "stretches")
+CARRIED = ("lang_pred string", "score double", "certainty double")
 ADDED_TYPES = ("lang_pred string", "score double", "n_words long", "shares map<string,double>", "stretches array<struct<lang:string,words:long>>")
 
 
@@ -288,10 +288,11 @@ def fit_on(docs: DataFrame) -> Field | None:
 
 def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, shares, stretches; with `carry`
-    row (all columns of docs), lang_pred and score.
+    row (all columns of docs), lang_pred, score and certainty.
 
     shares: mean probability of each learned language over the words.  lang_pred has the largest share
-    (the first in the alphabet of equal ones), score is that share.  stretches: (lang, words) of runs of
+    (the first in the alphabet of equal ones), score is that share.  certainty:
+    mean over the words of the largest probability of each, which texts in several languages keep high.  stretches: (lang, words) of runs of
     words with the same most probable language.  Null texts and texts without a letter: 'und', 0,
     no words.  Without a labelled row to learn from everything is 'und'.
     """
@@ -300,6 +301,8 @@ def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool =
     keep = docs.select("text", F.struct("*").alias("row")) if carry else docs.select("doc_id", "text", held)
     passed = ["row"] if carry else ["doc_id", "held_out"]
     shared = docs.sparkSession.sparkContext.broadcast(field)  # 2 ** BITS rows of one weight per language
+    added = T.StructType.fromDDL(", ".join(CARRIED if carry else ADDED_TYPES)).fields
+    names_of = [f.name for f in added]
     stretch = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,24 +312,27 @@ def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool =
             for batch in byte_slices(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 counts, spread = tagger.tag(texts) if tagger else (np.zeros(len(texts), np.int64), np.zeros((0, 1)))
-                names, scores, shares, runs = [], [], [], []
+                names, scores, shares, runs, sure = [], [], [], [], []
                 ends = np.cumsum(counts)
-                best = spread.argmax(axis=1)
+                best, largest = spread.argmax(axis=1), spread.max(axis=1)
                 for count, end in zip(counts.tolist(), ends.tolist()):
                     if not count:
-                        names.append(UNKNOWN), scores.append(0.0), shares.append({}), runs.append([])
+                        names.append(UNKNOWN), scores.append(0.0), shares.append({}), runs.append([]), sure.append(0.0)
                         continue
                     mean = spread[end - count : end].mean(axis=0)
                     top, own = int(mean.argmax()), best[end - count : end]
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [count]]).tolist()
                     names.append(known.labels[top])
                     scores.append(min(1.0, float(mean[top])))
+                    sure.append(min(1.0, float(largest[end - count : end].mean())))
                     shares.append(dict(zip(known.labels, mean.tolist())))
                     runs.append([{"lang": known.labels[int(own[a])], "words": b - a} for a, b in zip(cuts, cuts[1:])])
                 new = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                if not carry:
+                if carry:
+                    new.append(pa.array(sure, pa.float64()))
+                else:
                     new += [pa.array(counts, pa.int64()), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.float64())), pa.array(runs, stretch)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *new], [*passed, *ADDED[: len(new)]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *new], [*passed, *names_of])
 
-    schema = T.StructType([keep.schema[c] for c in passed] + T.StructType.fromDDL(", ".join(ADDED_TYPES[: 2 if carry else 5])).fields)
+    schema = T.StructType([keep.schema[c] for c in passed] + added)
     return keep.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from foldwise.llm import mixing
+from foldwise.llm import language_crf as crf, mixing
 from tests.llm.test_jaccard_pivots import brute
 
 
@@ -31,6 +31,17 @@ def test_language_stage_drops_texts_without_language_only(stages):
     assert given.count() == 0
 
 
+def test_language_stage_keeps_a_text_in_three_languages(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    given = docs.where("n_chars between 300 and 2000 and lang in ('en', 'de', 'fr')").orderBy("doc_id").toPandas()
+    parts = [" ".join(" ".join(given[given.lang == x].text.iloc[:3]).split()[:60]) for x in ("en", "de", "fr")]
+    added = spark.createDataFrame([(-5, " ".join(parts))], "doc_id long, text string")
+    table = docs.unionByName(added, allowMissingColumns=True)
+    row = crf.detect_languages(table, carry=True).where("row.doc_id = -5").first()
+    assert row["score"] < corpus_pipeline.LEAST_SCORE < 0.9 < row["certainty"]
+    assert corpus_pipeline.keep_known_languages(spark, table, small).where("doc_id = -5").count() == 1
+
+
 def test_exact_stage_keeps_the_largest_id_of_every_text(stages):
     want = {r["m"] for r in stages[1].groupBy("text").agg({"doc_id": "max"}).withColumnRenamed("max(doc_id)", "m").collect()}
     assert ids(stages[2]) == want
