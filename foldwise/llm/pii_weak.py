@@ -30,7 +30,7 @@ WIDE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{2,4}){2,3}(?![0-9A-Za-z])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?i)(?:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-]{8,128})"),
+    "secret": re.compile(r"(?i)(?:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?((?!=)(?:[A-Za-z0-9_\-+/=]|\.(?=[A-Za-z0-9_\-+/=])){8,})"),
 }
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "shape")
@@ -209,10 +209,22 @@ def fit_classifier(patterns: list[tuple[int, int]]) -> dict[int, float]:
 
 
 def merged(base: list[tuple[int, int, str]], proposed: list[tuple[int, int, str, int]], chance: dict[int, float]) -> list[tuple[int, int, str]]:
-    """Base spans and the added ones that overlap none of them nor each other, the likelier first."""
+    """Base spans and the added ones that overlap none of them nor each other, the likelier first.
+
+    Of a secret, what spans before it leave free is added.
+    """
     chosen = list(base)
     for p, a, b, kind in sorted((-chance.get(n, 0.0), a, b, k) for a, b, k, n in proposed):
-        if -p >= ADD_FROM and all(b <= x or y <= a for x, y, _ in chosen):
+        if -p < ADD_FROM:
+            break
+        over = sorted((x, y) for x, y, _ in chosen if a < y and x < b)
+        if kind != "secret" and over:
+            continue
+        for x, y in over:
+            if a < x:
+                chosen.append((a, x, kind))
+            a = max(a, y)
+        if a < b:
             chosen.append((a, b, kind))
     return sorted(chosen, key=lambda s: (s[0], KINDS.index(s[2])))
 
