@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import chat, embedding_caps, exact_dedup, jaccard_pivots, kneser_ney, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
+from foldwise.llm import best_fit_packing, chat, embedding_caps, exact_dedup, jaccard_pivots, kneser_ney, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -110,3 +110,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_jaccard_pivots")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_pivots.near_duplicate_classes(load(spark, folder, "documents"))
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit_packing.packed_pieces(load(spark, folder, "documents"))
