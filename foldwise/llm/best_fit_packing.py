@@ -15,26 +15,27 @@ are needed; in random order it is 4,990).
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from foldwise.llm.common import byte_slices, kept_table
 
+# Fixed value: how byte-level vocabularies cut texts into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQUENCE_TOKENS = 2048
 OPEN_BINS = 4096
 SHARD_PIECES = 8192  # at most twice OPEN_BINS, so that few shards ever close a sequence early
 END_ID = 0
-WORD_BYTES = 16 << 20  # size of a task's table of words already encoded
-LONGEST_WORD = 64
-
-# Beside a single space no other white space: each such space starts a token, so texts may be cut there.
-UNSAFE_SPACE = re.compile(r" \s|\s ")
+PART_CHARS = 1 << 20
+# Beside such a space no other white space: it starts a token, so texts may be cut in front of it.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,42 +45,69 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, then from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def rank_encoding(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary for the faster library, or None where it is not plain byte-level BPE.
+
+    Ranks are the ids; in such a vocabulary ids follow the order of the merges.
+    """
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    model, before = given["model"], given["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    whole = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not given["normalizer"] and not given["post_processor"]
+    if not plain or not whole:
+        return None
+    letters, special = byte_letters(), {t["content"] for t in given["added_tokens"]}
+    ranks = {bytes(letters[c] for c in word): number for word, number in model["vocab"].items() if word not in special}
+    merged = [model["vocab"]["".join(pair)] for pair in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    if merged != sorted(merged):
+        return None
+    return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; control strings inside a text are ordinary text.
 
-    Byte-level pre-tokenisation starts a token at every space between two characters that are no white space.  Texts
-    are cut there, and each distinct word is encoded once.  Control strings inside a text are ordinary text.
+    Byte-level BPE runs in the faster of two libraries, which gives the same ids; other
+    vocabularies, and texts that its pattern engine refuses (megabytes of white space), go to the tokenizers library.
+    Long texts are encoded in parts of about PART_CHARS, cut where a token starts.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.size = 0
+        self.path = path
+        self.fast = rank_encoding(path)
+        self.slow: Tokenizer | None = None
+
+    def _plainly(self, part: str) -> bytes:
+        if self.slow is None:
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return np.array(self.slow.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, part: str) -> bytes:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(part) <= LONGEST_WORD:
-            if self.size > WORD_BYTES:
-                self.known.clear()
-                self.size = 0
-            self.known[part] = found
-            self.size += 2 * len(part) + len(found) + 150
-        return found
+        if self.fast is None:
+            return self._plainly(part)
+        try:
+            return self.fast.encode_to_numpy(part, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # no room for the pattern's backtracking
+            return self._plainly(part)
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = (SAFE_SPACE.split(text) if UNSAFE_SPACE.search(text) else text.split(" "))
-        out = []
-        # The first word has no space before it; an empty one is a text that starts with a space.
-        if words[0]:
-            out.append(self._encode(words[0]))
-        known = self.known
-        for word in words[1:]:
-            word = " " + word
-            out.append(known.get(word) or self._encode(word))
+        if len(text) <= PART_CHARS or self.fast is None:
+            return self._encode(text)
+        out, at = [], 0
+        while at < len(text):
+            gap = SAFE_SPACE.search(text, at + PART_CHARS)
+            stop = gap.start() if gap else len(text)
+            out.append(self._encode(text[at:stop]))
+            at = stop
         return b"".join(out)
 
 

@@ -25,6 +25,35 @@ def test_ids_equal_whole_texts(plain):
         assert encode(text) == np.array(plain(text), "<u4").tobytes(), repr(text)
 
 
+def test_ids_equal_on_all_shared_texts(spark, small, plain):
+    encode = packing.Encoder(packing.vocabulary_path())
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        assert encode(r.text or "") == np.array(plain(r.text), "<u4").tobytes()
+
+
+def test_long_texts_in_parts(plain, monkeypatch):
+    encode = packing.Encoder(packing.vocabulary_path())
+    blank = " " * 2_000_000 + "x"
+    assert encode(blank) == np.array(plain(blank), "<u4").tobytes()
+    monkeypatch.setattr(packing, "PART_CHARS", 50)
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", " ", " ", "\n", "it's", "9", "é", "  "]) for _ in range(400))
+        assert encode(text) == np.array(plain(text), "<u4").tobytes()
+
+
+def test_other_vocabularies_use_their_own_library(tmp_path, plain):
+    import json
+
+    with open(packing.vocabulary_path(), encoding="utf-8") as file:
+        given = json.load(file)
+    given["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(given), encoding="utf-8")
+    encode = packing.Encoder(str(path))
+    assert encode.fast is None and encode("HELLO there") == np.array(plain("hello there"), "<u4").tobytes()
+
+
 def test_best_fit_is_the_plain_one():
     rng = random.Random(3)
     for limit in (1, 2, 7, 50):
