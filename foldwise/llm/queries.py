@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import best_fit_packing, chat, embedding_caps, exact_dedup, jaccard_pivots, kneser_ney, language_crf, lm_trie, mixing, pii_weak, sentencepiece_codec
+from foldwise.llm import best_fit_packing, chat, embedding_caps, exact_dedup, jaccard_pivots, kneser_ney, language_crf, lm_trie, mixing, periodic_runs, pii_weak, prefix_trie, sentencepiece_codec
 from foldwise.llm.common import load
 from foldwise.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -115,3 +115,81 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_best_fit_packing")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing.packed_pieces(load(spark, folder, "documents"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum of its id, ends in a passage that repeats: the rows of the contract."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("_g"), F.when(h % 10 == 0, words).alias("_words"))
+    placed = split.withColumn("_n", F.size("_words")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    sized = placed.withColumn("_p", F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)) + 1)
+    planted = F.expr("array_join(transform(_words, (w, i) -> CASE WHEN i < _a THEN w ELSE get(_words, CAST(_a + (i - _a) % _p AS INT)) END), ' ')")
+    return sized.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.text_runs(with_planted_periods(load(spark, folder, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = found.withColumns({"_top": F.array_max(ranked), "_lines": F.array_join(lines, "")})
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_top.start")).alias("start"),
+        F.col("_top.length").alias("length"),
+        (-F.col("_top.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("_top.length") / -F.col("_top.period")).alias("exponent_milli"),
+        F.sha2(F.col("_lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit (DuckDB has no function for it)."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {bits}), 4294967295)"
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """The conversations of the contract: the first h turns come from the conversation at the last multiple of five."""
+    heads = turns.select(F.col("conv_id").alias("_base"), F.slice("turns", 1, 8).alias("_head"))
+    based = turns.withColumn("_base", F.col("conv_id") - F.col("conv_id") % 5).join(heads, "_base", "left")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    first = F.slice(F.coalesce("_head", F.slice("turns", 1, 0)), F.lit(1), h)
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    return based.select("conv_id", F.concat(first, rest).alias("turns"))
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH given AS (
+        SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS b
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({{'m': m, 'b': b}} ORDER BY turn NULLS FIRST, m) AS turns, {crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM given GROUP BY conv_id),
+    rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+        FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    begun AS (
+        SELECT conv_id, d, array_to_string(list_transform(turns[1:d], lambda t: t.m), '') AS path, CASE WHEN d > 0 THEN turns[d].b ELSE 0 END AS b, d = len(turns) AS ends
+        FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+    nodes AS (
+        SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM begun GROUP BY path, d),
+    kids AS (SELECT left(path, 64 * (d - 1)) AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+    leafy AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (path)),
+    below AS (
+        SELECT left(path, 64 * a) AS path, sum((n - 1) * b)::BIGINT AS saved, count(*) FILTER (k = 0) AS leaves
+        FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM leafy) GROUP BY 1)
+    SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.k AS n_children, below.leaves AS n_leaves,
+           below.saved AS saved_tokens, x.ends_sha256
+    FROM leafy x JOIN below USING (path) LEFT JOIN nodes up ON x.d > 0 AND up.path = left(x.path, 64 * (x.d - 1))
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_nodes(rebuilt(prefix_trie.conversation_turns(load(spark, folder, "conversations"))))
