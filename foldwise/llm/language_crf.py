@@ -29,7 +29,8 @@ BITS = 17  # hashed feature space
 PIECE = 24  # words from one text before training goes on with another
 EPOCHS, BATCH, STEP, DECAY = 3, 64, 0.15, 1e-7
 BLOCK = 64  # words per block of the forward and backward passes
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
+TAG_BYTES = 1 << 19  # of text whose words are labelled at a time; each takes some ten numbers per language
 UNKNOWN = "und"
 CARRIED = ("lang_pred string", "score double", "certainty double")
 ADDED_TYPES = ("lang_pred string", "score double", "n_words long", "shares map<string,double>", "stretches array<struct<lang:string,words:long>>")
@@ -288,7 +289,7 @@ def fit_on(docs: DataFrame) -> Field | None:
 
 def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, n_words, shares, stretches; with `carry`
-    row (all columns of docs), lang_pred, score and certainty.
+    row (the other columns of docs), text, lang_pred, score and certainty.
 
     shares: mean probability of each learned language over the words.  lang_pred has the largest share
     (the first in the alphabet of equal ones), score is that share.  certainty:
@@ -298,18 +299,20 @@ def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool =
     """
     field = field if field is not None else fit_on(docs)
     held = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
-    keep = docs.select("text", F.struct("*").alias("row")) if carry else docs.select("doc_id", "text", held)
-    passed = ["row"] if carry else ["doc_id", "held_out"]
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # 2 ** BITS rows of one weight per language
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keep = docs.select("text", F.struct(*others).alias("row")) if carry else docs.select("doc_id", "text", held)
+    passed = ["row", "text"] if carry else ["doc_id", "held_out"]
+    # 2 ** BITS rows of one weight per language; plain arrays, which executors can open without this package
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(field).values()) if field else None)
     added = T.StructType.fromDDL(", ".join(CARRIED if carry else ADDED_TYPES)).fields
     names_of = [f.name for f in added]
     stretch = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Field(*shared.value) if shared.value else None
         tagger = Tagger(known) if known else None
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", TAG_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 counts, spread = tagger.tag(texts) if tagger else (np.zeros(len(texts), np.int64), np.zeros((0, 1)))
                 names, scores, shares, runs, sure = [], [], [], [], []

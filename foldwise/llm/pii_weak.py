@@ -10,6 +10,7 @@ classifier adds spans to those of the strict patterns, which always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,8 @@ def digits_of(text: str) -> str:
 def passes(kind: str, span: str) -> bool:
     """The range and checksum tests of the strict patterns."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in span.split("."))
+        parts = [p.lstrip("0") for p in span.split(".")]
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     digits = digits_of(span)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -76,15 +78,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(((a, b, k) for a, b, k, ok in _matches(text) if ok), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+# The strict patterns in linear time: an address starts with its run of digits, since a match ends with its own.
+IP_AT_RUN = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """From every @ leftwards to the end of the last match, then the domain."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        local = at - done - len(text[done:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if local else None
+        if domain:
+            yield at - local, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
+
+
 def _matches(text: str) -> list[tuple[int, int, str, bool]]:
     """All matches of the strict patterns, and whether they pass."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", True) for m in BASE["email"].finditer(text)]
+        found += [(start, end, "email", True) for start, end in _emails(text)]
     if DIGIT.search(text):
         for kind in ("ip", "card", "phone"):
             if kind != "phone" or "+" in text:
-                found += [(m.start(), m.end(), kind, passes(kind, m.group())) for m in BASE[kind].finditer(text)]
+                pattern = IP_AT_RUN if kind == "ip" else BASE[kind]
+                found += [(m.start(), m.end(), kind, passes(kind, m.group())) for m in pattern.finditer(text)]
     return found
 
 
@@ -214,18 +235,38 @@ def merged(base: list[tuple[int, int, str]], proposed: list[tuple[int, int, str,
     Of a secret, what spans before it leave free is added.
     """
     chosen = list(base)
+    starts, ends = [], []  # of what is taken, apart from each other and in order
+    for x, y, _ in sorted(base):
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
+
+    def take(a: int, b: int, kind: str) -> None:
+        at = bisect_right(ends, a)
+        starts.insert(at, a)
+        ends.insert(at, b)
+        chosen.append((a, b, kind))
+
     for p, a, b, kind in sorted((-chance.get(n, 0.0), a, b, k) for a, b, k, n in proposed):
         if -p < ADD_FROM:
             break
-        over = sorted((x, y) for x, y, _ in chosen if a < y and x < b)
+        at = bisect_right(ends, a)
+        over = []
+        while at < len(starts) and starts[at] < b:
+            over.append((starts[at], ends[at]))
+            at += 1
+            if kind != "secret":
+                break
         if kind != "secret" and over:
             continue
         for x, y in over:
             if a < x:
-                chosen.append((a, x, kind))
+                take(a, x, kind)
             a = max(a, y)
         if a < b:
-            chosen.append((a, b, kind))
+            take(a, b, kind)
     return sorted(chosen, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 
@@ -32,6 +34,27 @@ def test_base_spans_are_those_of_the_patterns(spark, small):
         assert pii.base_spans(row["text"]) == plain(row["text"])
 
 
+def test_patterns_in_linear_time_are_the_plain_ones():
+    rng = random.Random(6)
+    letters = list("ab1290.-_%+@@@ ") + ["b.c", "@x.y", "1.1.1.1", "00255", "+49 "]
+    for _ in range(4000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        assert pii.base_spans(text) == plain(text), text
+
+
+def test_very_long_runs(spark):
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(0, 5007, "ip")]
+    assert pii.base_spans("0" * 5000 + "256.1.1.1") == []
+    texts = ["7" * 1_000_000, "x" * 1_000_000 + " a@b.de", "x" * 1_000_000 + "@", "@" * 300_000, "1." * 400_000, "+1" * 300_000, "+1" + "(" * 1_000_000, "secret=" + "aB3" * 300_000]
+    for text in texts:
+        began = time.time()
+        pii.base_spans(text)
+        assert time.time() - began < 2, text[:10]
+    began = time.time()
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(t[:300_000] for t in texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts))) and time.time() - began < 90
+
+
 def test_codes_are_reversible():
     for kind in pii.KINDS:
         for ballot in ((1, -1, 0, 1, -1), (0, 0, 0, 0, 0), (-1, 1, 1, -1, 1)):
