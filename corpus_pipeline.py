@@ -24,7 +24,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = language_crf.detect_languages(docs, carry=True)
     kept = found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE))
-    columns = [F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
+    taken = {"lang": F.coalesce("row.lang", "lang_pred").alias("lang"), "text": F.col("text")}
+    columns = [taken[c] if c in taken else F.col(f"row.`{c}`") for c in docs.columns]
     return kept.select(*columns)
 
 
