@@ -17,14 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from foldwise.functions.bits import tanimoto
+from foldwise.operators.blocks import block_pairs, flat_rows, on_cells, open_cell, similarity_matrix
 from foldwise.operators.ranking import ordinal_by
-from foldwise.operators.similarity import (
-    _lists,
-    _matrix,
-    block_pairs,
-    merge_copies,
-    similarity_matrix,
-)
+from foldwise.operators.similarity import merge_copies
 from foldwise.session import cut_lineage
 
 # Fixed value: similarity from which a member belongs to a leader.
@@ -38,6 +33,10 @@ def words_matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(w, dtype=np.int64) for w in column]).view(np.uint64)
 
 
+def batch_words(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("words").flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
+
+
 def batch_size(nodes: DataFrame, keys: Sequence[str]) -> int:
     """Leaders per round and key such that a round's broadcast stays under a fixed size."""
     n_keys = max(1, nodes.select(*keys).distinct().count())
@@ -78,7 +77,7 @@ def _keep_uncovered(shared, threshold: float, inclusive: bool, keys: Sequence[st
             if not batch.num_rows:
                 continue
             owner = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-            words = _matrix(batch.column("words").flatten().to_numpy(), batch.num_rows)
+            words = batch_words(batch)
             keep = np.ones(batch.num_rows, dtype=bool)
             for key in set(owner):
                 if key in leaders:
@@ -121,22 +120,19 @@ def pick_leaders(
 
 
 def _nearest(keys: Sequence[str]):
-    """Kernel: the closest reference of each query node in a pair of blocks; first one wins."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = {n: _lists(batch, f"q_{n}") for n in ("node", "words")}
-            r = {n: _lists(batch, f"r_{n}") for n in ("node", "words")}
-            for i in range(batch.num_rows):
-                node, other = q["node"](i), r["node"](i)
-                order = np.argsort(other)
-                sim = similarity_matrix(
-                    _matrix(q["words"](i), len(node)), _matrix(r["words"](i), len(other))[order]
-                )
-                best = sim.argmax(1)
-                columns = [pa.repeat(batch.column(k)[i], len(node)) for k in keys]
-                columns += [pa.array(node), pa.array(other[order][best]), pa.array(sim[np.arange(len(node)), best])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "node", "leader", "similarity"])
+    """Kernel: the closest reference of each query node in a cell; of equally close ones the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, [])
+        out: dict[str, list] = {n: [] for n in ("node", "leader", "similarity")}
+        for a, b, _ in block_pairs(left, right, False):
+            order = np.argsort(b.node)
+            sim = similarity_matrix(a.words, b.words[order])
+            best = sim.argmax(1)
+            out["node"].append(a.node)
+            out["leader"].append(b.node[order][best])
+            out["similarity"].append(sim[np.arange(len(a.node)), best])
+        return flat_rows(table, keys, out, {"node": pa.int64(), "leader": pa.int64(), "similarity": pa.float64()})
 
     return run
 
@@ -152,7 +148,7 @@ def nearest_leader(nodes: DataFrame, leaders: DataFrame, keys: Sequence[str], th
     source = nodes.withColumn("weight", F.lit(1)) if "weight" not in nodes.columns else nodes
     types = dict(nodes.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "node bigint, leader bigint, similarity double"])
-    partial = block_pairs(source, weighted, keys, (), threshold).mapInArrow(_nearest(keys), schema)
+    partial = on_cells(source, weighted, keys, _nearest(keys), schema, (), threshold)
     best = F.max_by(F.struct("leader", "similarity"), F.struct(F.col("similarity"), -F.col("leader")))
     return partial.groupBy(*keys, "node").agg(best.alias("_b")).select(*keys, "node", "_b.*")
 

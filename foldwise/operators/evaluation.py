@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foldwise.functions.scalars import count_if, finite, group_status, known, open_ratio, share, to_number
 from foldwise.operators.classification import eligible, label_coding, ranking_metrics, recoded_label
-from foldwise.operators.regression import moments, pearson, spearman
+from foldwise.operators.regression import numbered, paired_metrics, pearson, small_side, spearman
 from foldwise.operators.ranking import average_ranks
 from foldwise.session import cut_lineage
 
@@ -46,26 +46,27 @@ def evaluate_classification(
     """Counts, AP, ROC AUC and normPR per point and subset, all over the rows with a label and a finite
     score; ineligible subsets are left out."""
     keys = list(keys)
-    subset = [*keys, "Subset"]
-    merged = df.groupBy(
-        *keys, F.col(is_empty).alias("_empty"), to_number(y).alias("_y"), finite(score).alias("score")
-    ).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = df.select(*keys, F.coalesce(F.col(is_empty), F.lit(False)).alias("_empty"), to_number(y).alias("_y"), finite(score).alias("score"))
+    points, rows = numbered(rows, keys)
+    subset = ["_point", "Subset"]
+    merged = cut_lineage(rows.groupBy("_point", "_empty", "_y", "score").agg(F.count(F.lit(1)).alias("_rows")))
     fanned = with_subsets(merged, "_empty")
     labelled = fanned.join(label_coding(fanned, subset, "_y"), subset)
     label = recoded_label(F.col("_y"), F.col("coding"))
     usable = labelled.withColumn("_label", label).where(F.col("_label").isNotNull() & F.col("score").isNotNull())
     positive = F.sum(F.when(F.col("_label") == 1, F.col("_rows")).otherwise(0))
     negative = F.sum(F.when(F.col("_label") == 0, F.col("_rows")).otherwise(0))
-    scored = usable.groupBy(*subset, "score").agg(positive.alias("pos"), negative.alias("neg"))
+    scored = cut_lineage(usable.groupBy(*subset, "score").agg(positive.alias("pos"), negative.alias("neg")))
     counts = scored.groupBy(*subset).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("N"),
         F.sum("pos").alias("N_Positive"),
         F.sum("neg").alias("N_Negative"),
     ).where(eligible(F.col("N_Positive"), F.col("N_Negative")))
-    sample = df.select(finite(score).alias("score"))
-    ranked = ranking_metrics(scored, subset, sample)
-    return counts.join(ranked, subset, "left").select(
-        *subset,
+    ranked = ranking_metrics(scored, subset, merged)
+    out = counts.join(ranked, subset, "left").join(small_side(points.select("_point", *keys)), "_point")
+    return out.select(
+        *keys,
+        "Subset",
         "N",
         "N_Positive",
         "N_Negative",
@@ -82,16 +83,12 @@ def evaluate_regression(
     """Error, association and spread metrics per point and subset with at least five rows,
     all over the same finite pairs."""
     keys = list(keys)
-    subset = [*keys, "Subset"]
-    pairs = df.select(
-        *keys, F.col(is_empty).alias("_empty"), finite(to_number(y)).alias("y"), finite(to_number(pred)).alias("pred")
-    ).where(F.col("y").isNotNull() & F.col("pred").isNotNull())
-    fanned = with_subsets(pairs, "_empty")
-    basic = moments(fanned, subset, "y", "pred", constant_r2="score").where(F.col("n") >= MIN_TEST_ROWS)
-    merged = fanned.groupBy(*subset, "y", "pred").agg(F.count(F.lit(1)).alias("n"))
-    ranks = spearman(merged, subset)
-    return basic.join(ranks, subset, "left").select(
-        *subset,
+    pairs = df.select(*keys, is_empty, finite(to_number(y)).alias("y"), finite(to_number(pred)).alias("pred"))
+    pairs = pairs.where(F.col("y").isNotNull() & F.col("pred").isNotNull())
+    subsets = ("all_test", "scaffold_bearing", "no_scaffold")
+    return paired_metrics(pairs, keys, "score", is_empty, subsets).where(F.col("n") >= MIN_TEST_ROWS).select(
+        *keys,
+        "Subset",
         F.col("n").alias("N"),
         F.col("target_scale_mean_abs").alias("Target_Scale"),
         "MAE",

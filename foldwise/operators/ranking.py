@@ -128,3 +128,28 @@ def ordinal_by(
     starts = run.select(*keys, major, (F.col("_upto") - F.col("_c")).alias("_start"))
     inside = ordinal_within(df, [*keys, major], minor, "_inside")
     return inside.join(starts, [*keys, major]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+
+
+def text_numbers(ids: DataFrame, identifier: str, name: str = "number") -> DataFrame:
+    """(identifier, name): a dense number from 0 for every distinct text, in the order of the texts.
+
+    The dictionary between text identifiers and the numbers that similarity, leader, repair and
+    sweep operators work on.  Texts are range-partitioned and sorted; the parts' sizes give each part's first number.
+    """
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = ids.select(identifier).where(F.col(identifier).isNotNull()).distinct()
+    ranged = distinct.repartitionByRange(parts, identifier).sortWithinPartitions(identifier)
+    # the lower bits of the generated number are the position in its part
+    placed = cut_lineage(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per part
+    firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return placed.join(firsts, "_part").select(identifier, (F.col("_first") + F.col("_at")).alias(name))
+
+
+def with_number(df: DataFrame, identifier: str, name: str) -> DataFrame:
+    """Add a BIGINT that orders rows as their identifier does: the identifier itself if it is a number, else its
+    number in the dictionary of all texts."""
+    if dict(df.dtypes)[identifier] != "string":
+        return df.withColumn(name, F.col(identifier).cast("bigint"))
+    return df.join(text_numbers(df, identifier, name), identifier, "left")

@@ -96,8 +96,109 @@ def moments(df: DataFrame, keys: Sequence[str], y: str = "y", pred: str = "pred"
     )
 
 
+POINTS_LIMIT = 100_000  # rows of a table of keys that is still broadcast
+
+
+def numbered(df: DataFrame, keys: Sequence[str], *about: Column) -> tuple[DataFrame, DataFrame]:
+    """(points, rows): a number ``_point`` for every combination of keys, with aggregates over its rows, and
+    the rows with that number in place of the keys.
+
+    Later shuffles and sorts then move one number instead of several texts.
+    """
+    keys = list(keys)
+    about = about or (F.count(F.lit(1)).alias("_rows"),)
+    points = cut_lineage(df.groupBy(*keys).agg(*about).withColumn("_point", F.monotonically_increasing_id()))
+    side = points.select("_point", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return points, df.join(small_side(side), same).select("_point", *[c for c in df.columns if c not in keys])
+
+
+def small_side(points: DataFrame) -> DataFrame:
+    """A checkpointed table of keys, broadcast up to POINTS_LIMIT rows."""
+    return F.broadcast(points) if points.count() <= POINTS_LIMIT else points
+
+
+# Sums over merged pairs; they add up over parts of a point.
+SUMS = ("n", "abs_e", "e2", "dy", "dy2", "dp", "dp2", "dydp", "abs_y")
+
+
+def _pair_sums() -> list[Column]:
+    """Sums of one part, around the means of its whole point, so that nothing cancels."""
+    n, error, dy, dp = F.col("n"), F.col("y") - F.col("pred"), F.col("y") - F.col("_cy"), F.col("pred") - F.col("_cp")
+    terms = (F.lit(1), F.abs(error), error * error, dy, dy * dy, dp, dp * dp, dy * dp, F.abs("y"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("y", "pred")]
+    return [F.sum(n * t).alias(f"_{s}") for s, t in zip(SUMS, terms)] + ends
+
+
+def _side_ranks(merged: DataFrame, value: str, name: str) -> DataFrame:
+    """Per point and value the tie-averaged rank among all rows (0), rows without (1) and with the status (2), in one pass."""
+    counts = merged.groupBy("_point", value).agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(f"_n{i}") for i, c in ((1, ~F.col("_s")), (2, F.col("_s")))])
+    run = running_totals(counts, ["_point"], value, {"_u1": "_n1", "_u2": "_n2"}, sample_of=merged)
+    both = [(F.col("_u1") + F.col("_u2"), F.col("_n1") + F.col("_n2")), (F.col("_u1"), F.col("_n1")), (F.col("_u2"), F.col("_n2"))]
+    return run.select("_point", value, *[(u - n + (n + 1) / 2.0).alias(f"{name}{i}") for i, (u, n) in enumerate(both)])
+
+
+def paired_metrics(pairs: DataFrame, keys: Sequence[str], constant_r2: str = "null", status: str | None = None, subsets: Sequence[str] = ()) -> DataFrame:
+    """Error, association and spread metrics of finite ``y`` and ``pred`` per key.
+
+    With a boolean ``status`` and the names of three subsets (all rows, without, with), per key and Subset.
+    Equal pairs are merged first and ranked once: a running total with a count for each status gives the ranks inside all
+    three subsets.  Sums of the parts of a point add up to those of the whole point, so no row is fanned out.
+    """
+    keys = list(keys)
+    flag = F.lit(False) if status is None else F.coalesce(F.col(status), F.lit(False))
+    points, rows = numbered(pairs.select(*keys, flag.alias("_s"), "y", "pred"), keys, F.avg("y").alias("_cy"), F.avg("pred").alias("_cp"))
+    merged = cut_lineage(rows.groupBy("_point", "_s", "y", "pred").agg(F.count(F.lit(1)).alias("n")))
+    ranked = merged.join(_side_ranks(merged, "y", "_x"), ["_point", "y"]).join(_side_ranks(merged, "pred", "_z"), ["_point", "pred"])
+    own = [F.when(F.col("_s"), F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(f"{c}3") for c in ("_x", "_z")]
+    ranked = ranked.select("*", *own).join(small_side(points.select("_point", "_cy", "_cp")), "_point")
+    n = F.col("n")
+    products = [F.sum(n * F.col(a) * F.col(b)).alias(f"_r{i}{k}") for i in (0, 3) for k, (a, b) in enumerate(((f"_x{i}", f"_z{i}"), (f"_x{i}", f"_x{i}"), (f"_z{i}", f"_z{i}")))]
+    parts = ranked.groupBy("_point", "_s").agg(*_pair_sums(), *products)
+    by = ["_point"]
+    if status is not None:
+        by = ["_point", "Subset"]
+        sides = [F.struct(F.lit(subsets[0]).alias("Subset"), *[F.col(f"_r0{k}").alias(f"_r{k}") for k in range(3)])]
+        sides += [F.struct(F.when(F.col("_s"), subsets[2]).otherwise(subsets[1]).alias("Subset"), *[F.col(f"_r3{k}").alias(f"_r{k}") for k in range(3)])]
+        parts = parts.withColumn("_z", F.explode(F.array(*sides))).select("*", "_z.*")
+    else:
+        parts = parts.withColumnsRenamed({f"_r0{k}": f"_r{k}" for k in range(3)})
+    ends = [f(f"{f.__name__}_{c}").alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("y", "pred")]
+    sums = parts.groupBy(*by).agg(*[F.sum(f"_{s}").alias(f"_{s}") for s in SUMS], *[F.sum(f"_r{k}").alias(f"_r{k}") for k in range(3)], *ends)
+    n = F.col("_n")
+    mean = {s: F.col(f"_{s}") / n for s in SUMS}
+
+    def spread(column: str, first: str, second: str) -> Column:
+        return F.when(F.col(f"min_{column}") == F.col(f"max_{column}"), 0.0).otherwise(F.greatest(mean[second] - mean[first] * mean[first], F.lit(0.0)))
+
+    vy, vp, many = spread("y", "dy", "dy2"), spread("pred", "dp", "dp2"), n >= 2
+    r2 = F.when(many & (vy > 0), 1 - F.try_divide(mean["e2"], vy))
+    if constant_r2 == "score":
+        r2 = F.when(many & (vy == 0), F.when(mean["e2"] == 0, 1.0).otherwise(0.0)).otherwise(r2)
+    middle = (n + 1) / 2.0
+    rank = [F.col(f"_r{k}") / n - middle * middle for k in range(3)]
+    varies = many & (vy > 0) & (vp > 0)
+    sample = F.try_divide(n.cast("double"), n - 1)
+    out = sums.select(
+        *by,
+        n.alias("n"),
+        mean["abs_e"].alias("MAE"),
+        F.sqrt(mean["e2"]).alias("RMSE"),
+        r2.alias("R2"),
+        F.when(varies, _correlation(mean["dydp"] - mean["dy"] * mean["dp"], vy, vp)).alias("Pearson_r"),
+        mean["abs_y"].alias("target_scale_mean_abs"),
+        F.try_divide(mean["abs_e"], mean["abs_y"]).alias("relMAE"),
+        F.sqrt(vp * sample).alias("Prediction_SD"),
+        F.sqrt(vy * sample).alias("Target_SD"),
+        F.when(varies, _correlation(*rank)).alias("Spearman_rho"),
+    )
+    return out.join(small_side(points.select("_point", *keys)), "_point").select(*keys, *by[1:], *out.columns[len(by) :])
+
+
 def regression_summary(
     df: DataFrame, keys: Sequence[str], y: str = "y", pred: str = "pred", constant_r2: str = "null"
 ) -> DataFrame:
-    pairs = pair_counts(df, keys, y, pred)
-    return moments(df, keys, y, pred, constant_r2).join(spearman(pairs, keys), list(keys), "left")
+    pairs = df.select(*keys, finite(y).alias("y"), finite(pred).alias("pred"))
+    return paired_metrics(pairs.where(F.col("y").isNotNull() & F.col("pred").isNotNull()), keys, constant_r2)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.scalars import SPLITS, max_cluster_size, split_ratio, target_counts, zero_filled
 from foldwise.operators.clusters import microclusters
-from foldwise.operators.ranking import ordinal_by, ordinal_within, running_totals
+from foldwise.operators.ranking import ordinal_by, ordinal_within, running_totals, with_number
 from foldwise.operators.similarity import group_similarity
 from foldwise.session import cut_lineage
 
@@ -259,6 +259,10 @@ def repair_split(
             raise ValueError(f"unknown repair condition: {condition}")
         condition = CONDITIONS[condition]
     keys = list(keys)
+    if dict(members.dtypes)[order] == "string":
+        numbered = cut_lineage(with_number(members, order, "_number"))
+        audit, summary = repair_split(numbered, keys, "_number", condition, split, is_empty)
+        return audit.drop("_number"), summary
     targets = cut_lineage(assignment_targets(members, keys, condition, is_empty))
     empty = members.where(F.col(is_empty)).select(*keys, order, "words")
     shaped = empty.where(F.col("words").isNotNull()).join(targets.select(*keys, "limit"), keys)

@@ -2,15 +2,14 @@
 
 Means over all pairs need every pair, but no pair is ever a row.  Members with
 the same fingerprint are merged first, with a weight, so copies cost nothing.
-The distinct fingerprints are hashed into blocks of about a thousand; block pairs
-are spread over the cluster, and a small NumPy kernel turns a pair of blocks into
-one sum and one maximum per member.  What is shuffled is linear in members times
-blocks, a task holds two blocks, and no group is collected anywhere.
+The distinct fingerprints are compared over a grid of block groups (see ``blocks``), and a
+small NumPy kernel turns a cell into one sum and one maximum per member.  Maxima alone
+do not need all cells: see ``best_similarity``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foldwise.functions.bits import popcount, tanimoto
 from foldwise.functions.scalars import shuffle_key
-from foldwise.operators.ranking import ordinal_within
+from foldwise.operators.blocks import BLOCK_ROWS, CELL_BLOCKS, Block, block_pairs, bound, flat_rows, grid_of, on_cells, open_cell, packed, placed, similarity_matrix, sizes_of
+from foldwise.operators.ranking import ordinal_within, with_number
 from foldwise.operators.shift import gini
 from foldwise.session import cut_lineage
 
-BLOCK_ROWS = 1024
 # Smallest group whose similarity structure is reported, pair sample size.
 MIN_MEMBERS = 5
 MAX_SAMPLED_PAIRS = 60000
@@ -34,127 +33,51 @@ def merge_copies(
 ) -> DataFrame:
     """One node per distinct fingerprint (and ``extra`` columns) with its multiplicity.
 
+    A node's number is that of its first identifier; text identifiers are numbered in their order.
+
     Nodes are written to the checkpoint folder: every similarity operator reads
     them several times, and making fingerprints is the expensive part upstream.
     """
     return cut_lineage(
-        members.where(F.col(words).isNotNull())
+        with_number(members.where(F.col(words).isNotNull()), identifier, "_number")
         .groupBy(*keys, *extra, F.col(words).alias("words"))
-        .agg(F.min(identifier).cast("bigint").alias("node"), F.count(F.lit(1)).alias("weight"))
-    )
-
-
-def _blocks(nodes: DataFrame, keys: Sequence[str], prefix: str, block_rows: int, extra: Sequence[str]) -> DataFrame:
-    """Pack nodes into blocks of similar popcount; a block is a bounded row of arrays."""
-    keys = list(keys)
-    band = F.floor(F.log(1.25, popcount("words") + F.lit(1.0))).cast("int")
-    banded = nodes.withColumn("_band", band)
-    sizes = banded.groupBy(*keys, "_band").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_parts"))
-    placed = banded.join(sizes, [*keys, "_band"]).withColumn(
-        "_blk", F.concat_ws(".", "_band", F.pmod(F.xxhash64("node"), F.col("_parts")))
+        .agg(F.min("_number").alias("node"), F.count(F.lit(1)).alias("weight"))
     )
-    columns = ["node", "weight", *extra]
-    packed = placed.groupBy(*keys, "_blk").agg(
-        F.collect_list(F.struct(*columns, "words")).alias("p"), F.min(popcount("words")).alias(f"{prefix}_lo"), F.max(popcount("words")).alias(f"{prefix}_hi")
-    )
-    return packed.select(
-        *keys,
-        F.col("_blk").alias(f"{prefix}_blk"),
-        f"{prefix}_lo",
-        f"{prefix}_hi",
-        *[F.col(f"p.{c}").alias(f"{prefix}_{c}") for c in columns],
-        F.flatten("p.words").alias(f"{prefix}_words"),
-    )
-
-
-def block_pairs(
-    queries: DataFrame,
-    references: DataFrame,
-    keys: Sequence[str],
-    extra: Sequence[str] = (),
-    threshold: float | None = None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Every pair of blocks that can hold a pair at or above the threshold.
-
-    The Tanimoto of two fingerprints is at most the ratio of their popcounts, so
-    the directory of blocks - a few numbers each - rules pairs of blocks out
-    before any fingerprint moves.
-    """
-    keys = list(keys)
-    left, right = (_blocks(d, keys, p, block_rows, extra) for d, p in ((queries, "q"), (references, "r")))
-    directory = left.select(*keys, "q_blk", "q_lo", "q_hi").join(right.select(*keys, "r_blk", "r_lo", "r_hi"), keys)
-    if threshold:
-        directory = directory.where(
-            (F.col("q_hi") >= threshold * F.col("r_lo")) & (F.col("r_hi") >= threshold * F.col("q_lo"))
-        )
-    pairs = directory.select(*keys, "q_blk", "r_blk")
-    return pairs.join(left.drop("q_lo", "q_hi"), [*keys, "q_blk"]).join(right.drop("r_lo", "r_hi"), [*keys, "r_blk"])
-
-
-def similarity_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Tanimoto of all rows of two word matrices."""
-    shared = np.zeros((len(a), len(b)), dtype=np.int32)
-    for w in range(a.shape[1]):
-        shared += np.bitwise_count(a[:, w, None] & b[None, :, w])
-    union = np.bitwise_count(a).sum(1, dtype=np.int32)[:, None] + np.bitwise_count(b).sum(1, dtype=np.int32)[None, :] - shared
-    return np.where(union == 0, 1.0, shared / np.maximum(union, 1))
-
-
-def _lists(batch: pa.RecordBatch, name: str):
-    """Accessor for one list column: row number to NumPy (or text) array."""
-    column = batch.column(name)
-    values, offsets = column.values, column.offsets.to_numpy()
-    if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
-        flat = np.asarray(values.to_pylist(), dtype=object)
-    else:
-        flat = values.to_numpy(zero_copy_only=False)
-    return lambda i: flat[offsets[i] : offsets[i + 1]]
-
-
-def _matrix(words: np.ndarray, rows: int) -> np.ndarray:
-    return words.reshape(rows, -1).view(np.uint64)
 
 
 SUMMARY_FIELDS = ("sum_all", "max_all", "sum_same", "max_same", "sum_bearing", "max_other_bearing")
 
 
 def _summarize(same_side: bool, grouped: bool, keys: Sequence[str]):
-    """Kernel: per query node, sums and maxima against one reference block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ["node", "weight", "words"] + (["grp", "bearing"] if grouped else [])
-            q = {n: _lists(batch, f"q_{n}") for n in names}
-            r = {n: _lists(batch, f"r_{n}") for n in names}
-            out: dict[str, list] = {f: [] for f in ("node", *SUMMARY_FIELDS)}
-            for i in range(batch.num_rows):
-                node, other, weight = q["node"](i), r["node"](i), r["weight"](i).astype(float)
-                sim = similarity_matrix(_matrix(q["words"](i), len(node)), _matrix(r["words"](i), len(other)))
-                counted = np.broadcast_to(weight, sim.shape)
-                seen = sim
-                if same_side:
-                    self_pair = node[:, None] == other[None, :]
-                    counted = counted - self_pair
-                    seen = np.where(self_pair & (counted < 1), -1.0, sim)
-                weighted = sim * counted
-                out["node"].append(node)
-                out["sum_all"].append(weighted.sum(1))
-                out["max_all"].append(seen.max(1))
-                if grouped:
-                    same = q["grp"](i)[:, None] == r["grp"](i)[None, :]
-                    bearing = r["bearing"](i).astype(bool)[None, :]
-                    out["sum_same"].append((weighted * same).sum(1))
-                    out["max_same"].append(np.where(same, seen, -1.0).max(1))
-                    out["sum_bearing"].append((weighted * bearing).sum(1))
-                    out["max_other_bearing"].append(np.where(bearing & ~same, seen, -1.0).max(1))
-                else:
-                    for f in SUMMARY_FIELDS[2:]:
-                        out[f].append(np.full(len(node), -1.0))
-            columns = [batch.column(k) for k in keys]
-            columns.append(pa.array(out["node"], pa.list_(pa.int64())))
-            columns += [pa.array(out[f], pa.list_(pa.float64())) for f in SUMMARY_FIELDS]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "node", *SUMMARY_FIELDS])
+    """Kernel: per query node, sums and maxima against the references of one cell."""
+
+    def add(totals: dict[str, np.ndarray], a: Block, b: Block, sim: np.ndarray) -> None:
+        counted, seen = np.broadcast_to(b.weight, sim.shape), sim
+        if same_side and a is b:  # a member is not compared with itself, but with its copies
+            counted = counted - np.eye(len(a.node))
+            seen = np.where(np.eye(len(a.node), dtype=bool) & (counted < 1), -1.0, sim)
+        weighted = sim * counted
+        totals["sum_all"] += weighted.sum(1)
+        totals["max_all"] = np.maximum(totals["max_all"], seen.max(1))
+        if grouped:
+            same = a.extra["grp"][:, None] == b.extra["grp"][None, :]
+            bearing = b.extra["bearing"].astype(bool)[None, :]
+            totals["sum_same"] += (weighted * same).sum(1)
+            totals["max_same"] = np.maximum(totals["max_same"], np.where(same, seen, -1.0).max(1))
+            totals["sum_bearing"] += (weighted * bearing).sum(1)
+            totals["max_other_bearing"] = np.maximum(totals["max_other_bearing"], np.where(bearing & ~same, seen, -1.0).max(1))
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, ["grp", "bearing"] if grouped else [])
+        found: dict[int, tuple[Block, dict[str, np.ndarray]]] = {}
+        for a, b, both in block_pairs(left, right, same_side):
+            sim = similarity_matrix(a.words, b.words)
+            for x, y, s in ((a, b, sim), (b, a, sim.T))[: 1 + both]:
+                if id(x) not in found:
+                    found[id(x)] = (x, {f: np.full(len(x.node), 0.0 if f.startswith("sum") else -1.0) for f in SUMMARY_FIELDS})
+                add(found[id(x)][1], x, y, s)
+        columns = {"node": [x.node for x, _ in found.values()]} | {f: [t[f] for _, t in found.values()] for f in SUMMARY_FIELDS}
+        return flat_rows(table, keys, columns, {"node": pa.int64()} | dict.fromkeys(SUMMARY_FIELDS, pa.float64()))
 
     return run
 
@@ -174,39 +97,33 @@ def node_similarity(
     keys = list(keys)
     same_side = references is None
     extra = ["grp", "bearing"] if grouped else []
-    pairs = block_pairs(queries, queries if same_side else references, keys, extra, None, block_rows)
     types = dict(queries.dtypes)
-    fields = ", ".join(f"{f} array<double>" for f in SUMMARY_FIELDS)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "node array<bigint>", fields])
-    partial = pairs.mapInArrow(_summarize(same_side, grouped, keys), schema)
-    zipped = partial.select(*keys, F.explode(F.arrays_zip("node", *SUMMARY_FIELDS)).alias("_z")).select(*keys, "_z.*")
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "node bigint", *(f"{f} double" for f in SUMMARY_FIELDS)])
+    kernel = _summarize(same_side, grouped, keys)
+    partial = on_cells(queries, references, keys, kernel, schema, extra, None, block_rows)
     sums = [F.sum(f).alias(f) if f.startswith("sum") else F.nullif(F.max(f), F.lit(-1.0)).alias(f) for f in SUMMARY_FIELDS]
     used = sums if grouped else sums[:2]
-    return zipped.groupBy(*keys, "node").agg(*used)
+    return partial.groupBy(*keys, "node").agg(*used)
 
 
 def _group_sums(keys: Sequence[str]):
-    """Kernel: sums of all similarities between the groups of two blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, r = ({n: _lists(batch, f"{side}_{n}") for n in ("node", "weight", "words", "grp")} for side in "qr")
-            out: dict[str, list] = {n: [] for n in ("q_grp", "r_grp", "total")}
-            for i in range(batch.num_rows):
-                sim = similarity_matrix(_matrix(q["words"](i), len(q["node"](i))), _matrix(r["words"](i), len(r["node"](i))))
-                weighted = sim * q["weight"](i)[:, None] * r["weight"](i)[None, :]
-                mine, row = np.unique(q["grp"](i), return_inverse=True)
-                theirs, column = np.unique(r["grp"](i), return_inverse=True)
-                tall = np.zeros((len(mine), weighted.shape[1]))
-                np.add.at(tall, row, weighted)
-                small = np.zeros((len(theirs), len(mine)))
-                np.add.at(small, column, tall.T)
-                out["q_grp"].append(np.repeat(mine, len(theirs)))
-                out["r_grp"].append(np.tile(theirs, len(mine)))
-                out["total"].append(small.T.ravel())
-            columns = [batch.column(k) for k in keys]
-            columns += [pa.array(out[n], pa.list_(pa.float64() if n == "total" else pa.int64())) for n in out]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *out])
+    """Kernel: sums of all similarities between the groups of both sides of a cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, ["grp"])
+        out: dict[str, list] = {n: [] for n in ("q_grp", "r_grp", "total")}
+        for a, b, _ in block_pairs(left, right, False):
+            weighted = similarity_matrix(a.words, b.words) * a.weight[:, None] * b.weight[None, :]
+            mine, row = np.unique(a.extra["grp"], return_inverse=True)
+            theirs, column = np.unique(b.extra["grp"], return_inverse=True)
+            tall = np.zeros((len(mine), weighted.shape[1]))
+            np.add.at(tall, row, weighted)
+            small = np.zeros((len(theirs), len(mine)))
+            np.add.at(small, column, tall.T)
+            out["q_grp"].append(np.repeat(mine, len(theirs)))
+            out["r_grp"].append(np.tile(theirs, len(mine)))
+            out["total"].append(small.T.ravel())
+        return flat_rows(table, keys, out, {"q_grp": pa.int64(), "r_grp": pa.int64(), "total": pa.float64()})
 
     return run
 
@@ -220,18 +137,73 @@ def group_similarity(queries: DataFrame, references: DataFrame, keys: Sequence[s
     keys = list(keys)
     left, right = (merge_copies(m, keys, identifier, extra=["grp"]) for m in (queries, references))
     types = dict(left.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "q_grp array<bigint>, r_grp array<bigint>, total array<double>"])
-    partial = block_pairs(left, right, keys, ["grp"], None, block_rows).mapInArrow(_group_sums(keys), schema)
-    rows = partial.select(*keys, F.explode(F.arrays_zip("q_grp", "r_grp", "total")).alias("_z")).select(*keys, "_z.*")
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "q_grp bigint, r_grp bigint, total double"])
+    rows = on_cells(left, right, keys, _group_sums(keys), schema, ["grp"], None, block_rows)
     return rows.groupBy(*keys, "q_grp", "r_grp").agg(F.sum(F.col("total").cast("decimal(27,9)")).cast("decimal(38,9)").alias("total"))
 
 
+def _improve(keys: Sequence[str]):
+    """Kernel: best similarities of the queries of a cell, nearest blocks first; a query is compared only with blocks
+    whose bound is above its best so far."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, ["best"])
+        out: dict[str, list] = {n: [] for n in ("node", "best", "compared")}
+        for a in left:
+            best, compared = a.extra["best"].copy(), np.zeros(len(a.node), np.int64)
+            for b in sorted(right, key=lambda b: -float(bound(a.bits, b.low, b.high).max())):
+                rows = np.flatnonzero(best < bound(a.bits, b.low, b.high))
+                if len(rows):
+                    best[rows] = np.maximum(best[rows], similarity_matrix(a.words[rows], b.words).max(1))
+                    compared[rows] += len(b.node)
+            for name, value in (("node", a.node), ("best", best), ("compared", compared)):
+                out[name].append(value)
+        return flat_rows(table, keys, out, {"node": pa.int64(), "best": pa.float64(), "compared": pa.int64()})
+
+    return run
+
+
+def best_similarity(queries: DataFrame, references: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS, cell_blocks: int = CELL_BLOCKS) -> DataFrame:
+    """(keys, node, best, compared): the largest similarity of every query node to the reference nodes, and with
+    how many of them it was compared.
+
+    Best first: every group of queries meets the group of references that is nearest in the number of on-bits.
+    A query goes on to another group only if that group's bound is above what it has found, so most cells
+    are left with few queries or none.
+    """
+    keys = list(keys)
+    sizes, others = sizes_of(queries, keys, block_rows), sizes_of(references, keys, block_rows)
+    grid = cut_lineage(grid_of(sizes, others, keys, cell_blocks))  # a few numbers per pair of groups
+    cell = [*keys, "row", "column"]
+    far = F.abs(F.col("_low_row") + F.col("_high_row") - F.col("_low_column") - F.col("_high_column"))
+    first = grid.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "row").orderBy(F.desc("bound"), far, "column"))).where("_k = 1").select(*cell)
+    asked = cut_lineage(placed(queries, sizes, keys, cell_blocks)).withColumnRenamed("_grp", "row")
+    given = packed(placed(references, others, keys, cell_blocks), [*keys, "_grp"], []).withColumnRenamed("_grp", "column")
+    types = dict(queries.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "node bigint, best double, compared bigint"])
+
+    def compare(rows: DataFrame) -> DataFrame:
+        """Queries with their cell and ``best`` against the references of the cell."""
+        left = packed(rows, cell, ["best"]).withColumn("side", F.lit(0))
+        right = given.join(rows.select(*cell).distinct(), [*keys, "column"]).withColumn("best", F.array().cast("array<double>")).withColumn("side", F.lit(1))
+        return left.unionByName(right.select(left.columns)).groupBy(*cell).applyInArrow(_improve(keys), schema)
+
+    started = cut_lineage(compare(asked.withColumn("best", F.lit(-1.0)).join(first, [*keys, "row"])))
+    bits = popcount("words")
+    low, high = F.col("_low_column"), F.col("_high_column")
+    reach = F.when(bits < low, bits / low).when(bits > high, high / bits).otherwise(1.0)
+    others_of = grid.join(first, cell, "left_anti").select(*cell, "_low_column", "_high_column")
+    rest = asked.join(started.select(*keys, "node", "best"), [*keys, "node"]).join(others_of, [*keys, "row"]).where(reach > F.col("best"))
+    later = compare(rest.drop("_low_column", "_high_column"))
+    return started.unionByName(later).groupBy(*keys, "node").agg(F.max("best").alias("best"), F.sum("compared").alias("compared"))
+
+
 def max_similarity(queries: DataFrame, references: DataFrame, keys: Sequence[str], identifier: str, words: str = "words") -> DataFrame:
     """Largest similarity of every query member to the references of its key."""
     keys = list(keys)
     nodes = merge_copies(queries, keys, identifier, words)
-    best = node_similarity(nodes, merge_copies(references, keys, identifier, words), keys)
-    by_words = nodes.join(best, [*keys, "node"]).select(*keys, "words", F.col("max_all").alias("max_similarity"))
+    best = best_similarity(nodes, merge_copies(references, keys, identifier, words), keys)
+    by_words = nodes.join(best, [*keys, "node"]).select(*keys, "words", F.col("best").alias("max_similarity"))
     present = queries.where(F.col(words).isNotNull()).withColumnRenamed(words, "words")
     return present.join(by_words, [*keys, "words"]).select(*keys, identifier, "max_similarity")
 
@@ -376,19 +348,18 @@ def _weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def _match(threshold: float, keys: Sequence[str]):
-    """Kernel: the pairs of two blocks, lower node first, at or above the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = {n: _lists(batch, f"q_{n}") for n in ("node", "words")}
-            r = {n: _lists(batch, f"r_{n}") for n in ("node", "words")}
-            for i in range(batch.num_rows):
-                node, other = q["node"](i), r["node"](i)
-                sim = similarity_matrix(_matrix(q["words"](i), len(node)), _matrix(r["words"](i), len(other)))
-                a, b = np.nonzero((sim >= threshold) & (node[:, None] < other[None, :]))
-                columns = [pa.repeat(batch.column(k)[i], len(a)) for k in keys]
-                columns += [pa.array(node[a]), pa.array(other[b]), pa.array(sim[a, b])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "node_a", "node_b", "similarity"])
+    """Kernel: the pairs of a cell at or above the threshold, lower node first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, [])
+        out: dict[str, list] = {n: [] for n in ("node_a", "node_b", "similarity")}
+        for a, b, both in block_pairs(left, right, True, threshold):
+            sim = similarity_matrix(a.words, b.words)
+            i, j = np.nonzero(sim >= threshold if both else (sim >= threshold) & (a.node[:, None] < b.node[None, :]))
+            out["node_a"].append(np.minimum(a.node[i], b.node[j]))
+            out["node_b"].append(np.maximum(a.node[i], b.node[j]))
+            out["similarity"].append(sim[i, j])
+        return flat_rows(table, keys, out, {"node_a": pa.int64(), "node_b": pa.int64(), "similarity": pa.float64()})
 
     return run
 
@@ -397,9 +368,8 @@ def similar_nodes(nodes: DataFrame, keys: Sequence[str], threshold: float, block
     """Threshold join of distinct fingerprints; only matches leave the kernel."""
     keys = list(keys)
     types = dict(nodes.dtypes)
-    pairs = block_pairs(nodes, nodes, keys, (), threshold, block_rows)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "node_a bigint, node_b bigint, similarity double"])
-    return pairs.mapInArrow(_match(threshold, keys), schema)
+    return on_cells(nodes, None, keys, _match(threshold, keys), schema, (), threshold, block_rows)
 
 
 def sampled_pair_mean(
@@ -412,7 +382,8 @@ def sampled_pair_mean(
     number, the next one is taken, so every draw is a new pair.
     """
     keys = list(keys)
-    numbered = ordinal_within(members.where(F.col("words").isNotNull()), keys, identifier, "_ord")
+    present = with_number(members.where(F.col("words").isNotNull()), identifier, "_number")
+    numbered = ordinal_within(present, keys, "_number", "_ord")
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
     total = F.expr("_n * (_n - 1) div 2")
     start = F.pmod(F.conv(F.substring(shuffle_key(F.concat_ws(":", *keys), seed), 1, 12), 16, 10).cast("bigint"), F.col("_all"))

@@ -188,7 +188,7 @@ def fold_members(df: DataFrame, fold: int, held_out: bool, column: str = "fold")
     return df.where(F.col(column) == fold) if held_out else df.where(F.col(column) != fold)
 
 
-def shuffled(df: DataFrame, identifier: str, seed: int, fold: int, split: str) -> DataFrame:
-    """Deterministic row shuffle of one split; the seed depends on split and fold."""
-    offset = 1000 * (SPLITS.index(split) + 1)
-    return df.orderBy(shuffle_key(identifier, seed + offset + fold))
+def shuffled_key(identifier: str, seed: int, fold: str = "eval_fold", split: str = "split"):
+    """The key whose order is the seeded row shuffle of a fold's split; the seed depends on split and fold."""
+    offset = F.element_at(F.create_map(*[x for i, s in enumerate(SPLITS) for x in (F.lit(s), F.lit(seed + 1000 * (i + 1)))]), F.col(split))
+    return F.md5(F.concat_ws(":", (offset + F.col(fold)).cast("string"), F.col(identifier).cast("string")))

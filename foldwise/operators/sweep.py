@@ -7,16 +7,16 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.scalars import SPLITS, split_ratio
-from foldwise.operators.clusters import LEADER_THRESHOLD, batch_size, by_key, first_rows, words_matrix
-from foldwise.operators.ranking import ordinal_by, ordinal_within
-from foldwise.operators.similarity import _matrix, similarity_matrix
-from foldwise.operators.summaries import support_audit
+from foldwise.operators.blocks import flat_rows, on_cells, open_cell, similarity_matrix
+from foldwise.operators.clusters import LEADER_THRESHOLD, batch_size, batch_words, by_key, first_rows, words_matrix
+from foldwise.operators.ranking import ordinal_by, ordinal_within, with_number
+from foldwise.operators.similarity import best_similarity, merge_copies
 from foldwise.session import cut_lineage
 
-# The five published sweep conditions and the similarity sample size.
+# The five published sweep conditions.
 CONDITION_FIELDS = (
     "condition", "priority", "max_cluster_fraction", "w_no_cross", "w_valid_train", "w_test_train", "w_size",
     "train_lower", "valid_lower", "test_lower", "drop_budget",
@@ -28,9 +28,8 @@ SWEEP_CONDITIONS = (
     ("D_train_support_priority", "train_support_priority", 0.80, 0.5, 1.0, 1.5, 0.03, 0.90, 0.40, 0.40, 0.05),
     ("E_strict_low_leakage", "strict_low_leakage", 0.50, 1.0, 2.0, 2.0, 0.05, 0.80, 0.50, 0.50, 0.05),
 )
-SAMPLE_CAP = 16
-
-
+BATCH_CLUSTERS = 8  # placed in one round; 256 subsets
+UNIT = 1_000_000_000
 
 def _scan_with_capacity(threshold: float, keys: Sequence[str], limit: str):
     """First-come scan of a batch: join the first close leader with room, else lead."""
@@ -68,7 +67,7 @@ def _close_leaders(shared, threshold: float, keys: Sequence[str]):
             if not batch.num_rows:
                 continue
             owner = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-            words = _matrix(batch.column("words").flatten().to_numpy(), batch.num_rows)
+            words = batch_words(batch)
             options: list[list[int]] = [[] for _ in owner]
             for key in set(owner):
                 if key in shared.value:
@@ -147,68 +146,179 @@ def capacity_clusters(members: DataFrame, keys: Sequence[str], limit: str, thres
             return found
 
 
-def _mean_best(query: list, reference: list) -> float:
-    """Mean over the first queries of their best similarity to the first references."""
-    if not query or not reference:
-        return 0.0
-    return float(similarity_matrix(np.stack(query[:SAMPLE_CAP]), np.stack(reference[:SAMPLE_CAP])).max(1).mean())
-
-
-def _place(keys: Sequence[str]):
-    """Stream clusters of each key in order; the state is three counts and three short samples."""
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, counts, samples = None, {}, {}
-        for frame in frames:
-            choices = []
-            for row in frame.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, counts = key, dict.fromkeys(SPLITS, 0)
-                    samples = {s: [] for s in SPLITS}
-                    samples["train"] = [np.asarray(w, np.int64).view(np.uint64) for w in row.backbone]
-                mine = [np.asarray(w, np.int64).view(np.uint64) for w in row.sample]
-                best = choice = None
-                for split in SPLITS:
-                    trial = {s: (samples[s] + mine)[:SAMPLE_CAP] if s == split else samples[s] for s in SPLITS}
-                    sizes = {s: counts[s] + (row.cluster_size if s == split else 0) for s in SPLITS}
-                    total = sum(sizes.values())
-                    score = (
-                        row.w_no_cross * _mean_best(trial["valid"], trial["test"])
-                        + row.w_valid_train * _mean_best(trial["valid"], trial["train"])
-                        + row.w_test_train * _mean_best(trial["test"], trial["train"])
-                        + row.w_size * sum(abs(sizes[s] / total - getattr(row, f"target_{s}")) for s in SPLITS)
-                        - (1.0 if counts[split] < getattr(row, f"lower_{split}") else 0.0)
-                    )
-                    if best is None or score < best:
-                        best, choice = score, split
-                counts[choice] += row.cluster_size
-                samples[choice] = (samples[choice] + mine)[:SAMPLE_CAP]
-                choices.append(choice)
-            out = frame[[*keys, "leader"]].copy()
-            out["choice"] = choices
-            yield out
-
-    return place
-
-
-def _first_words(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
-    first = first_rows(df, keys, order, SAMPLE_CAP)
-    ordered = F.array_sort(F.collect_list(F.struct(order, "words")))
-    return first.groupBy(*keys).agg(F.transform(ordered, lambda e: e["words"]).alias(name))
-
-
-def _sample_similarity(df: DataFrame, query: str, reference: str, name: str) -> DataFrame:
-    """mean of best similarities between two short samples, as a column of a small table."""
-
-    @F.pandas_udf("double")
-    def score(q: pd.Series, r: pd.Series) -> pd.Series:
-        def words(value):
-            return [] if value is None else [np.asarray(w, np.int64).view(np.uint64) for w in value]
-
-        return pd.Series([_mean_best(words(a), words(b)) for a, b in zip(q, r)])
-
-    return df.withColumn(name, score(F.col(query), F.col(reference)))
+def _billionths(similarity: Column) -> Column:
+    """Similarities as whole numbers, so that sums do not depend on the order of addition."""
+    return F.round(similarity * UNIT).cast("long")
+
+
+def _slot_maxima(keys: Sequence[str]):
+    """Kernel: per query node its best similarity to the members of every cluster of the batch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, ["slot"])
+        nodes, rows = [a.node for a in left], []
+        for a in left:
+            best = np.zeros((len(a.node), BATCH_CLUSTERS), np.int64)
+            for b in right:
+                sim, slot = similarity_matrix(a.words, b.words), b.extra["slot"]
+                for k in np.unique(slot):
+                    best[:, k] = np.maximum(best[:, k], np.rint(sim[:, slot == k].max(1) * UNIT))
+            rows.append(best)
+        out = flat_rows(table, keys, {"node": nodes}, {"node": pa.int64()})
+        best = np.concatenate(rows) if rows else np.zeros((0, BATCH_CLUSTERS), np.int64)
+        starts = pa.array(np.arange(0, best.size + 1, BATCH_CLUSTERS), pa.int32())
+        return out.append_column("best", pa.ListArray.from_arrays(starts, pa.array(best.ravel())))
+
+    return run
+
+
+def _subset_sums(keys: Sequence[str]):
+    """Kernel: sums over members of the best similarity to a split, for every subset of the batch joining it.
+
+    Members are summed up by the split they are in, or by their cluster of the batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            owner = list(zip(*[batch.column(k).to_pylist() for k in [*keys, "side"]]))
+            weight = batch.column("weight").to_numpy()
+            joined = batch.column("best").flatten().to_numpy().reshape(batch.num_rows, BATCH_CLUSTERS)
+            out: dict[str, list] = {n: [] for n in (*keys, "side", "members", "sums_train", "sums_test")}
+            for mine in sorted(set(owner)):
+                rows = np.fromiter((o == mine for o in owner), bool, len(owner))
+                for name, value in zip((*keys, "side"), mine):
+                    out[name].append(value)
+                out["members"].append(int(weight[rows].sum()))
+                for split in ("train", "test"):
+                    total = np.zeros(1 << BATCH_CLUSTERS, np.int64)
+                    standing = batch.column(f"best_{split}").to_numpy()[rows]
+                    for start in range(0, len(standing), 1024):
+                        part = slice(start, start + 1024)
+                        table = standing[part][None, :]
+                        for k in range(BATCH_CLUSTERS):
+                            table = np.concatenate([table, np.maximum(table, joined[rows][part][:, k])])
+                        total += table @ weight[rows][part]
+                    out[f"sums_{split}"].append(total)
+            yield pa.RecordBatch.from_pydict({n: pa.array(v) if n in keys or n == "side" else pa.array(v, pa.int64() if n == "members" else pa.list_(pa.int64())) for n, v in out.items()})
+
+    return run
+
+
+def _decide(keys: Sequence[str]):
+    """Place the clusters of one batch, largest first, from the tables of sums."""
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        info = rows.iloc[0]
+        counts = {s: int(info[f"n_{s}"]) for s in SPLITS}
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        for side, subset, train, test in zip(rows["side"], rows["subset"], rows["sums_train"], rows["sums_test"]):
+            for split, value in (("train", train), ("test", test)):
+                sums.setdefault((side, split), np.zeros(1 << BATCH_CLUSTERS, np.int64))[int(subset)] = value
+        nothing = np.zeros(1 << BATCH_CLUSTERS, np.int64)
+        joined = {"train": 0, "test": 0}
+        asked = {"valid": ["valid"], "test": ["test"]}
+        picked = []
+
+        def mean_best(query: str, reference: str, trial: str, slot: int) -> float:
+            sides = asked[query] + ([str(slot)] if trial == query else [])
+            subset = joined[reference] | (1 << slot if trial == reference else 0)
+            members = counts[query] + (sizes[slot] if trial == query else 0)
+            return int(sum(sums.get((g, reference), nothing)[subset] for g in sides)) / UNIT / members if members else 0.0
+
+        sizes = [int(n) for n in info["sizes"]]
+        for slot, size in enumerate(sizes):
+            total = sum(counts.values()) + size
+            scores = []
+            for split in SPLITS:
+                uneven = sum(abs((counts[s] + size * (s == split)) / total - info[f"target_{s}"]) for s in SPLITS)
+                score = (
+                    info["w_no_cross"] * mean_best("valid", "test", split, slot)
+                    + info["w_valid_train"] * mean_best("valid", "train", split, slot)
+                    + info["w_test_train"] * mean_best("test", "train", split, slot)
+                    + info["w_size"] * uneven
+                    - (1.0 if counts[split] < info[f"lower_{split}"] else 0.0)
+                )
+                scores.append(round(score, 9))
+            split = SPLITS[scores.index(min(scores))]
+            counts[split] += size
+            if split in joined:
+                joined[split] |= 1 << slot
+            if split in asked:
+                asked[split].append(str(slot))
+            picked.append(split)
+        out = {k: [info[k]] for k in keys} | {"picked": [picked]} | {f"n_{s}": [counts[s]] for s in SPLITS}
+        return pd.DataFrame(out)
+
+    return decide
+
+
+def place_clusters(clustered: DataFrame, train: DataFrame, plan: DataFrame, keys: Sequence[str], per: str = "condition") -> DataFrame:
+    """(keys, per, leader, node, words, weight, pos, branch, best_train, best_test): every cluster's split.
+
+    ``clustered``: keys, per, leader, pos (0, 1, ... in the order of placement), node, words; ``train``: keys, node and words
+    of the members that are in train beforehand; ``plan``: keys, per, weights, targets and lower bounds.
+
+    A cluster goes where the weighted mean best similarities of valid to test, valid to train and test to train, and
+    the distance of the sizes from their targets, come out least, over all members.  Every member has a standing
+    row with its best similarity to train and to test so far, which only rises.  A round compares
+    all members that are not in train with the next BATCH_CLUSTERS clusters of each key, block by block, and sums the
+    maxima for every subset of them that may join a split (members add up in the tasks).  From these sums,
+    at most 2 x 2^BATCH_CLUSTERS for each of BATCH_CLUSTERS + 2 sides, one small task per key places the batch exactly as one by one.
+    """
+    keys, wide = list(keys), [*keys, per]
+    merged = clustered.groupBy(*wide, "leader", "pos", "words").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("weight"))
+    nodes = cut_lineage(merged)
+    asked = merge_copies(clustered, keys, "node")
+    nearest = best_similarity(asked, merge_copies(train, keys, "node"), keys).select(*keys, "node", _billionths(F.col("best")).alias("best_train"))
+    nearest = asked.join(nearest, [*keys, "node"]).select(*keys, "words", "best_train")
+    standing = nodes.join(nearest, [*keys, "words"], "left").select(
+        *wide, "node", "weight", "pos", F.lit(None).cast("string").alias("branch"),
+        F.coalesce("best_train", F.lit(0)).alias("best_train"), F.lit(0).cast("long").alias("best_test"),
+    )
+    standing = cut_lineage(standing)
+    counts = cut_lineage(plan.select(*wide, *[F.lit(0).cast("long").alias(f"n_{s}") for s in SPLITS]))
+    sizes = nodes.groupBy(*wide, "pos").agg(F.sum("weight").alias("size"))
+    last = nodes.agg(F.max("pos")).first()[0]
+    types = dict(nodes.dtypes)
+    given = ", ".join(f"{k} {types[k]}" for k in wide)
+    weights = plan.select(*wide, "w_no_cross", "w_valid_train", "w_test_train", "w_size", *[f"{n}_{s}" for n in ("target", "lower") for s in SPLITS])
+    for low in range(0, -1 if last is None else last + 1, BATCH_CLUSTERS):
+        slot = F.col("pos") - low
+        here = slot.between(0, BATCH_CLUSTERS - 1)
+        words = nodes.select(*wide, "node", "words")
+        asked = standing.where("branch IS NULL OR branch <> 'train'").select(*wide, "node", "weight", slot.cast("long").alias("slot"))
+        queries = asked.join(words, [*wide, "node"])
+        batch = nodes.where(here).select(*wide, "node", "weight", slot.cast("long").alias("slot"), "words")
+        best = on_cells(queries, batch, wide, _slot_maxima(wide), f"{given}, node bigint, best array<bigint>", ["slot"])
+        best = best.groupBy(*wide, "node").agg(F.array(*[F.max(F.get("best", F.lit(k))) for k in range(BATCH_CLUSTERS)]).alias("best"))
+        seen = cut_lineage(standing.join(best, [*wide, "node"], "left"))
+        side = F.when(here, slot.cast("string")).otherwise(F.when(F.col("branch") != "train", F.col("branch")))
+        counted = seen.withColumn("side", side).where("side IS NOT NULL AND best IS NOT NULL")
+        partial = counted.select(*wide, "side", "weight", "best", "best_train", "best_test").mapInArrow(
+            _subset_sums(wide), f"{given}, side string, members bigint, sums_train array<bigint>, sums_test array<bigint>"
+        )
+        opened = partial.select(*wide, "side", F.posexplode(F.arrays_zip("sums_train", "sums_test")).alias("subset", "_s"))
+        table = opened.groupBy(*wide, "side", "subset").agg(F.sum("_s.sums_train").alias("sums_train"), F.sum("_s.sums_test").alias("sums_test"))
+        now = sizes.where(here).groupBy(*wide).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "size"))), lambda e: e["size"]).alias("sizes"))
+        info = weights.join(counts, wide).join(now, wide)
+        schema = ", ".join([given, "picked array<string>", *(f"n_{s} bigint" for s in SPLITS)])
+        picked = cut_lineage(table.join(info, wide).groupBy(*wide).applyInPandas(_decide(wide), schema))
+        of_slot = F.when(here, F.get("picked", slot.cast("int")))
+
+        def risen(split: str) -> Column:
+            joins = [F.when(F.get("picked", F.lit(k)) == split, F.get("best", F.lit(k))) for k in range(BATCH_CLUSTERS)]
+            return F.greatest(f"best_{split}", *joins).alias(f"best_{split}")
+
+        standing = cut_lineage(
+            seen.join(picked.select(*wide, "picked"), wide, "left").select(
+                *wide, "node", "weight", "pos", F.coalesce("branch", of_slot).alias("branch"), risen("train"), risen("test")
+            )
+        )
+        kept = counts.join(picked.select(*wide), wide, "left_anti")
+        counts = cut_lineage(kept.unionByName(picked.select(*counts.columns)))
+    return standing.join(nodes.select(*wide, "leader", "node", "words"), [*wide, "node"])
 
 
 def condition_sweep(members: DataFrame, keys: Sequence[str], order: str, split: str = "split", is_empty: str = "is_empty") -> DataFrame:
@@ -218,6 +328,8 @@ def condition_sweep(members: DataFrame, keys: Sequence[str], order: str, split:
     split does not contain it.  Conditions are rows, so all of them run together.
     """
     keys = list(keys)
+    if dict(members.dtypes)[order] == "string":
+        members, order = cut_lineage(with_number(members, order, "_number")), "_number"
     wide = [*keys, "condition"]
     spark = members.sparkSession
     sizes = members.groupBy(*keys).agg(
@@ -236,35 +348,32 @@ def condition_sweep(members: DataFrame, keys: Sequence[str], order: str, split:
     clustered = cut_lineage(capacity_clusters(pool, wide, "limit").join(pool.drop("limit"), [*wide, "node"]))
     table = clustered.groupBy(*wide, "leader").agg(F.count(F.lit(1)).alias("cluster_size"))
     table = ordinal_by(table, wide, "cluster_size", "leader", descending=True, name="pos")
-    table = table.join(_first_words(clustered, [*wide, "leader"], "node", "sample"), [*wide, "leader"])
     bearing = members.where(~F.col(is_empty) & (F.col(split) == "train")).select(*keys, F.col(order).alias("node"), "words")
-    backbone = _first_words(bearing, keys, "node", "backbone")
-    ready = table.join(plan, wide).join(backbone, keys, "left")
-    ready = ready.withColumn("backbone", F.coalesce("backbone", F.array().cast("array<array<bigint>>")))
-    types = dict(ready.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in wide), "leader bigint, choice string"])
-    streamed = ready.repartition(*wide).sortWithinPartitions(*wide, "pos")
-    choices = cut_lineage(streamed.mapInPandas(_place(wide), schema))
-    moved = clustered.join(choices, [*wide, "leader"]).select(
-        *wide, "node", "words", F.col("choice").alias("branch"), F.lit(True).alias("empty")
-    )
+    placed = cut_lineage(place_clusters(clustered.join(table.select(*wide, "leader", "pos"), [*wide, "leader"]), bearing, plan, keys))
+    moved = placed.select(*wide, "branch", F.lit(True).alias("empty"), F.col("weight").alias("n"))
     kept = (
         members.where(~F.col(is_empty) & F.col(split).isNotNull())
-        .select(*keys, F.col(order).alias("node"), "words", F.col(split).alias("branch"), F.lit(False).alias("empty"))
+        .groupBy(*keys, F.col(split).alias("branch"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .join(plan.select(*wide), keys)
+        .select(*wide, "branch", F.lit(False).alias("empty"), "n")
+    )
+    final = moved.unionByName(kept)
+    of = [
+        F.try_divide(F.sum(F.when((F.col("branch") == s) & c, F.col("n"))), F.sum(F.when(F.col("branch") == s, F.col("n")))).alias(f"{s}_proportion")
+        for s in SPLITS
+        for c in [F.col("empty")]
+    ]
+    audit = final.groupBy(*wide).agg(*[F.when(F.sum(F.when(F.col("branch") == s, F.col("n"))) > 0, F.coalesce(c, F.lit(0.0))).alias(f"{s}_proportion") for s, c in zip(SPLITS, of)])
+    best = [F.sum(F.when(F.col("branch") == s, F.col("weight") * F.col("best_train"))) / UNIT for s in ("valid", "test")]
+    asked = [F.sum(F.when(F.col("branch") == s, F.col("weight"))) for s in ("valid", "test")]
+    samples = placed.groupBy(*wide).agg(
+        *[F.coalesce(F.try_divide(b, a), F.lit(0.0)).alias(f"{s}_train_similarity") for s, b, a in zip(("valid", "test"), best, asked)]
     )
-    final = cut_lineage(moved.unionByName(kept.select(*moved.columns)))
-    audit = support_audit(final, wide, "branch", "empty").select(*wide, *[f"{s}_proportion" for s in SPLITS])
-    samples = _first_words(final.where(F.col("branch") == "train"), wide, "node", "_train")
-    for s in ("valid", "test"):
-        asked = final.where((F.col("branch") == s) & F.col("empty"))
-        samples = samples.join(_first_words(asked, wide, "node", f"_{s}"), wide, "full")
-    for s in ("valid", "test"):
-        samples = _sample_similarity(samples, f"_{s}", "_train", f"{s}_train_similarity")
     out = (
         plan.join(table.groupBy(*wide).agg(F.count(F.lit(1)).alias("n_microclusters")), wide, "left")
         .join(audit, wide, "left")
-        .join(samples.drop("_train", "_valid", "_test"), wide, "left")
+        .join(samples, wide, "left")
     )
     whole = F.try_divide("n_no_scaffold", "_n")
     any_empty = F.col("n_no_scaffold") > 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldwise.operators import clusters as C
 from foldwise.operators import repair as R
 from foldwise.operators.similarity import merge_copies
-from foldwise.operators.sweep import capacity_clusters, condition_sweep
+from foldwise.operators.sweep import SWEEP_CONDITIONS, capacity_clusters, condition_sweep
 from foldwise.plans.registry import query
 from foldwise.plans.similarity_queries import SIM, VECTORS, vectors
 
@@ -129,6 +129,88 @@ def repair_cluster_summary(spark, folder):
     return R.repair_split(_members(spark, folder), ["dataset"], "node", "A_balanced_baseline")[1]
 
 
-@query("condition_sweep")
+# Scan with room per condition, then the clusters walk one step at a time: every member's row holds its best similarity
+# to train and to test so far, and windows over the rows of a condition give the three scores.
+def _sums(split: str) -> str:
+    """Sums and sizes if the cluster of this step joins a split."""
+    train, test = ("greatest({0}, sim)" if split == s else "{0}" for s in ("train", "test"))
+    asks = {s: f"(branch = '{s}'" + (" OR pos = step + 1)" if split == s else ")") for s in ("valid", "test")}
+
+    def mean(query: str, best: str) -> str:
+        return f"coalesce(sum({best}) FILTER ({asks[query]}) OVER w / 1e9 / nullif(count(*) FILTER ({asks[query]}) OVER w, 0), 0)"
+
+    def size(s: str) -> str:
+        return f"(count(*) FILTER (branch = '{s}') OVER w" + (" + count(*) FILTER (pos = step + 1) OVER w)" if s == split else ")")
+
+    total = "(" + " + ".join(size(s) for s in ("train", "valid", "test")) + ")"
+    uneven = " + ".join(f"abs({size(s)} / {total} - t_{s})" for s in ("train", "valid", "test"))
+    return (
+        f"round(w_cross * {mean('valid', test.format('bt'))} + w_valid * {mean('valid', train.format('ba'))} + w_test * {mean('test', train.format('ba'))}"
+        f" + w_size * ({uneven}) - CASE WHEN count(*) FILTER (branch = '{split}') OVER w < l_{split} THEN 1 ELSE 0 END, 9)"
+    )
+
+
+_CONDITIONS = ", ".join(str(c) for c in SWEEP_CONDITIONS)
+_SWEEP = f"""WITH RECURSIVE {VECTORS},
+  mem AS (SELECT dataset, vec_id AS node, word, grp IN ('No_Scaffold', 'class_1', 'class_2', 'class_3', 'class_4') AS empty, split FROM vec),
+  cond(condition, priority, f, w_cross, w_valid, w_test, w_size, f_train, f_valid, f_test, drops) AS (VALUES {_CONDITIONS}),
+  sized AS (SELECT dataset, count(*) AS n, count(*) FILTER (empty) AS ne,
+    CASE WHEN count(*) <= 1000 THEN 0.6::DOUBLE WHEN count(*) <= 3000 THEN 5 / 7::DOUBLE ELSE 0.8::DOUBLE END AS t_train,
+    CASE WHEN count(*) <= 1000 THEN 0.2::DOUBLE WHEN count(*) <= 3000 THEN 1 / 7::DOUBLE ELSE 0.1::DOUBLE END AS t_valid FROM mem GROUP BY dataset),
+  want AS (SELECT *, t_valid AS t_test, greatest(1, floor(ne * t_train)) AS n_train, greatest(1, floor(ne * t_valid)) AS n_valid FROM sized),
+  plan AS (SELECT dataset, condition, priority, n, ne, t_train, t_valid, t_test, w_cross, w_valid, w_test, w_size,
+    floor(n_train * f_train) AS l_train, floor(n_valid * f_valid) AS l_valid, floor(n_valid * f_test) AS l_test,
+    greatest(1, ceil(f * least(n_train, n_valid)))::BIGINT AS room FROM want, cond),
+  o AS (SELECT dataset, condition, node, word, room, row_number() OVER (PARTITION BY dataset, condition ORDER BY node) AS rn
+    FROM mem JOIN plan USING (dataset) WHERE empty),
+  near AS (SELECT a.dataset, a.condition, b.rn, list(a.node ORDER BY a.node) AS earlier FROM o a JOIN o b
+    ON a.dataset = b.dataset AND a.condition = b.condition AND a.rn < b.rn WHERE {SIM} >= 0.4::DOUBLE GROUP BY ALL),
+  s(dataset, condition, rn, chosen) AS (SELECT DISTINCT dataset, condition, 0::BIGINT, []::BIGINT[] FROM o
+    UNION ALL SELECT s.dataset, s.condition, o.rn, list_append(s.chosen, coalesce(list_min(list_filter(coalesce(x.earlier, []),
+      lambda l: len(list_filter(s.chosen, lambda y: y = l)) BETWEEN 1 AND o.room - 1)), o.node))
+    FROM s JOIN o ON o.dataset = s.dataset AND o.condition = s.condition AND o.rn = s.rn + 1
+      LEFT JOIN near x ON x.dataset = o.dataset AND x.condition = o.condition AND x.rn = o.rn),
+  e AS (SELECT dataset, condition, chosen FROM s QUALIFY row_number() OVER (PARTITION BY dataset, condition ORDER BY rn DESC) = 1),
+  cl AS (SELECT o.dataset, o.condition, o.node, o.word, e.chosen[o.rn] AS leader FROM o JOIN e USING (dataset, condition)),
+  posed AS (SELECT dataset, condition, leader, row_number() OVER (PARTITION BY dataset, condition ORDER BY count(*) DESC, leader) AS pos FROM cl GROUP BY ALL),
+  cp AS (SELECT * FROM cl JOIN posed USING (dataset, condition, leader)),
+  mc AS (SELECT a.dataset, a.condition, a.node, b.pos AS at, max(round({SIM} * 1e9)::BIGINT) AS sim
+    FROM cp a JOIN cp b ON a.dataset = b.dataset AND a.condition = b.condition GROUP BY ALL),
+  back AS (SELECT a.dataset, a.node, max(round({SIM} * 1e9)::BIGINT) AS ba FROM mem a JOIN mem b ON a.dataset = b.dataset
+    WHERE a.empty AND NOT b.empty AND b.split = 'train' GROUP BY ALL),
+  walk(dataset, condition, node, pos, step, branch, ba, bt) AS (
+    SELECT dataset, condition, node, pos, 0::BIGINT, ''::VARCHAR, coalesce(back.ba, 0)::BIGINT, 0::BIGINT FROM cp LEFT JOIN back USING (dataset, node)
+    UNION ALL SELECT dataset, condition, node, pos, step + 1, CASE WHEN pos = step + 1 THEN pick ELSE branch END,
+      CASE WHEN pick = 'train' THEN greatest(ba, sim) ELSE ba END, CASE WHEN pick = 'test' THEN greatest(bt, sim) ELSE bt END
+    FROM (SELECT *, CASE WHEN a <= b AND a <= c THEN 'train' WHEN b <= c THEN 'valid' ELSE 'test' END AS pick FROM (
+      SELECT k.*, mc.sim, {_sums('train')} AS a, {_sums('valid')} AS b, {_sums('test')} AS c
+      FROM walk k JOIN mc ON mc.dataset = k.dataset AND mc.condition = k.condition AND mc.node = k.node AND mc.at = k.step + 1
+        JOIN plan p ON p.dataset = k.dataset AND p.condition = k.condition
+      WINDOW w AS (PARTITION BY k.dataset, k.condition)))),
+  placed AS (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY dataset, condition)),
+  sums AS (SELECT dataset, condition, max(pos) AS n_microclusters,
+    count(*) FILTER (branch = 'train') AS e_train, count(*) FILTER (branch = 'valid') AS e_valid, count(*) FILTER (branch = 'test') AS e_test,
+    coalesce(sum(ba) FILTER (branch = 'valid') / 1e9 / count(*) FILTER (branch = 'valid'), 0) AS valid_train_similarity,
+    coalesce(sum(ba) FILTER (branch = 'test') / 1e9 / count(*) FILTER (branch = 'test'), 0) AS test_train_similarity FROM placed GROUP BY ALL),
+  bear AS (SELECT dataset, count(*) FILTER (split = 'train') AS b_train, count(*) FILTER (split = 'valid') AS b_valid,
+    count(*) FILTER (split = 'test') AS b_test FROM mem WHERE NOT empty GROUP BY ALL),
+  prop AS (SELECT dataset, condition, priority, ne AS n_no_scaffold, n_microclusters, ne / n::DOUBLE AS full_no_scaffold_proportion,
+    e_train / (e_train + b_train)::DOUBLE AS train_no_scaffold_proportion, e_valid / (e_valid + b_valid)::DOUBLE AS valid_no_scaffold_proportion,
+    e_test / (e_test + b_test)::DOUBLE AS test_no_scaffold_proportion, valid_train_similarity, test_train_similarity
+    FROM plan JOIN sums USING (dataset, condition) JOIN bear USING (dataset)),
+  told AS (SELECT *, train_no_scaffold_proportion / full_no_scaffold_proportion AS support_recovery,
+    greatest(valid_no_scaffold_proportion, test_no_scaffold_proportion) / train_no_scaffold_proportion AS sink_ratio,
+    greatest(valid_train_similarity, test_train_similarity) AS max_eval_train_similarity,
+    greatest(abs(train_no_scaffold_proportion - full_no_scaffold_proportion), abs(valid_no_scaffold_proportion - full_no_scaffold_proportion),
+      abs(test_no_scaffold_proportion - full_no_scaffold_proportion)) AS distribution_gap FROM prop)
+  SELECT *, abs(support_recovery - 1) + sink_ratio + distribution_gap + max_eval_train_similarity AS score FROM told"""
+
+
+@query(
+    "condition_sweep",
+    _SWEEP,
+    "full_no_scaffold_proportion train_no_scaffold_proportion valid_no_scaffold_proportion test_no_scaffold_proportion support_recovery"
+    " sink_ratio valid_train_similarity test_train_similarity max_eval_train_similarity distribution_gap score",
+)
 def sweep(spark, folder):
     return condition_sweep(_members(spark, folder), ["dataset"], "node")

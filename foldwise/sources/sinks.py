@@ -23,6 +23,17 @@ def write_splits(df: DataFrame, path: str, partitions: Sequence[str], columns: S
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
+def write_shuffled_splits(df: DataFrame, path: str, partitions: Sequence[str], columns: Sequence[str], key: str) -> None:
+    """Split files whose rows are in the order of a shuffle key, without sorting the whole table.
+
+    Rows are range-partitioned by (partitions, key) and sorted inside each part, so a split is one run of
+    parts: its files, by name, and the rows in them follow the key, and a large split has many files.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *partitions, key).sortWithinPartitions(*partitions, key)
+    write_splits(ranged, path, partitions, columns)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Audit and bridge tables of any size."""
     writer = df.write.mode("overwrite")

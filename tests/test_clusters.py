@@ -224,8 +224,9 @@ def test_unknown_condition(members):
 
 
 def best_mean(words, query, reference):
-    q, r = query[:16], reference[:16]
-    return float(np.mean([max(tanimoto(words[i], words[j]) for j in r) for i in q])) if q and r else 0.0
+    """Mean over all queries of the best similarity to all references, in billionths as the operator counts."""
+    best = [max((round(tanimoto(words[i], words[j]) * 1e9) for j in reference), default=0) for i in query]
+    return sum(best) / 1e9 / len(best) if best else 0.0
 
 
 def brute_sweep(words, empty, raw, cond):
@@ -249,7 +250,7 @@ def brute_sweep(words, empty, raw, cond):
             score += c["w_valid_train"] * best_mean(words, trial["valid"], train)
             score += c["w_test_train"] * best_mean(words, trial["test"], train)
             score += c["w_size"] * sum(abs(len(trial[b]) / total - share[b]) for b in names)
-            scores.append(score - (len(placed[s]) < lower[s]))
+            scores.append(round(score - (len(placed[s]) < lower[s]), 9))
         placed[names[scores.index(min(scores))]] += g
     side = {s: sorted([i for i in ids if i not in empty and raw[i] == s] + placed[s]) for s in names}
     full = len(empty) / n
@@ -260,7 +261,11 @@ def brute_sweep(words, empty, raw, cond):
     return len(groups), recovery, sink, gap, abs(recovery - 1) + sink + gap + max(sims.values())
 
 
-def test_condition_sweep(spark, rows):
+@pytest.mark.parametrize("batch", [8, 3])
+def test_condition_sweep(spark, monkeypatch, batch):
+    """Two datasets of 200 members under five conditions against one plain loop over all members."""
+    monkeypatch.setattr(sweep, "BATCH_CLUSTERS", batch)
+    rows = make_rows(seed=7, n=200)
     table = [(d, i, w, i % 2 == 1, "train" if i % 10 < 7 else ("valid" if i % 3 else "test")) for d, i, w in rows]
     df = spark.createDataFrame(table, "dataset string, node bigint, words array<bigint>, is_empty boolean, split string")
     got = {(r["dataset"], r["condition"]): r for r in sweep.condition_sweep(df, ["dataset"], "node").collect()}
