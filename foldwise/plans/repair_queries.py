@@ -172,7 +172,8 @@ _SWEEP = f"""WITH RECURSIVE {VECTORS},
       LEFT JOIN near x ON x.dataset = o.dataset AND x.condition = o.condition AND x.rn = o.rn),
   e AS (SELECT dataset, condition, chosen FROM s QUALIFY row_number() OVER (PARTITION BY dataset, condition ORDER BY rn DESC) = 1),
   cl AS (SELECT o.dataset, o.condition, o.node, o.word, e.chosen[o.rn] AS leader FROM o JOIN e USING (dataset, condition)),
-  posed AS (SELECT dataset, condition, leader, row_number() OVER (PARTITION BY dataset, condition ORDER BY count(*) DESC, leader) AS pos FROM cl GROUP BY ALL),
+  posed AS (SELECT dataset, condition, leader, row_number() OVER (PARTITION BY dataset, condition ORDER BY count(*) DESC, leader) AS pos
+    FROM cl GROUP BY dataset, condition, leader),
   cp AS (SELECT * FROM cl JOIN posed USING (dataset, condition, leader)),
   mc AS (SELECT a.dataset, a.condition, a.node, b.pos AS at, max(round({SIM} * 1e9)::BIGINT) AS sim
     FROM cp a JOIN cp b ON a.dataset = b.dataset AND a.condition = b.condition GROUP BY ALL),
