@@ -49,9 +49,9 @@ def read_folder(spark: SparkSession, root: str, groups: DataFrame | None = None)
     rows, files = csv_tree(spark, root, ["Benchmark", "TaskGroup", "File"])
     named = files.where(F.col("File").endswith(".csv")).withColumn("Dataset", _stem("File"))
     no_text = ~F.array_contains("header", TEXT)
-    datasets = cut_lineage(named.select(*PLACE, "file", "header", F.when(no_text, F.concat(F.lit("missing column "), F.lit(TEXT))).alias("reason")))
+    datasets = cut_lineage(named.select(*PLACE, "path", "header", F.when(no_text, F.concat(F.lit("missing column "), F.lit(TEXT))).alias("reason")))
     good = datasets.where("reason IS NULL").drop("reason")
-    read = rows.join(good, "file").withColumn("text", F.nullif(field_of("header", "fields", F.lit(TEXT)), F.lit("")))
+    read = rows.join(good, "path").withColumn("text", F.nullif(field_of("header", "fields", F.lit(TEXT)), F.lit("")))
     group = F.nullif(field_of("header", "fields", F.lit(GROUP)), F.lit(""))
     if groups is not None:
         known = groups.select("text", F.col("group_key").alias("_known")).dropDuplicates(["text"])
@@ -84,7 +84,7 @@ def split_folder(spark: SparkSession, root: str, output: str, groups: DataFrame
     parts = relabel_parts(group_parts(numbered, keys, "group_key", None, seed, strict=False), keys, seed)
     parts = cut_lineage(parts.select(*keys, "group_key", "kfolds", F.col("part").alias("fold")))
     too_few = parts.where("fold IS NULL").select(*keys).distinct().withColumn("_few", F.lit("fewer groups than parts"))
-    status = files.select(*keys, "file", "reason").join(counts, keys, "left").join(too_few, keys, "left")
+    status = files.select(*keys, "path", "reason").join(counts, keys, "left").join(too_few, keys, "left")
     nothing = F.when(F.coalesce("effective_total_count", F.lit(0)) == 0, "no valid members")
     status = status.withColumn("reason", F.coalesce("reason", nothing, "_few")).drop("_few")
     status = cut_lineage(status.withColumn("status", F.when(F.col("reason").isNull(), "success").otherwise("failed")))
@@ -106,7 +106,7 @@ def split_folder(spark: SparkSession, root: str, output: str, groups: DataFrame
         .join(whole, keys).unionByName(status.where("status = 'failed'").select(*keys, "status"), allowMissingColumns=True),
         "fold_summary_long": fold_statistics_long(placed, keys, "fold", "kfolds"),
         "part_summary": part_statistics(placed, [*keys, "fold", "kfolds"]).withColumn("part_order", F.col("fold") + 1),
-        "failed": status.where("status = 'failed'").select(*keys, "file", "reason"),
+        "failed": status.where("status = 'failed'").select(*keys, "path", "reason"),
     }
     reports["fold_summary_wide"] = fold_statistics_wide(reports["fold_summary_long"], keys)
     reports = {name: cut_lineage(table.orderBy(*[c for c in (*keys, "fold", "part_order", "split") if c in table.columns])) for name, table in reports.items()}
@@ -125,16 +125,16 @@ def read_archived_splits(spark: SparkSession, root: str, levels: Sequence[str] =
     rows, files = csv_tree(spark, root, [*levels, "File"])
     named = files.where(F.col("File").isin(*[f"{s}.csv" for s in SPLITS])).withColumn("RawSplit", F.regexp_replace("File", r"\.csv$", ""))
     named = cut_lineage(named.drop("File"))
-    wrong = named.where(~F.array_contains("header", TEXT)).select("file").first()
+    wrong = named.where(~F.array_contains("header", TEXT)).select("path").first()
     if wrong:
-        raise ValueError(f"{wrong['file']} has no column {TEXT}")
+        raise ValueError(f"{wrong['path']} has no column {TEXT}")
     short = named.groupBy(*levels).agg(F.collect_set("RawSplit").alias("_s")).where(F.size("_s") < len(SPLITS)).first()
     if short:
         raise FileNotFoundError(f"{'/'.join(str(short[c]) for c in levels)}: {sorted(set(SPLITS) - set(short['_s']))}")
     text = F.nullif(field_of("header", "fields", F.lit(TEXT)), F.lit(""))
-    members = rows.join(named, "file").withColumn("text", text).where("text IS NOT NULL")
+    members = rows.join(named, "path").withColumn("text", text).where("text IS NOT NULL")
     branch = F.element_at(F.create_map(*[x for i, s in enumerate(SPLITS) for x in (F.lit(s), F.lit(i))]), F.col("RawSplit"))
-    order = branch.cast("decimal(38,0)") * F.lit(10**35).cast("decimal(38,0)") + F.col("row_order")
+    order = branch.cast("decimal(1,0)") * F.lit("1" + "0" * 35).cast("decimal(36,0)") + F.col("row_order")
     placed = ordinal_within(members.withColumn("_order", order.cast("decimal(38,0)")), levels, "_order", "_i")
     group = F.coalesce(F.nullif(field_of("header", "fields", F.lit(GROUP)), F.lit("")), F.when(acyclic("text"), EMPTY_GROUP))
     out = placed.withColumn("ID", entity_id(levels[-1], F.col("_i") + 1, 6)).withColumn("group_key", group)

@@ -118,7 +118,7 @@ def test_rows_keep_the_order_of_split_files(spark, tmp_path):
         rows, files = csv_tree.csv_tree(spark, str(tmp_path), ["Name"])
         got = {}
         for r in rows.collect():
-            got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.row_order, int(r.fields[0])))
+            got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.row_order, int(r.fields[0])))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [i for _, i in sorted(got["one.csv"])] == list(range(20_000)) and [i for _, i in sorted(got["two.csv"])] == list(range(9))
