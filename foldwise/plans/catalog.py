@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldwise.plans import (  # noqa: F401
     evaluation_queries,
+    file_queries,
     metric_queries,
     model_queries,
     repair_queries,
