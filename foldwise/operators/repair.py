@@ -127,16 +127,10 @@ def _decide(condition: Mapping[str, float], keys: Sequence[str]):
                 unmet = sum(g > 0 for g in gaps.values())
                 extra = 2.0 * gap / max(1, n_empty) + (10.0 * unmet if option == "drop" else 0.0)
                 scores[option] = (within and gap <= rest, cost + extra, cost)
-            choice = best = None
-            for option, (feasible, score, _) in scores.items():
-                if not feasible:
-                    continue
-                if best is None or score < best - 1e-12:
-                    choice, best = option, score
-                elif abs(score - best) <= 1e-12 and option != "drop":
-                    if choice == "drop" or counts[option] < counts[choice]:
-                        choice, best = option, score
-            if choice is None:
+            feasible = [o for o in scores if scores[o][0]]
+            if feasible:
+                choice = min(feasible, key=lambda o: (round(scores[o][1], 12), o == "drop", counts.get(o, 0)))
+            else:
                 choice = min(scores, key=lambda o: scores[o][2])
             choices.append(choice)
             if choice == "drop":

@@ -25,6 +25,7 @@ from foldwise.session import cut_lineage
 # Smallest group whose similarity structure is reported, pair sample size.
 MIN_MEMBERS = 5
 MAX_SAMPLED_PAIRS = 60000
+UNIT = 1_000_000_000
 STRIDES = (1_000_000_007, 998_244_353)  # primes: pairs drawn one after the other lie far apart
 
 
@@ -113,7 +114,8 @@ def _group_sums(keys: Sequence[str]):
         left, right = open_cell(table, ["grp"])
         out: dict[str, list] = {n: [] for n in ("q_grp", "r_grp", "total")}
         for a, b, _ in block_pairs(left, right, False):
-            weighted = similarity_matrix(a.words, b.words) * a.weight[:, None] * b.weight[None, :]
+            # whole billionths: their sums are exact, whatever the order of addition
+            weighted = np.rint(similarity_matrix(a.words, b.words) * UNIT) * a.weight[:, None] * b.weight[None, :]
             mine, row = np.unique(a.extra["grp"], return_inverse=True)
             theirs, column = np.unique(b.extra["grp"], return_inverse=True)
             tall = np.zeros((len(mine), weighted.shape[1]))
@@ -122,7 +124,7 @@ def _group_sums(keys: Sequence[str]):
             np.add.at(small, column, tall.T)
             out["q_grp"].append(np.repeat(mine, len(theirs)))
             out["r_grp"].append(np.tile(theirs, len(mine)))
-            out["total"].append(small.T.ravel())
+            out["total"].append(small.T.ravel() / UNIT)
         return flat_rows(table, keys, out, {"q_grp": pa.int64(), "r_grp": pa.int64(), "total": pa.float64()})
 
     return run
