@@ -431,9 +431,32 @@ STRUCTURE_MEDIANS = {
 }
 
 
-def summary_values(structure: DataFrame, regression: DataFrame, classification: DataFrame, n: int = 5) -> DataFrame:
+def reference_deltas(points: DataFrame, values: Sequence[str], counts: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per series the primary fold's empty-group subset against the ordinary folds: its counts, and for every
+    metric the ordinary median, its own value and the difference; series without such a subset are left out."""
+    keys = list(keys)
+    primary = F.col("Is_Primary_NoScaffold_Subset")
+    ordinary = ~F.col("Is_NoScaffold_Fold") & (F.col("Subset") == "all_test")
+
+    def own(c: str) -> Column:
+        return F.max(F.when(primary, F.col(c)))
+
+    out = points.groupBy(*keys).agg(
+        F.max(primary.cast("int")).alias("_has"),
+        *[own(c).alias(f"NoScaffold_{c}") for c in (*counts, *values)],
+        *[F.median(F.when(ordinary, known(v))).alias(f"Ordinary_Median_{v}") for v in values],
+    )
+    deltas = [(F.col(f"NoScaffold_{v}") - F.col(f"Ordinary_Median_{v}")).alias(f"Delta_{v}") for v in values]
+    return out.where("_has = 1").select("*", *deltas).drop("_has")
+
+
+def summary_values(
+    structure: DataFrame, regression: DataFrame, classification: DataFrame, n: int = 5, inventory: DataFrame | None = None, benchmarks: Sequence[str] = ("moleculenet", "admet")
+) -> DataFrame:
     """One row of report figures from the per-dataset tables.
 
+    ``inventory`` (Benchmark and TaskGroup per dataset) adds the datasets of each benchmark and task group.
+
     ``regression`` and ``classification`` are label-shift tables with a ``Label``.
     The top lists come from top-k sorts, so only n rows reach the list aggregate.
     """
@@ -462,6 +485,9 @@ def summary_values(structure: DataFrame, regression: DataFrame, classification:
         listed(regression, "Abs_StandardizedMeanDiff", "KS_Statistic", "top_regression_shift_targets"),
         listed(classification, "Abs_PositiveRate_Diff", "Bernoulli_JSD", "top_classification_shift_targets"),
     ]
+    if inventory is not None:
+        sides = {**{b: F.col("Benchmark") == b for b in benchmarks}, **{t: F.col("TaskGroup") == t for t in ("classification", "regression")}}
+        parts.append(inventory.agg(*[count_if(c).alias(f"n_datasets_{k}") for k, c in sides.items()]))
     out = parts[0].withColumn("_row", F.lit(1))
     for part in parts[1:]:  # every part is a single row
         out = out.join(part.withColumn("_row", F.lit(1)), "_row")

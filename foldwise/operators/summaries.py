@@ -227,7 +227,3 @@ def support_audit(df: DataFrame, keys: Sequence[str], split: str = "split", is_e
     return out.withColumn("support_recovery", F.try_divide("train_proportion", "overall_proportion")).withColumn(
         "sink_ratio", F.try_divide(F.greatest("valid_proportion", "test_proportion"), F.col("train_proportion"))
     )
-
-
-def cluster_sizes(df: DataFrame, keys: Sequence[str], cluster: str) -> DataFrame:
-    return df.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("cluster_size"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldwise.operators import alignment as A
 from foldwise.operators import evaluation as E
+from foldwise.operators.classification import score_counts, threshold_metrics
 from foldwise.operators.shift import regression_label_shift
 from foldwise.plans.registry import query
 from foldwise.plans.roles import CLASSIFIED, ENTITIES, LINES, REGRESSED, classified, entities, regressed, test_rows
@@ -323,17 +324,50 @@ def regression_cases(spark, folder):
     return E.regression_cases(regression_refs(spark, folder))
 
 
+_COMPARED = ("MAE", "RMSE", "R2", "Pearson_r", "Spearman_rho", "Target_Scale", "relMAE")
+_COMPARED_DOUBLES = " ".join(f"{side}_{m}" for side in ("Ordinary", "NoScaffold") for m in _COMPARED)
+
+
 @query(
     "reference_comparison",
-    f"""WITH {_REG_REFS}, md AS (SELECT {_SERIES}, sum("N")::BIGINT AS "Ordinary_N", median("MAE") AS "Ordinary_MAE",
-        median("R2") AS "Ordinary_R2" FROM refs WHERE NOT "Is_NoScaffold_Fold" AND "Subset" = 'all_test' GROUP BY ALL),
-      pr AS (SELECT {_SERIES}, "N" AS "NoScaffold_N", "MAE" AS "NoScaffold_MAE", "R2" AS "NoScaffold_R2" FROM refs
+    f"""WITH {_REG_REFS}, md AS (SELECT {_SERIES}, sum("N")::BIGINT AS "Ordinary_N", {", ".join(f'median("{m}") AS "Ordinary_{m}"' for m in _COMPARED)}
+        FROM refs WHERE NOT "Is_NoScaffold_Fold" AND "Subset" = 'all_test' GROUP BY ALL),
+      pr AS (SELECT {_SERIES}, "N" AS "NoScaffold_N", {", ".join(f'"{m}" AS "NoScaffold_{m}"' for m in _COMPARED)} FROM refs
         WHERE "Is_Primary_NoScaffold_Subset")
       SELECT * FROM md LEFT JOIN pr USING ({_SERIES})""",
-    "Ordinary_MAE Ordinary_R2 NoScaffold_MAE NoScaffold_R2",
+    _COMPARED_DOUBLES,
 )
 def reference_comparison(spark, folder):
-    return E.reference_comparison(regression_refs(spark, folder), ["MAE", "R2"], E.SERIES)
+    return E.reference_comparison(regression_refs(spark, folder), list(_COMPARED), E.SERIES)
+
+
+_CLS_COMPARED = ("positive_rate", "average_precision", "roc_auc", "normPR", "accuracy", "balanced_accuracy", "f1", "mcc")
+
+
+@query(
+    "classification_comparison",
+    f"""WITH {_CLS_POINTS}, {_MARKED},
+      hit AS (SELECT {_POINT}, "Subset", sum(y) FILTER (score >= 0.5) AS tp, sum(1 - y) FILTER (score >= 0.5) AS fp, sum(y) AS p, sum(1 - y) AS m FROM fan GROUP BY ALL),
+      four AS (SELECT {_POINT}, "Subset", coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, p - coalesce(tp, 0) AS fn, m - coalesce(fp, 0) AS tn FROM hit),
+      thr8 AS (SELECT {_POINT}, "Subset", (tp + tn) / (tp + tn + fp + fn) AS accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_accuracy,
+        2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, (tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0) AS mcc FROM four),
+      eight AS (SELECT marked.*, "Positive_Rate" AS positive_rate, "AP" AS average_precision, "ROC_AUC" AS roc_auc, thr8.accuracy, balanced_accuracy, f1, mcc
+        FROM marked JOIN thr8 USING ({_POINT}, "Subset")),
+      md AS (SELECT {_SERIES}, {", ".join(f'median("{m}") AS "Ordinary_Median_{m}"' for m in _CLS_COMPARED)} FROM eight
+        WHERE NOT "Is_NoScaffold_Fold" AND "Subset" = 'all_test' GROUP BY ALL)
+      SELECT {_SERIES}, "N" AS "NoScaffold_N", "N_Positive" AS "NoScaffold_N_Positive", "N_Negative" AS "NoScaffold_N_Negative",
+        {", ".join(f'"{m}" AS "NoScaffold_{m}", "Ordinary_Median_{m}", "{m}" - "Ordinary_Median_{m}" AS "Delta_{m}"' for m in _CLS_COMPARED)}
+      FROM eight LEFT JOIN md USING ({_SERIES}) WHERE ("Is_Primary_NoScaffold_Subset")""",
+    " ".join(f"{side}_{m}" for side in ("NoScaffold", "Ordinary_Median", "Delta") for m in _CLS_COMPARED),
+)
+def classification_comparison(spark, folder):
+    """The eight metrics of the primary fold's empty-group subset against the medians of the ordinary folds."""
+    rows = classified(spark, folder)
+    points = E.materialize_points(E.mark_primary_fold(classification_points(spark, folder)))
+    labelled = rows.withColumn("y", (F.col("y") > 0).cast("double"))
+    cuts = threshold_metrics(score_counts(E.with_subsets(labelled), [*E.POINT, "Subset"]), [*E.POINT, "Subset"])
+    joined = points.join(cuts.drop("n", "positive_rate"), [*E.POINT, "Subset"]).withColumnsRenamed({"Positive_Rate": "positive_rate", "AP": "average_precision", "ROC_AUC": "roc_auc"})
+    return E.reference_deltas(joined, _CLS_COMPARED, ("N", "N_Positive", "N_Negative"), E.SERIES)
 
 
 @query(

@@ -28,15 +28,23 @@ def _top(table: str, first: str, second: str) -> str:
         (SELECT count(*) FROM lc WHERE "Abs_PositiveRate_Diff" >= 0.1::DOUBLE) AS n_classification_prevdiff_ge_0p10,
         (SELECT count(*) FROM lc WHERE "Abs_PositiveRate_Diff" >= 0.2::DOUBLE) AS n_classification_prevdiff_ge_0p20,
         {_top("lr", "Abs_StandardizedMeanDiff", "KS_Statistic")} AS top_regression_shift_targets,
-        {_top("lc", "Abs_PositiveRate_Diff", "Bernoulli_JSD")} AS top_classification_shift_targets FROM st""",
+        {_top("lc", "Abs_PositiveRate_Diff", "Bernoulli_JSD")} AS top_classification_shift_targets,
+        count(*) FILTER (dataset = 'set_0') AS n_datasets_moleculenet, count(*) FILTER (dataset <> 'set_0') AS n_datasets_admet,
+        count(*) FILTER (dataset = 'set_1') AS n_datasets_classification, count(*) FILTER (dataset <> 'set_1') AS n_datasets_regression FROM st""",
     " ".join(E.STRUCTURE_MEDIANS),
 )
 def summary_values(spark, folder):
     label = F.concat_ws(":", "Dataset", "Target")
+    structure = similarity_queries.structural_metrics(spark, folder)
+    inventory = similarity_queries.vectors(spark, folder).groupBy("dataset").agg(
+        F.when(F.first("dataset") == "set_0", "moleculenet").otherwise("admet").alias("Benchmark"),
+        F.when(F.first("dataset") == "set_1", "classification").otherwise("regression").alias("TaskGroup"),
+    )
     values = E.summary_values(
-        similarity_queries.structural_metrics(spark, folder),
+        structure,
         metric_queries.label_shift_regression(spark, folder).withColumn("Label", label),
         metric_queries.label_shift_classification(spark, folder).withColumn("Label", label),
+        inventory=inventory,
     )
     lists = ("top_regression_shift_targets", "top_classification_shift_targets")
     return values.withColumns({c: F.array_join(c, ", ") for c in lists})
@@ -46,7 +54,7 @@ def summary_values(spark, folder):
     "ratio_and_drop",
     f"""WITH c AS ({UNROUNDED["reference_comparison"]}) SELECT *, "NoScaffold_MAE" / "Ordinary_MAE" AS "MAE_Ratio",
       "Ordinary_R2" - "NoScaffold_R2" AS "R2_Drop" FROM c""",
-    "Ordinary_MAE Ordinary_R2 NoScaffold_MAE NoScaffold_R2 MAE_Ratio R2_Drop",
+    f"{evaluation_queries._COMPARED_DOUBLES} MAE_Ratio R2_Drop",
 )
 def ratio_and_drop(spark, folder):
     return E.comparison_effects(evaluation_queries.reference_comparison(spark, folder), ["MAE"], ["R2"])

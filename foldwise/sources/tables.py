@@ -62,6 +62,11 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def existing_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Those of the named columns that the table has, in the order of the names."""
+    return df.select(*[F.col(f"`{n}`") for n in names if n in df.columns])
+
+
 def read_entities(
     spark: SparkSession, root: str, schema: str | None = None, text: str = "molecules", hyphens: bool = True
 ) -> DataFrame:
@@ -129,13 +134,6 @@ def read_predictions(
     return None, None
 
 
-def preferred_files(listing: DataFrame) -> DataFrame:
-    """Per directory the best accepted prediction file - the same choice over a whole tree."""
-    order = F.array_position(F.array(*[F.lit(n) for n in PREDICTION_FILES]), F.col("name"))
-    ranked = listing.withColumn("_order", order).where(F.col("_order") > 0)
-    return ranked.groupBy("dir").agg(F.min_by("name", "_order").alias("name"))
-
-
 # Columns that are never targets, and the names a score column may have.
 NOT_TARGETS = ("molecules", "Scaffold", "ScaffoldStatus", "Fingerprint")
 SCORE_NAMES = (

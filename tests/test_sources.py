@@ -81,3 +81,28 @@ def test_sinks(spark, tmp_path):
     assert len((tmp_path / "long" / f"{long}2.csv").read_text().splitlines()) == 2
     sinks.write_sheets({"full": df, "none": df.limit(0)}, f"{tmp_path}/book")
     assert "No data" in (tmp_path / "book" / "none.csv").read_text(encoding="utf-8-sig")
+
+
+def test_targets_become_rows(spark):
+    df = spark.createDataFrame([("C", "g", "1", "x"), ("CC", "g", None, "2.5")], "molecules string, Scaffold string, `a b` string, c string")
+    targets = tables.target_columns(df)
+    assert targets == ["a b", "c"]
+    got = {(r["molecules"], r["Target"]): r["y"] for r in tables.targets_long(df, targets, ["molecules"]).collect()}
+    assert got == {("C", "a b"): 1.0, ("C", "c"): None, ("CC", "a b"): None, ("CC", "c"): 2.5}
+
+
+def test_union_of_columns_and_existing_columns(spark):
+    one, two = spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(3, 4)], "b int, c int")
+    both = sinks.union_rows([one, two])
+    assert both.columns == ["a", "b", "c"] and {tuple(r) for r in both.collect()} == {(1, 2, None), (None, 3, 4)}
+    assert tables.existing_columns(both, ["c", "z", "a"]).columns == ["c", "a"]
+
+
+def test_first_accepted_prediction_file(spark, tmp_path):
+    base = tmp_path / "m" / "b" / "t" / "d" / "fold_1"
+    base.mkdir(parents=True)
+    (base / "test.csv").write_text("molecules,y_pred\nC,1\n")
+    (base / "predictions.csv").write_text("molecules,y_pred\nC,2\n")
+    df, path = tables.read_predictions(spark, str(tmp_path), "m", "b", "t", "d", "fold_1")
+    assert path.endswith("predictions.csv") and df.first()["y_pred"] == "2"
+    assert tables.read_predictions(spark, str(tmp_path), "m", "b", "t", "d", "fold_2") == (None, None)
