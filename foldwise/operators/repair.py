@@ -194,6 +194,13 @@ def coupled_assignment(
     placed = cut_lineage(members.join(ranked.select(*keys, "cluster_no", "pos"), [*keys, "cluster_no"]).select(*keys, "pos", order, "words"))
     last = ranked.agg(F.max("pos")).first()[0]
     types = dict(ranked.dtypes)
+    zero = F.lit(0).cast("decimal(38,9)")
+    sides = [f"near_{s}" for s in SPLITS]
+    # what is known of the clusters still to come, and how many members have gone where
+    near = ranked.select(*keys, "pos", *[zero.alias(c) for c in sides])
+    counts = ranked.select(*keys).distinct().select(*keys, *[F.lit(0).cast("long").alias(f"count_{s}") for s in (*SPLITS, "drop")])
+    code = F.element_at(F.create_map(*[x for i, s in enumerate(SPLITS) for x in (F.lit(s), F.lit(i).cast("bigint"))]), F.col("choice"))
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "pos bigint, choice string"])
     decided: DataFrame | None = None
     for start in range(0, 0 if last is None else last + 1, BATCH):
         inside = (F.col("pos") >= start) & (F.col("pos") < start + BATCH)
@@ -202,33 +209,28 @@ def coupled_assignment(
         sims = group_similarity(own, own, keys, order).groupBy(*keys, F.col("q_grp").alias("pos")).agg(
             F.collect_list(F.struct("r_grp", "total")).alias("sims")  # BATCH entries at most
         )
-        state = batch.join(sims, [*keys, "pos"], "left")
-        if decided is None:
-            for s in (*SPLITS, "drop"):
-                state = state.withColumn(f"count_{s}", F.lit(0).cast("long"))
-            for s in SPLITS:
-                state = state.withColumn(f"near_{s}", F.lit(0).cast("decimal(38,9)"))
-        else:
-            code = F.element_at(F.create_map(*[x for i, s in enumerate(SPLITS) for x in (F.lit(s), F.lit(i).cast("bigint"))]), F.col("choice"))
-            before = placed.where(F.col("pos") < start).join(decided.where("choice <> 'drop'").select(*keys, "pos", code.alias("grp")), [*keys, "pos"]).drop("pos")
-            near = group_similarity(own, before, keys, order).groupBy(*keys, F.col("q_grp").alias("pos")).agg(
-                *[F.sum(F.when(F.col("r_grp") == i, F.col("total"))).cast("decimal(38,9)").alias(f"near_{s}") for i, s in enumerate(SPLITS)]
-            )
-            counts = decided.groupBy(*keys).agg(
-                *[F.sum(F.when(F.col("choice") == s, F.col("cluster_size"))).alias(f"count_{s}") for s in (*SPLITS, "drop")]
-            )
-            state = state.join(counts, keys, "left").join(near, [*keys, "pos"], "left")
-            filled = [c for c in state.columns if c.startswith(("near_", "count_"))]
-            state = state.withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(38,9)" if c.startswith("near_") else "long")) for c in filled})
+        state = batch.join(sims, [*keys, "pos"], "left").join(near, [*keys, "pos"]).join(counts, keys)
         flat = state.select(
             *keys, "pos", "cluster_size", "const_to_sb_train", "remaining", "n_empty", "drop_budget", "sims",
             *[F.col(p)[s].alias(f"{p}_{s}") for p in ("target", "lower") for s in SPLITS],
             *[c for c in state.columns if c.startswith(("near_", "count_"))],
         )
-        schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "pos bigint, choice string"])
         choice = flat.groupBy(*keys).applyInPandas(_decide(asdict(condition), keys), schema)
         new = cut_lineage(batch.join(choice, [*keys, "pos"]))  # earlier rounds stay where they are written
         decided = new if decided is None else decided.unionByName(new)
+        if start + BATCH > last:
+            break
+        # The batch is compared once, with what is still to come; earlier rounds are not read again.
+        gone = placed.where(inside).join(new.where("choice <> 'drop'").select(*keys, "pos", code.alias("grp")), [*keys, "pos"]).drop("pos")
+        later = placed.where(F.col("pos") >= start + BATCH).withColumn("grp", F.col("pos")).drop("pos")
+        added = group_similarity(later, gone, keys, order).groupBy(*keys, F.col("q_grp").alias("pos")).agg(
+            *[F.sum(F.when(F.col("r_grp") == i, F.col("total"))).cast("decimal(38,9)").alias(f"add_{s}") for i, s in enumerate(SPLITS)]
+        )
+        risen = near.where(F.col("pos") >= start + BATCH).join(added, [*keys, "pos"], "left")
+        near = cut_lineage(risen.select(*keys, "pos", *[(F.col(f"near_{s}") + F.coalesce(f"add_{s}", zero)).cast("decimal(38,9)").alias(f"near_{s}") for s in SPLITS]))
+        moved = new.groupBy(*keys).agg(*[F.sum(F.when(F.col("choice") == s, F.col("cluster_size"))).alias(f"_{s}") for s in (*SPLITS, "drop")])
+        total = [(F.col(f"count_{s}") + F.coalesce(F.col(f"_{s}"), F.lit(0))).alias(f"count_{s}") for s in (*SPLITS, "drop")]
+        counts = cut_lineage(counts.join(moved, keys, "left").select(*keys, *total))
     if decided is None:
         return ranked.withColumn("choice", F.lit("drop"))
     return _backfill(decided, targets, keys)
