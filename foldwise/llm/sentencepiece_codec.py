@@ -30,7 +30,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
-KNOWN_WORDS = 150_000  # distinct words that a task remembers from batch to batch
+KNOWN_WORDS = 250_000  # distinct words that a task remembers from batch to batch
 THREADS = 2
 
 
