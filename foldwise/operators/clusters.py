@@ -26,6 +26,7 @@ from foldwise.session import cut_lineage
 LEADER_THRESHOLD = 0.40
 BROADCAST_BYTES = 32 << 20
 LARGEST_BATCH = 4096
+CELLS = 1 << 20
 
 
 def words_matrix(column: pd.Series) -> np.ndarray:
@@ -68,6 +69,12 @@ def _scan(threshold: float, inclusive: bool, keys: Sequence[str]):
     return scan
 
 
+def best_of(words: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Largest similarity of every row to the others, a slice of rows at a time: CELLS similarities are in memory at once."""
+    step = max(1, CELLS // max(1, len(others)))
+    return np.concatenate([similarity_matrix(words[i : i + step], others).max(1) for i in range(0, len(words), step)])
+
+
 def _keep_uncovered(shared, threshold: float, inclusive: bool, keys: Sequence[str]):
     """Drop the rows of a batch that are close to a leader of their key."""
 
@@ -82,7 +89,7 @@ def _keep_uncovered(shared, threshold: float, inclusive: bool, keys: Sequence[st
             for key in set(owner):
                 if key in leaders:
                     mine = np.fromiter((o == key for o in owner), bool, len(owner))
-                    best = similarity_matrix(words[mine], leaders[key]).max(1)
+                    best = best_of(words[mine], leaders[key])
                     keep[mine] = ~(best >= threshold if inclusive else best > threshold)
             yield batch.filter(pa.array(keep))
 
