@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.scalars import SPLITS, split_ratio
-from foldwise.operators.blocks import flat_rows, on_cells, open_cell, similarity_matrix
-from foldwise.operators.clusters import LEADER_THRESHOLD, batch_size, batch_words, by_key, first_rows, words_matrix
+from foldwise.operators.blocks import block_pairs, flat_rows, on_cells, open_cell, similarity_matrix
+from foldwise.operators.clusters import LEADER_THRESHOLD, batch_size, words_matrix
 from foldwise.operators.ranking import ordinal_by, ordinal_within, with_number
 from foldwise.operators.similarity import best_similarity, merge_copies
 from foldwise.session import cut_lineage
@@ -31,119 +31,102 @@ SWEEP_CONDITIONS = (
 BATCH_CLUSTERS = 8  # placed in one round; 256 subsets
 UNIT = 1_000_000_000
 
-def _scan_with_capacity(threshold: float, keys: Sequence[str], limit: str):
-    """First-come scan of a batch: join the first close leader with room, else lead."""
+
+def _scan_with_capacity(keys: Sequence[str], limit: str, threshold: float):
+    """First-come scan of a batch: join the first close leader with room, else lead.
+
+    Leaders of earlier batches come first; ``options`` and ``rooms`` hold those close to a row, in order.
+    """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node").reset_index(drop=True)
-        words, room = words_matrix(rows["words"]), int(rows[limit].iloc[0])
-        leader = np.full(len(rows), -1)
+        words, node, room = words_matrix(rows["words"]), rows["node"].to_numpy(), int(rows[limit].iloc[0])
+        leader = np.empty(len(rows), np.int64)
+        before: dict[int, int] = {}  # room left with earlier leaders
         left = np.zeros(len(rows), dtype=np.int64)
-        lead: list[int] = []
-        for i in range(len(rows)):
-            if lead:
-                close = similarity_matrix(words[i : i + 1], words[lead])[0] >= threshold
-                open_ = np.flatnonzero(close & (left[lead] > 0))
-                if len(open_):
-                    leader[i] = lead[open_[0]]
-                    left[leader[i]] -= 1
-                    continue
-            lead.append(i)
-            leader[i] = i
-            left[i] = room - 1
-        out = rows[[*keys, "node", "words"]].copy()
-        out["leader"] = rows["node"].to_numpy()[leader]
-        out["room"] = left[leader]
-        return out
+        lead: list[int] = []  # leaders of this batch that have room
+        for i, (options, rooms) in enumerate(zip(rows["options"], rows["rooms"])):
+            earlier = () if options is None else zip(options, rooms)
+            taken = next((int(o) for o, r in earlier if before.setdefault(int(o), int(r)) > 0), None)
+            if taken is not None:
+                before[taken] -= 1
+                leader[i] = taken
+                continue
+            close = similarity_matrix(words[i : i + 1], words[lead])[0] >= threshold if lead else np.zeros(0, bool)
+            if close.any():
+                first = lead[int(close.argmax())]
+                leader[i] = node[first]
+            else:
+                first, left[i], leader[i] = i, room, node[i]
+                lead.append(i)
+            left[first] -= 1
+            if not left[first]:
+                lead.remove(first)
+        return rows[[*keys, "node", "words", limit]].assign(leader=leader)
 
     return scan
 
 
-def _close_leaders(shared, threshold: float, keys: Sequence[str]):
-    """Per row the leaders of the round it could join, earliest first."""
+def _close_leaders(threshold: float, keys: Sequence[str]):
+    """Kernel: the pairs of a row and a leader that are close, with the leader's room."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            owner = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-            words = batch_words(batch)
-            options: list[list[int]] = [[] for _ in owner]
-            for key in set(owner):
-                if key in shared.value:
-                    names, leaders = shared.value[key]
-                    mine = [i for i, o in enumerate(owner) if o == key]
-                    close = similarity_matrix(words[mine], leaders) >= threshold
-                    for i, row in zip(mine, close):
-                        options[i] = names[row].tolist()
-            yield batch.append_column("options", pa.array(options, pa.list_(pa.int64())))
+    def run(table: pa.Table) -> pa.Table:
+        left, right = open_cell(table, ["room"])
+        out: dict[str, list] = {n: [] for n in ("node", "leader", "room")}
+        for a, b, _ in block_pairs(left, right, False, threshold):
+            row, column = np.nonzero(similarity_matrix(a.words, b.words) >= threshold)
+            out["node"].append(a.node[row])
+            out["leader"].append(b.node[column])
+            out["room"].append(b.extra["room"][column])
+        return flat_rows(table, keys, out, {n: pa.int64() for n in out})
 
     return run
 
 
-def _settle(proposals: DataFrame, rooms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row gets its first close leader that still has room for it.
-
-    Leaders take rows in row order, so this is a deferred acceptance: a row turned
-    away by a full leader tries its next one, until nobody is turned away.  Only
-    leaders that fill up cause another pass.
-    """
-    keys = list(keys)
-    held = proposals.withColumn("_try", F.lit(0))
-    while True:
-        wish = held.withColumn("leader", F.get("options", F.col("_try"))).join(rooms, [*keys, "leader"], "left")
-        asked = wish.where(F.col("leader").isNotNull())
-        crowded = asked.groupBy(*keys, "leader", "room").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > F.col("room"))
-        if crowded.isEmpty():
-            return wish.drop("_try", "room")
-        full = crowded.select(*keys, "leader")
-        ranked = ordinal_within(asked.join(full, [*keys, "leader"], "left_semi"), [*keys, "leader"], "node", "_rank")
-        refused = ranked.where(F.col("_rank") >= F.col("room")).select(*keys, "node", F.lit(1).alias("_no"))
-        held = cut_lineage(
-            held.join(refused, [*keys, "node"], "left")
-            .withColumn("_try", F.col("_try") + F.coalesce("_no", F.lit(0)))
-            .drop("_no")
-        )
-
-
 def capacity_clusters(members: DataFrame, keys: Sequence[str], limit: str, threshold: float = LEADER_THRESHOLD) -> DataFrame:
     """Leader clusters that take their first ``limit`` close members; the rest stays in the pool.
 
     ``members``: keys, node (unique order), words, limit.  Returns (keys, node,
-    leader).  Rounds as in leader picking: a batch is scanned in order by one task
-    per key, then all other members choose among the new leaders in parallel.
+    leader).  Members are placed in order, a batch per round: the batch is compared with the leaders
+    that still have room block by block on the cluster, and one small task per key then places it
+    as the sequential scan would.  The number of rounds is the largest key's members by the batch size,
+    whatever the limit; leaders stay in a table that drops them once they are full.
     """
     keys = list(keys)
-    spark = members.sparkSession
-    pool = members.select(*keys, "node", "words", limit)
+    pool = cut_lineage(members.select(*keys, "node", "words", limit))
     types = dict(pool.dtypes)
-    key_schema = [f"{k} {types[k]}" for k in keys]
+    given = ", ".join(f"{k} {types[k]}" for k in keys)
     size = batch_size(pool, keys)
+    ranked = cut_lineage(ordinal_within(pool, keys, "node", "_at").withColumn("_round", F.floor(F.col("_at") / size)).drop("_at"))
+    last = ranked.agg(F.max("_round")).first()[0]
+    if last is None:
+        return pool.select(*keys, "node", F.col("node").alias("leader"))
     found: DataFrame | None = None
-    while True:
-        batch = first_rows(pool, keys, "node", size)
-        schema = ", ".join([*key_schema, "node bigint, words array<bigint>, leader bigint, room bigint"])
-        scanned = cut_lineage(batch.groupBy(*keys).applyInPandas(_scan_with_capacity(threshold, keys, limit), schema))
+    open_: DataFrame | None = None
+    none = F.lit(None).cast("array<bigint>")
+    for number in range(last + 1):
+        batch = ranked.where(F.col("_round") == number).drop("_round")
+        if open_ is None:
+            asked = batch.withColumn("options", none).withColumn("rooms", none)
+        else:
+            queries = batch.select(*keys, "node", "words", F.lit(1).alias("weight"), F.lit(0).cast("bigint").alias("room"))
+            close = on_cells(queries, open_.withColumn("weight", F.lit(1)), keys, _close_leaders(threshold, keys), f"{given}, node bigint, leader bigint, room bigint", ["room"], threshold)
+            listed = close.groupBy(*keys, "node").agg(F.array_sort(F.collect_set(F.struct("leader", "room"))).alias("_o"))
+            listed = listed.select(*keys, "node", F.col("_o.leader").alias("options"), F.col("_o.room").alias("rooms"))
+            asked = batch.join(listed, [*keys, "node"], "left")
+        schema = f"{given}, node bigint, words array<bigint>, {limit} {types[limit]}, leader bigint"
+        scanned = cut_lineage(asked.groupBy(*keys).applyInPandas(_scan_with_capacity(keys, limit, threshold), schema))
         done = scanned.select(*keys, "node", "leader")
-        open_ = scanned.where((F.col("node") == F.col("leader")) & (F.col("room") > 0))
-        rows = open_.toPandas()  # at most ``size`` rows per key
-        rest = pool.join(scanned.select(*keys, "node"), [*keys, "node"], "left_anti")
-        if len(rows):
-            leaders = {
-                k: (g.sort_values("node")["node"].to_numpy(np.int64), words_matrix(g.sort_values("node")["words"]))
-                for k, g in by_key(rows, keys).items()
-            }
-            shared = spark.sparkContext.broadcast(leaders)
-            options = ", ".join([*(f"{n} {t}" for n, t in pool.dtypes), "options array<bigint>"])
-            proposals = cut_lineage(rest.select(*pool.columns).mapInArrow(_close_leaders(shared, threshold, keys), options))
-            settled = _settle(proposals, open_.select(*keys, "leader", "room"), keys)
-            settled = cut_lineage(settled)
-            done = done.unionByName(settled.where(F.col("leader").isNotNull()).select(*keys, "node", "leader"))
-            rest = settled.where(F.col("leader").isNull()).select(*pool.columns)
         found = done if found is None else found.unionByName(done)
-        pool = cut_lineage(rest.select(*members.select(*keys, "node", "words", limit).columns))
-        if pool.isEmpty():
-            return found
+        if number < last:
+            joined = scanned.groupBy(*keys, F.col("leader").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
+            led = scanned.where("node = leader").dropDuplicates([*keys, "node"])
+            fresh = led.select(*keys, "node", "words", F.col(limit).cast("bigint").alias("room"))
+            if open_ is not None:  # a repeated row may carry a leader's number: the leader stays as it is
+                fresh = open_.unionByName(fresh.join(open_, [*keys, "node"], "left_anti"))
+            room = (F.col("room") - F.coalesce("_n", F.lit(0))).alias("room")
+            open_ = cut_lineage(fresh.join(joined, [*keys, "node"], "left").select(*keys, "node", "words", room).where("room > 0"))
+    return found
 
 
 def _billionths(similarity: Column) -> Column:

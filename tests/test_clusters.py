@@ -279,3 +279,18 @@ def test_condition_sweep(spark, monkeypatch, batch):
             want = brute_sweep(words, empty, raw, cond)
             mine = (r["n_microclusters"], r["support_recovery"], r["sink_ratio"], r["distribution_gap"], r["score"])
             assert mine == pytest.approx(want, abs=1e-9)
+
+
+def test_full_leaders_cost_no_rounds(spark, monkeypatch):
+    """Members that full leaders turn away are placed by the round of their batch: checkpoints do not follow the number of leaders tried."""
+    same = spark.createDataFrame([("a", i, [255], 2) for i in range(40)], "dataset string, node bigint, words array<bigint>, limit bigint")
+    monkeypatch.setattr(clusters, "LARGEST_BATCH", 20)
+    cuts, plain = [], sweep.cut_lineage
+    monkeypatch.setattr(sweep, "cut_lineage", lambda df: cuts.append(1) or plain(df))
+    far = spark.createDataFrame([("a", -1 - i, [1 << (8 + i)], 2) for i in range(19)], same.schema)
+    near = spark.createDataFrame([("a", -100 - i, [255 + (1 << (30 + i)) - (1 << i)], 2) for i in range(8)], same.schema)
+    table = same.unionByName(far).unionByName(near)
+    got = {r["node"]: r["leader"] for r in sweep.capacity_clusters(table, ["dataset"], "limit").collect()}
+    words = {r["node"]: r["words"][0] for r in table.collect()}
+    assert got == {i: c[0] for c in with_capacity(words, sorted(words), 2) for i in c}
+    assert len(cuts) <= 2 + 2 * 4  # 67 members in four batches
