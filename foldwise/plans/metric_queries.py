@@ -187,7 +187,7 @@ _RANKS = f"""rk AS (SELECT {_KEY},
 
 @query("spearman", f"WITH {REGRESSED}, {_RANKS} SELECT * FROM sp", "Spearman_rho")
 def spearman(spark, folder):
-    return R.spearman(R.pair_counts(regressed(spark, folder), SERIES), SERIES)
+    return R.spearman(R.finite_pairs(regressed(spark, folder), SERIES), SERIES)
 
 
 @query(

@@ -169,3 +169,43 @@ def test_all_pairs_of_a_small_group_are_drawn(spark):
     members = spark.range(100).selectExpr("'d' AS dataset", "id", "array(id * 2654435761) AS words")
     assert sampled_pair_mean(members, ["dataset"], "id").first()["pairs"] == 4950
     assert sampled_pair_mean(members, ["dataset"], "id", pairs=700).first()["pairs"] == 700
+
+
+def test_pairs_never_become_a_table(spark, monkeypatch):
+    """40 x 40 distinct pairs per point and status: what is kept between the steps grows with the distinct values."""
+    rows = [("a", float(i * 7 % 40), float(j * j % 41), (i + j) % 3 == 0) for i in range(40) for j in range(40)]
+    df = spark.createDataFrame(rows, "k string, y double, pred double, e boolean")
+    kept, plain = [], regression.cut_lineage
+
+    def watched(table):
+        out = plain(table)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(regression, "cut_lineage", watched)
+    got = {r["Subset"]: r for r in regression.paired_metrics(df, ["k"], "null", "e", ("all", "without", "with")).collect()}
+    for subset, mine in (("all", rows), ("without", [r for r in rows if not r[3]]), ("with", [r for r in rows if r[3]])):
+        y, p = np.array([r[1] for r in mine]), np.array([r[2] for r in mine])
+        assert got[subset]["n"] == len(mine) and got[subset]["MAE"] == pytest.approx(np.abs(y - p).mean())
+        assert got[subset]["Pearson_r"] == pytest.approx(np.corrcoef(y, p)[0, 1])
+        assert got[subset]["Spearman_rho"] == pytest.approx(np.corrcoef(numpy_ranks(y), numpy_ranks(p))[0, 1])
+    assert max(kept) <= 80
+    rho = regression.spearman(df.withColumn("n", F.lit(1)), ["k"]).first()["Spearman_rho"]
+    assert rho == pytest.approx(got["all"]["Spearman_rho"]) and max(kept) <= 80
+
+
+def test_spearman_of_counted_pairs_and_constants(spark):
+    rows = [("a", 1.0, 2.0, 3), ("a", 2.0, 1.0, 1), ("a", 3.0, 5.0, 2), ("b", 1.0, 1.0, 2), ("b", 1.0, 2.0, 1), ("c", 1.0, 1.0, 1), (None, 1.0, 2.0, 1)]
+    df = spark.createDataFrame(rows, "k string, y double, pred double, n long")
+    got = by_key(regression.spearman(df, ["k"]))
+    y, p = np.repeat([1.0, 2.0, 3.0], [3, 1, 2]), np.repeat([2.0, 1.0, 5.0], [3, 1, 2])
+    assert got["a"]["Spearman_rho"] == pytest.approx(np.corrcoef(numpy_ranks(y), numpy_ranks(p))[0, 1])
+    assert set(got) == {"a", "b", "c"} and got["b"]["Spearman_rho"] is None and got["c"]["Spearman_rho"] is None
+
+
+def test_points_with_one_number_are_numbered_anew(spark, monkeypatch):
+    plain = regression._number
+    monkeypatch.setattr(regression, "_number", lambda keys, seed: plain(keys, seed) if seed else F.lit(7).cast("long"))
+    df = spark.createDataFrame([("a", None, 1.0), ("a", "x", 2.0), (None, "x", 3.0)], "k string, m string, y double")
+    points, rows = regression.numbered(df, ["k", "m"], F.avg("y").alias("_cy"))
+    assert points.select("_point").distinct().count() == 3 and rows.where("y = _cy").count() == 3
