@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from foldwise.llm.common import byte_slices, kept_table, mix64, text_buffers
+from foldwise.llm.common import byte_slices, kept_table, mix64, released, text_buffers
 
 WINDOW = 32  # bytes that the rolling hash sees
 MASK_BITS = 11  # a cut every 2048 bytes on average
@@ -80,7 +80,7 @@ def recipes(docs: DataFrame, seed: int = 0) -> DataFrame:
                     ["doc_id", "recipe", "n_chunks", "text_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, recipe binary, n_chunks long, text_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, recipe binary, n_chunks long, text_sha256 string")
 
 
 def chunk_table(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -96,7 +96,7 @@ def chunk_table(docs: DataFrame, seed: int = 0) -> DataFrame:
                 chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), chunks.cast(pa.binary())], ["chunk_id", "chunk"])
 
-    return docs.select("text").mapInArrow(run, "chunk_id binary, chunk binary").groupBy("chunk_id", "chunk").agg(F.count("*").alias("copies"))
+    return docs.select("text").mapInArrow(released(run), "chunk_id binary, chunk binary").groupBy("chunk_id", "chunk").agg(F.count("*").alias("copies"))
 
 
 def clashing_ids(chunks: DataFrame) -> DataFrame:

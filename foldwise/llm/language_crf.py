@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foldwise.llm.common import byte_slices, fold_of
+from foldwise.llm.common import byte_slices, fold_of, released
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 400  # expected sample per language
@@ -338,4 +338,4 @@ def detect_languages(docs: DataFrame, field: Field | None = None, carry: bool =
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *new], [*passed, *names_of])
 
     schema = T.StructType([keep.schema[c] for c in passed] + added)
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(released(run), schema)

@@ -46,3 +46,13 @@ def test_equal_texts_have_equal_chunks_anywhere():
     assert lengths[0] == lengths[2] and sum(lengths[0]) == len(body) and lengths[3] == []
     assert max(lengths[0]) <= exact_dedup.LONGEST
     assert lengths[4][-5:] == lengths[0][-5:]  # an insertion moves only the chunks near it
+
+
+def test_kernels_give_memory_back_after_their_last_batch(monkeypatch):
+    from foldwise.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release_memory", lambda: calls.append(1))
+    out = common.released(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))
+    assert next(out) == 2 and not calls
+    assert list(out) == [4, 6] and calls == [1]
