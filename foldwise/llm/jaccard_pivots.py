@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foldwise.llm.common import byte_slices, drop_finished_shuffles, kept_table, mix64, runs
+from foldwise.llm.common import byte_slices, drop_finished_shuffles, kept_table, mix64, released, runs
 from foldwise.llm.graph import components
 
 WORDS = 5
@@ -81,7 +81,7 @@ def _map_sets(docs: DataFrame, build, schema: str) -> DataFrame:
             for batch in byte_slices(whole, "text"):
                 yield from build(batch, shingle_sets(batch.column("text")))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def node_of(values: np.ndarray) -> int:
@@ -146,7 +146,7 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def sieved_nodes(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(node, n, doc_id) of the nodes that may have a link; doc_id is the smallest with that set."""
-    counts = _window_rows(docs).repartition("s").sortWithinPartitions("s").mapInArrow(_shared_counts, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    counts = _window_rows(docs).repartition("s").sortWithinPartitions("s").mapInArrow(released(_shared_counts), "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
     nodes = members.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     # a partner has at least LINK hundredths of n elements, and its own share of the window follows from that
     least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * LINK / 100) * MARGIN / 100))
@@ -252,7 +252,7 @@ def _region_links(regions: DataFrame, direct: DataFrame, sets: DataFrame) -> Dat
     met = cut.select("pivot", "node", "own", F.explode(others).alias("other")).select("pivot", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     full = met.join(sets.select("node", "n", "shared"), "node")
     keys = ["pivot", "p", "q"]
-    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare_regions, "a long, b long").distinct()
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_compare_regions), "a long, b long").distinct()
 
 
 def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ PIECE = 24  # words from one text before training goes on with another
 EPOCHS, BATCH, STEP, DECAY = 3, 64, 0.15, 1e-7
 BLOCK = 64  # words per block of the forward and backward passes
 KNOWN_WORDS = 100_000
-TAG_BYTES = 1 << 19  # of text whose words are labelled at a time; each takes some ten numbers per language
+TAG_BYTES = 1 << 18  # of text whose words are labelled at a time; each takes some ten numbers per language
 UNKNOWN = "und"
 CARRIED = ("lang_pred string", "score double", "certainty double")
 ADDED_TYPES = ("lang_pred string", "score double", "n_words long", "shares map<string,double>", "stretches array<struct<lang:string,words:long>>")

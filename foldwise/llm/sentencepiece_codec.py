@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from foldwise.llm.common import byte_slices
+from foldwise.llm.common import byte_slices, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -30,7 +30,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
-KNOWN_WORDS = 400_000  # distinct words that a task remembers from batch to batch
+KNOWN_WORDS = 600_000  # distinct words that a task remembers from batch to batch
+LEARNED = 4_096  # words encoded at a time: the libraries' results take about a kilobyte a word
+ENCODE_BYTES = 1 << 20  # of text that is encoded at a time; each token takes some ten numbers
 THREADS = 2
 
 
@@ -161,34 +163,42 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())  # row by row
         self.ids = np.zeros(0, np.int32)  # of all known words, end to end
         self.starts = np.zeros(1, np.int64)
         self.agrees = np.zeros(0, bool)
         self.returns = np.zeros(0, bool)
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Row numbers of words in the table of encoded words; a word has the spaces before it."""
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Row numbers of distinct words in the table of encoded words; a word has the spaces before it."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            marked = [w.replace(" ", MARK) for w in new]
-            got = [e.ids for e in self.words.encode_batch_fast(marked, add_special_tokens=False)]
-            cut = 1 if self.prefix else 0  # the original library puts the marker of the text's start there itself
-            same = [True] * len(new)
-            if self.own:
-                at_start = [i for i, w in enumerate(new) if len(w) > cut and (not cut or w[0] == " ")]
-                for i, ids in zip(at_start, self.own.encode([new[i][cut:] for i in at_start], num_threads=THREADS)):
-                    same[i] = ids == got[i]
-            back = self.whole.decode_batch(got, skip_special_tokens=False)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
-            self.agrees = np.concatenate([self.agrees, np.array(same, bool)])
-            self.returns = np.concatenate([self.returns, np.array([a == b[cut:] for a, b in zip(back, new)], bool)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        found = pc.index_in(words, value_set=self.known)
+        rows, absent = found.fill_null(0).to_numpy().astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(absent))
+        if len(new):
+            rows[absent] = len(self.known) + np.arange(len(new))
+            parts = [self._encode_words(new.slice(at, LEARNED).to_pylist()) for at in range(0, len(new), LEARNED)]
+            ids, sizes, same, back = (np.concatenate(x) for x in zip(*parts))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.agrees = np.concatenate([self.agrees, same])
+            self.returns = np.concatenate([self.returns, back])
+        return rows
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, ids per word, whether the original library gives the same ones, whether a word is got back from them."""
+        marked = [w.replace(" ", MARK) for w in words]
+        got = [e.ids for e in self.words.encode_batch_fast(marked, add_special_tokens=False)]
+        cut = 1 if self.prefix else 0  # the original library puts the marker of the text's start there itself
+        same = [True] * len(words)
+        if self.own:
+            at_start = [i for i, w in enumerate(words) if len(w) > cut and (not cut or w[0] == " ")]
+            for i, ids in zip(at_start, self.own.encode([words[i][cut:] for i in at_start], num_threads=THREADS)):
+                same[i] = ids == got[i]
+        back = [a == b[cut:] for a, b in zip(self.whole.decode_batch(got, skip_special_tokens=False), words)]
+        return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got)), np.array(same, bool), np.array(back, bool)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Offsets into, and all ids of, the texts; whether a text equals the original library's
@@ -200,7 +210,8 @@ class Codec:
             back = [a == b for a, b in zip(self.decode(got), texts)]
             return np.cumsum([0, *map(len, got)]), np.array([i for ids in got for i in ids], np.int32), np.array(same, bool), np.array(back, bool)
         counts, coded, lead = self._words(texts)
-        rows = self._learn([lead + w for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        words = pc.binary_join_element_wise(pa.scalar(lead), coded.dictionary, "") if lead else coded.dictionary
+        rows = self._learn(words)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         sizes = (self.starts[1:] - self.starts[:-1])[rows]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.starts[:-1][rows] - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -243,7 +254,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, parity: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data, parity)
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", ENCODE_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 offsets, ids, same, back = codec.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
@@ -252,7 +263,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, parity: bool = True) ->
                     ["doc_id", "n_tokens", "token_ids", "round_trip", "parity"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, parity boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, parity boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -267,4 +278,4 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
                 texts = codec.decode([ids or [] for ids in part.column("token_ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(released(run), "doc_id long, text string")

@@ -1,4 +1,7 @@
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 import sentencepiece
@@ -61,3 +64,50 @@ def test_documents(spark, odd, none, tiny):
     assert encoded.where("not parity or not round_trip").count() == 0
     back = codec.decode_documents(encoded)
     assert docs.join(back.withColumnRenamed("text", "back"), "doc_id").where("text <> back").count() == 0
+
+
+def test_new_words_are_encoded_in_bounded_parts(monkeypatch):
+    """120,000 new words in one batch: the libraries see a part at a time, and a task's table forgets in between."""
+    monkeypatch.setattr(codec, "KNOWN_WORDS", 50_000)
+    texts = [" ".join(f"w{i * 7919 % 1000003}x" for i in range(start, start + 400)) for start in range(0, 120_000, 400)] + TEXTS
+    tool, sizes = codec.Codec(codec.read_model()), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return self.inner.encode_batch_fast(words, **options)
+
+    tool.words = Counted(tool.words)
+    whole = tool.encode(texts)
+    assert sum(sizes) >= 120_000 and max(sizes) <= 8192
+    again = [tool.encode(texts[at : at + 100]) for at in range(0, len(texts), 100)]
+    assert whole[1].tolist() == [i for x in again for i in x[1].tolist()]
+    assert whole[1].tolist() == [i for ids in tool.own.encode(texts) for i in ids] and whole[2].all()
+    assert whole[3].tolist() == [t != "▁ x" for t in texts]
+
+
+GROWTH = """
+import re
+from foldwise.llm import sentencepiece_codec as codec
+
+def held():
+    with open("/proc/self/smaps_rollup") as file:
+        return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", file.read()))) / 1024
+
+tool, texts = codec.Codec(codec.read_model()), [" ".join(f"{w}w{i * 7919 % 1000003}x" for i in range(400)) for w in range(400)]
+tool.encode(["a b"])
+before = held()
+tool.encode(texts)
+print(held() - before)
+"""
+
+
+def test_memory_of_a_batch_of_new_words():
+    """160,000 new words: 62 MB more where this was written, 277 when they were encoded all at once."""
+    root = Path(__file__).parents[2]
+    run = subprocess.run([sys.executable, "-c", GROWTH], cwd=root, capture_output=True, text=True, check=True, timeout=120)
+    grown = float(run.stdout)
+    assert grown < 130, grown
