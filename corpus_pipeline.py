@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.llm import exact_dedup, jaccard_pivots, language_crf, mixing, sentencepiece_codec
+from foldwise.llm.common import drop_finished_shuffles
 from foldwise.session import shared_folder
 
 LEAST_SCORE = 0.4  # least mean over the words of the probability of each word's own best language
@@ -67,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{place}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_finished_shuffles(spark)
     return docs

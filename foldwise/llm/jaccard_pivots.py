@@ -208,20 +208,26 @@ def _linked() -> Column:
     return F.col("common") * 100 >= F.col("union") * LINK
 
 
+def _election(active: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(x, y, common, union) of active nodes near a pivot, the same without those that are pivots, and the nodes that are far from all."""
+    met = _rows(active, NEAR, "node").select("node", F.min("node").over(Window.partitionBy("s")).alias("owner"), F.count("*").over(Window.partitionBy("s")).alias("met"))
+    votes = met.where("met > 1").groupBy("node").agg((F.sum((F.col("owner") == F.col("node")).cast("long")) * 2 >= F.count("*")).alias("pivot"))
+    voted = kept_table(active.join(votes, "node"))  # nodes that meet no other node are settled
+    pivots = voted.where("pivot")
+    near = kept_table(_similar(_rows(voted, NEAR, "x"), _rows(pivots, NEAR, "y"), sets, NEAR))
+    plain = near.join(pivots.select(F.col("node").alias("x")), "x", "left_anti")
+    covered = plain.where(_linked()).select(F.col("x").alias("node")).unionByName(pivots.select("node")).distinct()
+    return near, plain, kept_table(voted.drop("pivot").join(covered, "node", "left_anti"))
+
+
 def pivot_links(sets: DataFrame) -> DataFrame:
     """(a, b): links between nodes that connect all linked nodes."""
     active, links, regions = sets, [], []
     for _ in range(ELECTIONS):
-        met = _rows(active, NEAR, "node").select("node", F.min("node").over(Window.partitionBy("s")).alias("owner"), F.count("*").over(Window.partitionBy("s")).alias("met"))
-        votes = met.where("met > 1").groupBy("node").agg((F.sum((F.col("owner") == F.col("node")).cast("long")) * 2 >= F.count("*")).alias("pivot"))
-        voted = kept_table(active.join(votes, "node"))  # nodes that meet no other node are settled
-        pivots = voted.where("pivot")
-        near = kept_table(_similar(_rows(voted, NEAR, "x"), _rows(pivots, NEAR, "y"), sets, NEAR))
+        near, plain, active = _election(active, sets)
         links.append(near.where(_linked()).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        plain = near.join(pivots.select(F.col("node").alias("x")), "x", "left_anti")
         regions.append(plain.select("x", "y"))
-        covered = plain.where(_linked()).select(F.col("x").alias("node")).unionByName(pivots.select("node")).distinct()
-        active = kept_table(voted.drop("pivot").join(covered, "node", "left_anti"))
+        drop_finished_shuffles(sets.sparkSession)
     every = kept_table(reduce(DataFrame.unionByName, regions))
     places = every.join(active.select(F.col("node").alias("x")), "x", "left_semi").groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("places"))
     left = kept_table(active.join(places, "node", "left").withColumn("places", F.coalesce("places", F.expr("array(CAST(NULL AS BIGINT))"))))
@@ -229,6 +235,7 @@ def pivot_links(sets: DataFrame) -> DataFrame:
     rest = _similar(_rows(left, LINK, "x", "places"), _rows(left, LINK, "y", "places"), sets, LINK, once=True)
     links.append(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
     direct = kept_table(reduce(DataFrame.unionByName, links))
+    drop_finished_shuffles(sets.sparkSession)
     return direct.unionByName(_region_links(every, direct, sets))
 
 
@@ -307,6 +314,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     classes = components(pivot_links(sets))
     named = members.join(classes, "node", "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     named = kept_table(named.select("doc_id", "n", "class"))
+    drop_finished_shuffles(docs.sparkSession)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "class", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
