@@ -51,3 +51,22 @@ def test_sums_that_a_double_cannot_hold_stay_apart():
     large = float(similarity.EXACT - 2)
     out = similarity.added_sums({"q_grp": [np.array([1, 1, 2, 2])], "r_grp": [np.array([1, 1, 1, 1])], "total": [np.array([large, 5.0, 1.0, 2.0])]})
     assert sorted(zip(*(out[n][0].tolist() for n in ("q_grp", "r_grp", "total")))) == [(1, 1, 5.0), (1, 1, large), (2, 1, 3.0)]
+
+
+def test_close_pairs_leave_a_cell_in_parts(monkeypatch):
+    """Close pairs are given away per pair of blocks, in batches of a fixed size, whatever their number."""
+    table = cell(groups=1, blocks=3, rows=20)
+    distinct = [[1000 * i + n for n in ns] for i, ns in enumerate(table["node"].to_pylist())]
+    table = table.set_column(table.column_names.index("node"), "node", pa.array(distinct))
+    monkeypatch.setattr(similarity, "HELD_MATCHES", 50, raising=False)
+    found = similarity._match(0.3, ["key"])(iter(table.to_batches(max_chunksize=2)))
+    batches, seen = [], []
+    plain = similarity.similarity_matrix
+    monkeypatch.setattr(similarity, "similarity_matrix", lambda a, b: seen.append(1) or plain(a, b))
+    batches.append(next(found))
+    assert len(seen) == 1  # the first batch comes before the other pairs of blocks are compared
+    batches += found
+    assert len(seen) == 9 and max(b.num_rows for b in batches) <= 50
+    sides = [[(n, w) for s, ns, ws in zip(table["side"].to_pylist(), table["node"].to_pylist(), table["words"].to_pylist()) if s == side for n, w in zip(ns, ws)] for side in (0, 1)]
+    want = sorted((min(n, m), max(n, m)) for n, w in sides[0] for m, v in sides[1] if (w & v).bit_count() / (w | v).bit_count() >= 0.3)
+    assert len(want) > 450 and sorted((r["node_a"], r["node_b"]) for b in batches for r in b.to_pylist()) == want
