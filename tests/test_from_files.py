@@ -123,3 +123,34 @@ def test_rows_keep_the_order_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [i for _, i in sorted(got["one.csv"])] == list(range(20_000)) and [i for _, i in sorted(got["two.csv"])] == list(range(9))
     assert {r.Name: r.header for r in files.collect()} == {"one.csv": ["i", "t"], "two.csv": ["i"]}
+
+
+def test_headers_are_kept_and_lines_are_not_sorted_for_them(spark, tmp_path):
+    """First lines, after blank ones too, come from numbers alone, and reading the rows does not look for them again."""
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.csv").write_text("\n  \nx,y\n1,2\n\n3,4\n")
+    (tmp_path / "one" / "b.csv").write_text("z\n5\n")
+    (tmp_path / "one" / "none.csv").write_text("\n")
+    rows, files = csv_tree.csv_tree(spark, str(tmp_path), ["Folder", "Name"])
+    assert sorted((r["Name"], r["header"]) for r in files.collect()) == [("a.csv", ["x", "y"]), ("b.csv", ["z"])]
+    assert [[f for f in r["fields"] if f] for r in rows.orderBy("path", "row_order").collect()] == [["1", "2"], ["3", "4"], ["5"]]
+    for table in (rows, files):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan, plan
+
+
+def test_aligned_rows_are_kept(spark, tmp_path):
+    """The evaluation reads its points several times; rows are aligned once."""
+    make_tree(tmp_path, lambda rng: rng.random(), lambda rng, y: y + rng.random())
+    splits, predictions = str(tmp_path / "splits"), str(tmp_path / "predictions")
+    points, _ = from_files.paired_rows(spark, splits, predictions, "task", from_files.PREDICTION_NAMES)
+    assert dict(points.dtypes)["y"] == dict(points.dtypes)["score"] == "double"
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan, plan
+
+
+def test_a_score_that_is_no_number_still_fails_a_classification(spark, tmp_path):
+    write(tmp_path / "splits/b/classification/d/fold_1/test.csv", ["molecules", "y"], [["C", 1], ["CC", 0]])
+    write(tmp_path / "predictions/m/b/classification/d/fold_1/predictions.csv", ["molecules", "y_pred"], [["C", "high"], ["CC", 0.1]])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        from_files.evaluate_classification_files(spark, str(tmp_path / "splits"), str(tmp_path / "predictions")).collect()
